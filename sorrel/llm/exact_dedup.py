@@ -1,10 +1,11 @@
 """Exact deduplication by content sort, in DataFrame functions only.
 
-Sampled splitters range-partition the normalised bytes, each partition's external sort places equal
-texts side by side, and comparing neighbours in full (a window over the sorted bytes) finds each run
-of equals. A text with more rows than a partition should hold is split: its rows get a salt behind the
+Sampled splitters range-partition the normalised bytes by their first bytes and, among texts that begin
+alike, by a hash (so that splitters stay small and a common beginning is no hot range); each
+partition's external sort places equal texts side by side, and comparing neighbours in full (a window
+over the sorted bytes) finds each run of equals. A text with more rows than a partition should hold is split: its rows get a salt behind the
 bytes in the sort key, so the splitters cut inside the run; the few sub-runs are then compared in full
-and merged. No text is compared by its digest.
+and merged. Texts are equal by their bytes; digests only carry a group's decision to its rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, table
 
+#: Bytes of a text that the splitters compare before its hash.
+HEAD = 32
+#: So many contents at most are salted (and broadcast, as a digest and two numbers each).
+HOT = 4096
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """Groups of equal texts: ``(id, keep_id, group_size, kept, text_sha256)``, one row per input row.
@@ -29,32 +35,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min if keep == "smallest" else F.max
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), norm.cast("binary").alias("norm"))
+    rows = docs.select(F.col(id_col).alias("id"), norm.cast("binary").alias("norm")).withColumn("h", F.xxhash64("norm"))
 
-    # Which contents exceed a fair partition: at most ``parts`` of them, known by a 64-bit hash. The
-    # hash only decides where rows are salted, so a collision costs nothing but a salt.
-    sizes = materialize(rows.select(F.xxhash64("norm").alias("h")).groupBy("h").agg(F.count("*").alias("n")), "sizes")
+    # Which contents have more rows than a quarter of a partition should: HOT of them at most, known by a
+    # 64-bit hash. The hash only decides which rows are salted, so a collision costs nothing but a salt.
+    sizes = materialize(rows.groupBy("h").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    fair = max(1, total // parts // 4)
-    hot = {r["h"]: -(-4 * r["n"] // fair) for r in sizes.where(F.col("n") > fair).orderBy(F.desc("n")).limit(4 * parts).collect()}
-    salts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]) if hot else None
-    own = F.xxhash64("norm")
-    salt = F.coalesce(F.pmod(F.xxhash64("id", F.lit(7)), salts[own].cast("long")), F.lit(-1).cast("long")) if hot else F.lit(-1).cast("long")
+    fair = max(1, total // min(4 * parts, HOT))
+    hot = {r["h"]: -(-4 * r["n"] // fair) for r in sizes.where(F.col("n") > fair).collect()}
+    keyed = rows.withColumn("head", F.substring("norm", 1, HEAD))
+    keys = ["head", "h"]
+    if hot:
+        salts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+        keyed = keyed.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", F.lit(7)), salts[F.col("h")].cast("long")), F.lit(-1).cast("long")))
+        keys.append("salt")
 
-    dealt = rows.withColumn("salt", salt).repartitionByRange("norm", "salt")
-    run = Window.partitionBy("norm", "salt")
+    # The range partitioning by the keys keeps equal texts together, so the window needs no other exchange.
+    dealt = keyed.repartitionByRange(*keys)
+    run = Window.partitionBy(*keys, "norm")
     found = dealt.select(
-        "id", "salt", best("id").over(run).alias("run_keep"), F.count("*").over(run).alias("run_size"), F.sha2("norm", 256).alias("text_sha256"),
-        F.row_number().over(run.orderBy("id")).alias("at"), F.when(F.col("salt") >= 0, F.col("norm")).alias("norm"),
+        "id", F.col("salt") if hot else F.lit(-1).cast("long").alias("salt"), best("id").over(run).alias("run_keep"), F.count("*").over(run).alias("run_size"),
+        F.sha2("norm", 256).alias("text_sha256"), *([F.row_number().over(run.orderBy("id")).alias("at"), F.when(F.col("salt") >= 0, F.col("norm")).alias("norm")] if hot else []),
     )
     # Only one row of each salted sub-run carries its bytes on: at most a bounded number a partition.
-    runs = materialize(found.withColumn("norm", F.when(F.col("at") == 1, F.col("norm"))).drop("at"), "runs")
+    runs = materialize(found.withColumn("norm", F.when(F.col("at") == 1, F.col("norm"))).drop("at") if hot else found, "runs")
     plain = runs.where("salt < 0").select("id", F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), "text_sha256")
     out = plain
     if hot:
         heads = runs.where("salt >= 0 and norm is not null").select("salt", "text_sha256", "norm", "run_keep", "run_size")
         whole = materialize(heads.groupBy("norm").agg(best("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size"), F.first("text_sha256").alias("text_sha256")).drop("norm"), "whole")
-        out = plain.unionByName(runs.where("salt >= 0").select("id", "text_sha256").join(whole, "text_sha256").select("id", "keep_id", "group_size", "text_sha256"))
+        out = plain.unionByName(runs.where("salt >= 0").select("id", "text_sha256").join(F.broadcast(whole), "text_sha256").select("id", "keep_id", "group_size", "text_sha256"))
     kept = F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
