@@ -123,10 +123,10 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 def reachable(found: DataFrame, max_rounds: int = 64) -> DataFrame:
     """The ``(file, off)`` of candidates ``(file, off, next)`` on the chain from each file's start.
 
-    In round k every pointer spans 2**k records; one join moves the pointers and the reached set alike.
+    A candidate without a whole record (``next`` -1) ends the chain and is not on it. In round k every pointer spans 2**k records; one join moves the pointers and the reached set alike.
     """
     jump = found.where("next > 0").select("file", "off", F.col("next").alias("to"))
-    offs = found.select("file", "off")
+    offs = found.where("next > 0").select("file", "off")
     state = materialize(
         jump.select("file", "off", "to", F.lit(False).alias("root")).unionAll(offs.where("off = 0").select("file", F.lit(-1).cast("long").alias("off"), F.col("off").alias("to"), F.lit(True).alias("root"))), "chain"
     )
