@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schema import EDGE_KEY
-from .tables import numbered
+from .tables import numbered, written
 
 PHYSICAL_KEY = ["uri", "range_start_line", "range_start_col", "name"]
 
@@ -35,7 +35,7 @@ def upsert_nodes(nodes: DataFrame, batch: DataFrame, order: str = "id") -> DataF
     by_name = nodes.select(F.col("id").alias("_by_name"), "fqn")
     by_place = nodes.select(F.col("id").alias("_by_place"), *PHYSICAL_KEY)
     found = batch.join(by_name, "fqn", "left").join(by_place, PHYSICAL_KEY, "left")
-    placed = found.withColumn("_old", F.coalesce("_by_name", "_by_place"))
+    placed = written(found.withColumn("_old", F.coalesce("_by_name", "_by_place")).drop("_by_name", "_by_place"), "placed")
     known = placed.where("_old is not null").withColumn("id", F.col("_old")).select(*columns)
     fresh = placed.where("_old is null").select(*columns)
     kept = nodes.join(known.select("id"), "id", "left_anti")
@@ -51,6 +51,7 @@ def upsert_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
     for s in same[1:]:
         cond = cond & s
     hit = b.join(e, cond, "left").select(F.col("e.id").alias("id"), *[F.col(f"b.{c}") for c in edges.columns if c != "id"])
+    hit = written(hit, "merged")
     known = hit.where("id is not null")
     kept = edges.join(known.select("id"), "id", "left_anti")
     return kept.unionByName(known).unionByName(allocate(hit.where("id is null"), edges, EDGE_KEY))
