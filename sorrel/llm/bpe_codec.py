@@ -59,6 +59,8 @@ class ForcedBoundaryBPE:
         self.mark = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.odd = re.compile("[\x1c-\x1f]")
         self.space = re.compile(f"[{SPACE}]+")
+        self.known_last: dict[bytes, tuple[bytes, str]] = {}
+        self.known_inner: dict[bytes, tuple[bytes, str]] = {}
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
 
@@ -69,31 +71,58 @@ class ForcedBoundaryBPE:
         # split() would also cut at the separators 1c to 1f, which are no white space here.
         return [w for w in self.space.split(text) if w] if self.odd.search(text) else text.split()
 
-    def fragments(self, word: str) -> list[tuple[str, bool]]:
-        """A word's inner fragments in byte characters, and whether each ends a pattern match."""
-        norm = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        out = []
-        for match in self.pattern.findall(norm):
-            raw = match.encode("utf-8", "surrogatepass")
-            b = np.frombuffer(raw, np.uint8)
-            cuts = [0, *(np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1).tolist(), len(raw)]
-            # A cut inside a character would leave bytes that are no text; the fragment stays whole there.
-            cuts = [c for c in cuts if c == len(raw) or raw[c] & 0xC0 != 0x80]
-            out += [(raw[i:j].decode("utf-8", "surrogatepass"), j == len(raw)) for i, j in zip(cuts, cuts[1:], strict=False)]
-        return out
+    def matches(self, word: str) -> list[str]:
+        """A word's normal form, cut by the vocabulary's pattern; a word of letters alone is one match."""
+        norm = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        return [norm] if norm.isalpha() else self.pattern.findall(norm)
+
+    def cut(self, matches: list[str]) -> tuple[list[bytes], list[int]]:
+        """All matches' inner fragments in a row, and for each match how many fragments lie before it."""
+        raws = [m.encode("utf-8", "surrogatepass") for m in matches]
+        whole = b"".join(raws)
+        b = np.frombuffer(whole, np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        if not len(b):
+            return [], [0]
+        # A cut inside a character would leave bytes that are no text; the fragment stays whole there.
+        open_ = np.concatenate([[True], ~self.inside[b[:-1], b[1:]] & (b[1:] & 0xC0 != 0x80)])
+        open_[ends[:-1]] = True
+        at = np.flatnonzero(open_)
+        cuts = [*at.tolist(), len(whole)]
+        return [whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], [0, *np.searchsorted(at, ends).tolist()]
+
+    def fragments(self, word: str) -> list[bytes]:
+        """A word's inner fragments."""
+        return self.cut(self.matches(word))[0]
+
+    def _encode_fragments(self, tokenizer, known: dict, parts: set[bytes]) -> None:
+        """Ids and tokens of the distinct fragments that are not known, in one batch."""
+        if len(known) > WORDS:
+            known.clear()
+        new = list(parts - known.keys())
+        got = tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)
+        for p, e in zip(new, got, strict=True):
+            ids = e.ids
+            known[p] = np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids])
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that are not known: their distinct fragments, in one batch of either kind."""
-        parts = {w: self.fragments(w) for w in words if w not in self.special}
-        ids: dict[tuple[str, bool], list[int]] = {}
-        for final, tokenizer in ((True, self.last), (False, self.inner)):
-            todo = list({p for ps in parts.values() for p in ps if p[1] == final})
-            got = tokenizer.encode_batch_fast([t for t, _ in todo], add_special_tokens=False)
-            ids |= {p: e.ids for p, e in zip(todo, got, strict=True)}
-        for w in words:
-            all_ids = [self.special[w]] if w in self.special else [i for p in parts[w] for i in ids[p]]
-            self.ids[w] = np.array(all_ids, "<u4").tobytes()
-            self.text[w] = " ".join(self.token[i] for i in all_ids)
+        """Encode words that are not known: by their distinct fragments, of which those that end a match are apart."""
+        plain = [w for w in words if w not in self.special]
+        split = [self.matches(w) for w in plain]
+        parts, first = self.cut([m for ms in split for m in ms])
+        final = set(i - 1 for i in first[1:])
+        ends = [i in final for i in range(len(parts))]
+        self._encode_fragments(self.last, self.known_last, {p for p, e in zip(parts, ends, strict=True) if e})
+        self._encode_fragments(self.inner, self.known_inner, {p for p, e in zip(parts, ends, strict=True) if not e})
+        coded = [(self.known_last if e else self.known_inner)[p] for p, e in zip(parts, ends, strict=True)]
+        m = 0
+        for w, ms in zip(plain, split, strict=True):
+            here = coded[first[m] : first[m + len(ms)]]
+            m += len(ms)
+            self.ids[w] = b"".join([i for i, _ in here])
+            self.text[w] = " ".join([t for _, t in here])
+        for w in words & self.special.keys():
+            self.ids[w], self.text[w] = np.array([self.special[w]], "<u4").tobytes(), w
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """By text: its ids as little-endian 32-bit, and what they decode to."""
