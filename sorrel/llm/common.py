@@ -30,17 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_SHARED}"
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's JVM ends."""
+    """A fresh path below the shared folder, removed by ``clear_scratch`` or when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/sorrel-{uuid.uuid4().hex}/{name}"
     jvm = spark._jvm
     parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
     fs = parent.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(parent)
     fs.deleteOnExit(parent)
+    _MADE.append(parent.toString())
     return path
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch folders of this process, once the results that read them have been written."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -106,8 +106,7 @@ def candidates(name: str, content: bytes) -> list[tuple]:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """The candidates of all files below ``path``; a task holds one file at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    """The candidates of all files below ``path``; a task holds one file at a time if batches hold one row."""
 
     def run(batches):
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64()]
@@ -152,7 +151,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Ids are those of ``write_archives`` as text. A response whose payload does not have the digest that it
     declares is an error. Of a damaged file the records before the damage are returned.
     """
-    found = materialize(scan(spark, path), "candidates")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "1")
+    try:
+        found = materialize(scan(spark, path), "candidates")
+    finally:
+        spark.conf.set(batch, before)
     rows = found.join(reachable(found), ["file", "off"])
     own = lambda c: F.nullif(F.regexp_extract(c, f"^<{ID}(.*)>$", 1), F.lit("null"))
     bad = (F.col("kind") == "response") & ~F.col("found").eqNullSafe(F.col("declared"))
