@@ -38,8 +38,11 @@ def index_repository(nodes: DataFrame, edges: DataFrame, found: DataFrame, answe
     ).where("src_id != dst_id")
     up = links.groupBy(F.col("dst_id").alias("id")).agg(F.max("src_id").alias("_up"))
     merged = merged.join(up, "id", "left").withColumn("container_id", F.coalesce("_up", "container_id")).select(*nodes.columns)
-    stats = seen.agg(F.count("*").alias("files_seen"), F.count_if(F.expr("try_parse_json(symbols) is not null")).alias("files_indexed"), F.count_if(F.expr("try_parse_json(symbols) is null")).alias("fetch_errors"))
-    stats = stats.crossJoin(rows.agg(F.count("*").alias("symbols_upserted"))).select("files_seen", "files_indexed", "symbols_upserted", "fetch_errors")
+    per_file = rows.groupBy("uri").agg(F.count("*").alias("n"))
+    good_answer = F.expr("try_parse_json(symbols)").isNotNull()
+    stats = seen.select("uri", good_answer.alias("ok")).join(per_file, "uri", "left").agg(
+        F.count("*").alias("files_seen"), F.count_if("ok").alias("files_indexed"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols_upserted"), F.count_if(~F.col("ok")).alias("fetch_errors")
+    )
     return merged, upsert_edges(edges, contains.select(*edges.columns)), stats
 
 
