@@ -1,11 +1,12 @@
 """Packing documents into token windows, mixing sources by deficit round-robin.
 
 Mixture-controlled packing: each source is a queue of documents, cut into turns of at most ``turn``
-tokens. In every round a source earns its share of a window in credit and sends turns while its credit
+tokens. With every window a source earns its share of it in credit and sends turns while its credit
 lasts; what it could not send it carries as deficit to later windows, across partitions. A turn that
-ends ``e`` tokens into its queue is thus sent in round ``ceil(e / credit)``, which prefix sums
-give for all rows at once. The rounds in order form one stream, and each ``window`` tokens of it are a
-sequence, so no window but the last has room left.
+ends ``e`` tokens into its queue thus falls due when the credit reaches ``e``, at ``e / credit`` windows, which
+prefix sums give for all rows at once. Each source begins with a part of a turn as credit, so that sources with
+like shares do not fall due together. Turns in the order in which they fall due form one stream, and each
+``window`` tokens of it are a sequence, so no window but the last has room left.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, eos: int, id_col: str, text_c
     return materialize(rows.mapInArrow(run, f"uid long, id {kind}, source string, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, turn: int = 256, eos: int = 0, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, turn: int = 128, eos: int = 0, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces of every document's ids in sequences of ``window`` tokens; each id is in exactly one piece.
 
     ``weights`` are the target shares by source (default: each source's share of all tokens, so
@@ -108,8 +109,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, turn: int = 2
     turns = queued.join(queues, "source").select("uid", "source", "credit", (F.col("before") - F.col("base")).alias("at"), "n", F.explode(F.expr(f"sequence(0L, n - 1, {turn}L)")).alias("start"))
     turns = turns.withColumn("len", F.least(F.lit(turn).cast("long"), F.col("n") - F.col("start")))
     end = F.col("at") + F.col("start") + F.col("len")
-    turns = turns.select(F.ceil(end / F.col("credit")).cast("long").alias("round"), "source", "uid", "start", "len")
-    placed = prefix_sums(turns, ["round", "source", "uid", "start"], "len", "place")
+    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20) * turn
+    turns = turns.select(((end - phase) / F.col("credit")).alias("due"), "source", "uid", "start", "len")
+    placed = prefix_sums(turns, ["due", "source", "uid", "start"], "len", "place")
     cuts = placed.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "len", "place"))).alias("cuts"))
 
     def pieces(batches):
