@@ -23,6 +23,8 @@ ID = "urn:sorrel:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: An archive is scanned as one row, so it holds about so many bytes at most (a single longer record excepted).
+ARCHIVE = 32 << 20
 #: A record's header must end within so many bytes.
 HEADER = 64 << 10
 CANDIDATES = "file string, off long, next long, size long, kind string, record string, refers string, declared string, found string, payload_bytes long"
@@ -70,7 +72,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
         F.lit(CRLF),
     )
     out = joined.select(F.concat(header, block).alias("record"))
-    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
+    mean = rows.agg(F.avg("n")).first()[0] or 0
+    fits = max(1, min(records_per_file, int(ARCHIVE / (mean + 1024))))
+    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", fits).text(path)
 
 
 def candidates(name: str, content: bytes) -> list[tuple]:
