@@ -1,12 +1,11 @@
 """Packing documents into token windows, mixing sources by deficit round-robin.
 
-Mixture-controlled packing: each source is a queue of documents, cut into turns of at most ``turn``
-tokens. With every window a source earns its share of it in credit and sends turns while its credit
-lasts; what it could not send it carries as deficit to later windows, across partitions. A turn that
-ends ``e`` tokens into its queue thus falls due when the credit reaches ``e``, at ``e / credit`` windows, which
-prefix sums give for all rows at once. Each source begins with a part of a turn as credit, so that sources with
-like shares do not fall due together. Turns in the order in which they fall due form one stream, and each
-``window`` tokens of it are a sequence, so no window but the last has room left.
+Mixture-controlled packing: each source is a queue of tokens. With every window a source earns its share of it in
+credit and sends whole tokens while its credit lasts; the fraction that it could not send it carries as deficit to
+later windows, across partitions. So token ``q`` of a queue falls due when the credit reaches it, at ``(q + 1 - phase) / credit``
+windows, and sequence ``w`` holds the tokens from the ``window * w``-th on in the order in which they fall due, those of a source side
+by side. How many tokens of each source come before a sequence depends on the queues' lengths and credits alone, so
+every task works out the sequences that its documents reach into by itself (``Mixture``), without a table of turns.
 """
 
 from __future__ import annotations
@@ -31,120 +30,147 @@ def _encoder(tokenizer_path: str) -> WordEncoder:
     return WordEncoder(tokenizer_path)
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows before this one in ``order``.
-
-    Rows are range-partitioned by ``order``, summed partition by partition, and shifted by the totals
-    of the partitions before: no task holds more than a partition, whatever the keys.
-    """
-    spark = df.sparkSession
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {out} long, part int"
-    column = df.columns.index(value)
-
-    def running(batches):
-        part, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            v = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64)
-            sums = np.cumsum(v) + total
-            before = sums - v
-            total = int(sums[-1]) if len(sums) else total
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(np.full(len(v), part, np.int32))], [*batch.schema.names, out, "part"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    local = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running, schema), "running")
-    # One row for each partition: a number of rows that the partition count bounds.
-    totals = sorted((r["part"], r["n"]) for r in local.groupBy("part").agg(F.sum(value).alias("n")).collect())
-    shifts, at = [], 0
-    for part, n in totals:
-        shifts.append((part, at))
-        at += n
-    shift = F.broadcast(spark.createDataFrame(shifts, "part int, shift long"))
-    return local.join(shift, "part").withColumn(out, F.col(out) + F.col("shift")).drop("part", "shift")
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, eos: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``(uid, id, source, n, ids)``: each row's ids with ``eos`` behind, as little-endian 16-bit binary, under a row number of its own."""
+    """``(id, source, n, ids, part, before)``: each row's ids with ``eos`` behind, as little-endian 16-bit binary; ``before`` counts
+    the ids of earlier rows of its source in its partition ``part``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encode, part, at = _encoder(tokenizer_path), TaskContext.get().partitionId() << 36, 0
+        encode, part, sent = _encoder(tokenizer_path), TaskContext.get().partitionId(), {}
         tail = np.array([eos], "<u2").tobytes()
         for batch in batches:
             ids = [encode(t or "") + tail for t in batch.column(2).to_pylist()]
-            n = len(ids)
-            uid = np.arange(at, at + n) + part
-            at += n
+            n, before = [len(x) // 2 for x in ids], []
+            for source, k in zip(batch.column(1).to_pylist(), n, strict=True):
+                before.append(sent.get(source, 0))
+                sent[source] = before[-1] + k
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["uid", "id", "source", "n", "ids"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64())],
+                ["id", "source", "n", "ids", "part", "before"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).cast("string").alias("text"))
     small_batches(docs.sparkSession)
-    return materialize(rows.mapInArrow(run, f"uid long, id {kind}, source string, n long, ids binary"), "tokens")
-
-
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, turn: int = 128, eos: int = 0, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    return materialize(rows.mapInArrow(run, f"id {kind}, source string, n long, ids binary, part int, before long"), "tokens")
+
+
+class Mixture:
+    """Where each token of each queue goes: sequences of ``window`` tokens, filled in the order in which tokens fall due."""
+
+    #: So many numbers at most are worked on at a time.
+    CELLS = 1 << 21
+
+    def __init__(self, queues: list[int], credits: list[float], window: int):
+        self.queue, self.window = np.array(queues, np.int64), window
+        self.credit = np.maximum(np.array(credits, np.float64), 1e-6)
+        # Phases differ, so that sources with like shares do not fall due together.
+        self.phase = (np.arange(len(queues)) + 0.5) / max(1, len(queues))
+        self.total = int(self.queue.sum())
+        self.end = float(((self.queue + 1) / self.credit).max())
+
+    def due_by(self, t: np.ndarray) -> np.ndarray:
+        """Tokens of each queue that are due at each time: (times, queues)."""
+        return np.minimum(self.queue, (t[:, None] * self.credit + self.phase).astype(np.int64))
+
+    def sent(self, w: np.ndarray) -> np.ndarray:
+        """Tokens of each queue before each sequence: (sequences, queues); ties go by the queues' order."""
+        goal = np.minimum(w * self.window, self.total)
+        # Rounding moves a count by less than the number of queues; once a queue has run out, more time than that is needed.
+        rate, slack = self.credit.sum(), len(self.queue) + 1
+        low, high = np.maximum((goal - slack) / rate, 0.0), np.minimum((goal + slack) / rate, self.end)
+        high[self.due_by(high).sum(1) <= goal] = self.end
+        # Each sequence's steps are its own, so that all tasks find the same.
+        while len(wide := np.flatnonzero(high - low > 1e-6)):
+            mid = (low[wide] + high[wide]) / 2
+            early = self.due_by(mid).sum(1) <= goal[wide]
+            low[wide[early]], high[wide[~early]] = mid[early], mid[~early]
+        base = self.due_by(low)
+        more = self.due_by(high) - base
+        lacks = (goal - base.sum(1))[:, None]
+        return base + np.clip(lacks - (np.cumsum(more, 1) - more), 0, more)
+
+    def rank(self, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """About the place of token ``q`` of queue ``s`` in the order in which tokens fall due."""
+        out, step = np.zeros(len(s), np.int64), max(1, self.CELLS // len(self.queue))
+        for at in range(0, len(s), step):
+            i = s[at : at + step]
+            out[at : at + step] = self.due_by((q[at : at + step] + 1 - self.phase[i]) / self.credit[i]).sum(1)
+        return out
+
+    def pieces(self, s: np.ndarray, at: np.ndarray, n: np.ndarray):
+        """``(row, start, length, place)`` of the pieces of rows that hold the ``n`` tokens from ``at`` of queue ``s``."""
+        last = -(-self.total // self.window) - 1
+        # Rounding moves a rank by less than a window, so one more is tried at both ends.
+        first = np.maximum(self.rank(s, at) // self.window - 2, 0)
+        count = np.minimum(self.rank(s, at + n - 1) // self.window + 2, last) - first + 1
+        rows, ws = np.repeat(np.arange(len(s)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        out, step = [], max(1, self.CELLS // len(self.queue))
+        for k in range(0, len(rows), step):
+            row, w = rows[k : k + step], ws[k : k + step]
+            need = np.unique(np.concatenate([w, w + 1]))
+            sent = self.sent(need)
+            before = np.cumsum(sent, 1) - sent
+            i, j, q = np.searchsorted(need, w), np.searchsorted(need, w + 1), s[row]
+            low, high = sent[i, q], sent[j, q]
+            begin, end = np.maximum(low, at[row]), np.minimum(high, (at + n)[row])
+            place = w * self.window + before[j, q] - before[i, q] + begin - low
+            some = end > begin
+            out.append([x[some] for x in (row, begin - at[row], end - begin, place)])
+        got = [np.concatenate(x) for x in zip(*out, strict=True)]
+        if not np.array_equal(np.bincount(got[0], got[2], len(s)).astype(np.int64), n):
+            raise RuntimeError("pieces do not cover their rows")
+        return got
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, eos: int = 0, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces of every document's ids in sequences of ``window`` tokens; each id is in exactly one piece.
 
     ``weights`` are the target shares by source (default: each source's share of all tokens, so
-    that all queues end together; sources not named get a share of one token a window). A queue that has run
+    that all queues end together; sources not named get a share of one token a window). Every sequence holds each
+    source's share of it but for a few tokens; a queue that has run
     out leaves its share to the others. Null text is empty and packs as ``eos`` alone; null sources are one
     queue named ``""``; repeated rows are packed each; null ids stay null; an empty table gives none.
     Returns ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``. The last sequence alone
     may be short: it is padded to ``window`` unless its length is a power of two.
     """
-    spark = docs.sparkSession
     tokens = tokenize(docs, tokenizer_path, eos, id_col, text_col, source_col)
-    queued = materialize(prefix_sums(tokens.select("uid", "source", "n"), ["source", "uid"], "n", "before"), "queued")
-    queues = queued.groupBy("source").agg(F.min("before").alias("base"), F.sum("n").alias("queue"))
-    total = queues.agg(F.sum("queue")).first()[0] or 1
+    # A queue is its source's rows, partition by partition: one row for each source in a partition, and nothing is shuffled.
+    parts = sorted(tuple(r) for r in tokens.groupBy("source", "part").agg(F.sum("n")).collect())
+    queue, shift = {}, {}
+    for source, part, n in parts:
+        shift[source, part] = queue.get(source, 0)
+        queue[source] = shift[source, part] + n
+    queues = list(queue.items())
+    total = sum(queue.values())
     if weights is None:
-        credit = F.col("queue") * (window / total)
+        credits = [n * window / total for _, n in queues]
     else:
         norm = sum(weights.values())
-        shares = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, window * v / norm)])
-        credit = F.coalesce(shares[F.col("source")], F.lit(1.0))
-    queues = materialize(queues.select("source", "base", credit.alias("credit")), "queues")
-    turns = queued.join(queues, "source").select("uid", "source", "credit", (F.col("before") - F.col("base")).alias("at"), "n", F.explode(F.expr(f"sequence(0L, n - 1, {turn}L)")).alias("start"))
-    turns = turns.withColumn("len", F.least(F.lit(turn).cast("long"), F.col("n") - F.col("start")))
-    end = F.col("at") + F.col("start") + F.col("len")
-    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20) * turn
-    turns = turns.select(((end - phase) / F.col("credit")).alias("due"), "source", "uid", "start", "len")
-    placed = prefix_sums(turns, ["due", "source", "uid", "start"], "len", "place")
-    cuts = placed.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "len", "place"))).alias("cuts"))
+        credits = [window * weights[s] / norm if s in weights else 1.0 for s, _ in queues]
+    mixture = Mixture([n for _, n in queues], credits, window) if queues else None
+    number = {s: i for i, s in enumerate(queue)}
 
     def pieces(batches):
         for batch in batches:
-            cols = {k: [] for k in ("row", "start", "length", "crc", "place")}
-            ids = batch.column(2)
-            lists = batch.column(3)
-            flat, offs = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            start, length, place = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            for row in range(batch.num_rows):
-                words = np.frombuffer(ids[row].as_buffer(), "<u2").astype("<u4")
-                s, n, p = (x[offs[row] : offs[row + 1]] for x in (start, length, place))
-                # Turns that follow one another in the stream are one piece; each window's end cuts.
-                begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1] + n[:-1]]))
-                for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(p)], strict=True):
-                    at, here, left = int(s[i]), int(p[i]), int(n[i:j].sum())
-                    while left:
-                        take = min(left, window - here % window)
-                        cols["row"].append(row)
-                        cols["start"].append(at)
-                        cols["length"].append(take)
-                        cols["crc"].append(zlib.crc32(words[at : at + take]))
-                        cols["place"].append(here)
-                        at, here, left = at + take, here + take, left - take
-            where = np.array(cols["place"], np.int64)
-            row = pa.array(cols["row"], pa.int64())
-            arrays = [batch.column(0).take(row), *(pa.array(cols[k], pa.int64()) for k in ("start", "length", "crc")), batch.column(1).take(row), pa.array(where // window), pa.array(where % window)]
+            if not batch.num_rows:
+                continue
+            sources = batch.column(3).to_pylist()
+            s = np.array([number[x] for x in sources], np.int64)
+            n, before = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 5))
+            shifts = np.array([shift[x] for x in zip(sources, batch.column(4).to_pylist(), strict=True)], np.int64)
+            row, start, length, place = mixture.pieces(s, shifts + before, n)
+            ids, crcs, held, words = batch.column(2), [], -1, None
+            for i, a, size in zip(row.tolist(), start.tolist(), length.tolist(), strict=True):
+                if i != held:
+                    held, words = i, memoryview(np.frombuffer(ids[i].as_buffer(), "<u2").astype("<u4")).cast("B")
+                crcs.append(zlib.crc32(words[4 * a : 4 * (a + size)]))
+            taken = pa.array(row)
+            arrays = [batch.column(0).take(taken), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), batch.column(1).take(taken), pa.array(place // window), pa.array(place % window)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = tokens.join(cuts, "uid").select("id", "n", "ids", "cuts")
-    small_batches(spark)
-    out = joined.mapInArrow(pieces, PIECES.format(id=kind))
+    small_batches(docs.sparkSession)
+    out = tokens.select("id", "n", "ids", "source", "part", "before").mapInArrow(pieces, PIECES.format(id=kind))
     return out.withColumnRenamed("id", id_col)
 
 

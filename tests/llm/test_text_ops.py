@@ -205,6 +205,38 @@ def test_packing(spark, sf):
             assert abs(sent[s] - done * total[s] / total.total()) <= 1024 + 256
 
 
+def test_every_window_holds_the_mixture(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.collect()}
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    total, held = Counter(), defaultdict(Counter)
+    for r in rows:
+        total[source[r.doc_id]] += r.length
+        held[r.sequence_id][source[r.doc_id]] += r.length
+    assert len(total) > 8 and len(held) > 10
+    for w in range(len(held) - 1):
+        for s in total:
+            share = 1024 * total[s] / total.total()
+            assert abs(held[w][s] - share) <= 2 + share / 16, (w, s)
+            assert held[w][s] or share < 1
+
+
+def test_mixture_places_every_token_once():
+    rng = np.random.default_rng(1)
+    for queues, credits in (([700, 1, 40, 9000], [3.0, 0.2, 0.0, 60.0]), ([5] * 300, [64 / 300] * 300), ([1], [64.0]), ([640, 640], [32.0, 32.0])):
+        mix = packing.Mixture(queues, credits, 64)
+        s, at, n = [], [], []
+        for i, q in enumerate(queues):
+            cuts = sorted({0, q, *rng.integers(0, q, 9).tolist()})
+            s += [i] * (len(cuts) - 1)
+            at += cuts[:-1]
+            n += [b - a for a, b in zip(cuts, cuts[1:])]
+        row, start, length, place = mix.pieces(*(np.array(x, np.int64) for x in (s, at, n)))
+        seen = sorted(p for a, k in zip(place.tolist(), length.tolist()) for p in range(a, a + k))
+        assert seen == list(range(sum(queues)))
+        assert (place // 64 == (place + length - 1) // 64).all()
+
+
 def test_packing_awkward(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(docs, path).collect()
