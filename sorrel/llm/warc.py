@@ -25,8 +25,6 @@ HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ2
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 #: An archive is scanned as one row, so it holds about so many bytes at most (a single longer record excepted).
 ARCHIVE = 32 << 20
-#: A record's header must end within so many bytes.
-HEADER = 64 << 10
 CANDIDATES = "file string, off long, next long, size long, kind string, record string, refers string, declared string, found string, payload_bytes long"
 
 
@@ -77,19 +75,40 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
     out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", fits).text(path)
 
 
+FIELDS = (b"content-length", b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")
+
+
+def headers(content: bytes):
+    """``(off, end, fields)`` of each place where a header begins, however long it is; ``end`` is where its empty line begins.
+
+    Places with one end are read together, from the end on, so that many of them cost no more than their bytes.
+    """
+    marks, k = [m.span() for m in MAGIC.finditer(content)], 0
+    while k < len(marks):
+        end = content.find(b"\r\n\r\n", marks[k][0])
+        if end < 0:
+            return
+        last = k
+        while last < len(marks) and marks[last][0] < end:
+            last += 1
+        rows, fields, at, found = content[marks[k][1] : end].split(b"\r\n"), {}, end, []
+        for off, begin in reversed(marks[k:last]):
+            while rows and at - len(rows[-1]) >= begin:
+                row = rows.pop()
+                at -= len(row) + 2
+                name, sep, v = row.partition(b":")
+                name = name.strip().lower()
+                if sep and name in FIELDS and name not in fields:
+                    fields = {**fields, name: v.strip().decode("utf-8", "replace")}
+            found.append((off, end, fields))
+        yield from reversed(found)
+        k = last
+
+
 def candidates(name: str, content: bytes) -> list[tuple]:
     """All places of a file where a record may begin, with what its header says; ``next`` is -1 where the record cannot be whole."""
-    out = []
-    for m in MAGIC.finditer(content):
-        at = m.start()
-        end = content.find(b"\r\n\r\n", at, at + HEADER)
-        if end < 0:
-            continue
-        fields = {}
-        for row in content[m.end() : end].split(b"\r\n"):
-            k, sep, v = row.partition(b":")
-            if sep:
-                fields[k.strip().lower()] = v.strip().decode("utf-8", "replace")
+    out, hashed = [], (None, None)
+    for at, end, fields in headers(content):
         if not fields.get(b"content-length", "").isdigit():
             continue
         body, stop = end + 4, end + 4 + int(fields[b"content-length"])
@@ -99,7 +118,9 @@ def candidates(name: str, content: bytes) -> list[tuple]:
         kind, found, n = fields.get(b"warc-type"), None, None
         if after > 0 and kind == "response":
             payload = memoryview(content)[body + len(http) : stop]
-            found, n = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
+            if hashed[0] != (body, stop):
+                hashed = (body, stop), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            found, n = hashed[1], len(payload)
         elif after > 0 and kind == "revisit":
             # A revisit keeps the headers of the response, whose length field is that of the whole payload.
             declared = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
@@ -149,11 +170,12 @@ def reachable(found: DataFrame, max_rounds: int = 64) -> DataFrame:
     return state.where("root").select("file", F.col("to").alias("off")).join(offs, ["file", "off"], "left_semi")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """The records of all archives below ``path``: ``(record_id, kind, refers_id, payload_bytes, payload_digest)``.
 
     Ids are those of ``write_archives`` as text. A response whose payload does not have the digest that it
-    declares is an error. Of a damaged file the records before the damage are returned.
+    declares is an error. Of a damaged file the records before the damage are returned; if archives must be
+    ``whole``, a file whose chain of records does not reach its end is an error instead.
     """
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
@@ -163,6 +185,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     finally:
         spark.conf.set(batch, before)
     rows = found.join(reachable(found), ["file", "off"])
+    if whole:
+        rows = materialize(rows, "records")
+        ends = rows.groupBy("file").agg(F.max("next").alias("end"))
+        sizes = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+        short = sizes.join(ends, "file", "left").where(F.col("length") != F.coalesce("end", F.lit(0))).select("file").head(3)
+        if short:
+            raise ValueError(f"the records do not reach the end of {', '.join(r['file'] for r in short)}")
     own = lambda c: F.nullif(F.regexp_extract(c, f"^<{ID}(.*)>$", 1), F.lit("null"))
     bad = (F.col("kind") == "response") & ~F.col("found").eqNullSafe(F.col("declared"))
     digest = F.when(bad, F.raise_error(F.concat(F.lit("payload digest differs: "), "record"))).otherwise(F.col("declared"))
@@ -173,7 +202,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` written as archives and read back."""
     path = scratch(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    got = read_archives(spark, path)
+    got = read_archives(spark, path, whole=True)
     return got.select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_id").cast("long").alias("refers_to")
     )

@@ -128,6 +128,28 @@ def test_warc_empty_and_damaged(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}").count() == 2
 
 
+def test_warc_long_urls_and_whole_archives(spark, tmp_path):
+    rows = [(i, "data:," + "u" * 70_000 * (i == 2) + "/" + "v" * 200_000 * (i == 5), f"<p>{i}</p>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    warc.write_archives(df.coalesce(1), path)
+    assert sorted(int(r.record_id) for r in warc.read_archives(spark, path, whole=True).collect()) == list(range(9))
+    name = next(p for p in __import__("pathlib").Path(path.removeprefix("file:")).glob("part*"))
+    for n, content in enumerate((name.read_bytes()[:-10], b"x" + name.read_bytes())):
+        (tmp_path / f"{n}").mkdir()
+        (tmp_path / f"{n}/cut.warc").write_bytes(content)
+        with pytest.raises(ValueError, match="cut.warc"):
+            warc.read_archives(spark, f"file://{tmp_path}/{n}", whole=True)
+
+
+def test_warc_headers_that_share_an_end():
+    text = b"WARC/1.1\r\nWARC-Type: a\r\nContent-Length: 1\r\nyWARC/1.0\r\nContent-Length: 2\r\nWARC/1.1\r\n\r\nWARC/1.1\r\nWARC-Type:b\r\n\r\nWARC/1.1\r\nWARC-Type: c\r\n"
+    got = [(off, end, f.get(b"warc-type"), f.get(b"content-length")) for off, end, f in warc.headers(text)]
+    starts = [m.start() for m in warc.MAGIC.finditer(text)]
+    ends = [text.find(b"\r\n\r\n"), text.find(b"b\r\n\r\n") + 1]
+    assert got == [(starts[0], ends[0], "a", "2"), (starts[1], ends[0], None, "2"), (starts[2], ends[0], None, None), (starts[3], ends[1], "b", None)]
+
+
 LINKED = [
     (1, "http://bad.net/x", '<link rel="canonical" href="http://Good.example.com/a#f">'),
     (2, "http://good.example.com/a#top", ""),
