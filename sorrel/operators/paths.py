@@ -95,12 +95,16 @@ def reachable_within(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_
     return seen
 
 
-def descendants(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """``(ancestor_id, id, depth)`` over the containment tree."""
+def descendants(nodes: DataFrame) -> DataFrame:
+    """``(ancestor_id, id, depth)`` over the containment tree, of any depth; a node that contains itself is an error."""
     links = nodes.where("container_id is not null").select(F.col("container_id").alias("up"), F.col("id").alias("down"))
     level = links.select(F.col("up").alias("ancestor_id"), F.col("down").alias("id"), F.lit(1).cast("long").alias("depth"))
     out = level
-    for hop in range(2, max_depth + 1):
+    hop = 1
+    while True:
+        if not level.where("ancestor_id = id").isEmpty():
+            raise ValueError("a node contains itself")
+        hop += 1
         level = written(level.join(links, F.col("id") == F.col("up")).select("ancestor_id", F.col("down").alias("id"), F.lit(hop).cast("long").alias("depth")), "level")
         if level.isEmpty():
             break

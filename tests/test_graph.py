@@ -282,3 +282,12 @@ def test_change_stream(spark, tmp_path):
     q = changes.reconcile_stream(changes.change_stream(spark, str(src)), lambda df, _: seen.extend((r.uri, r.removed) for r in df.collect()), str(tmp_path / "cp"), None)
     q.awaitTermination(60)
     assert sorted(seen) == [("file:///r/a.py", True), ("file:///r/b.go", False)]
+
+
+def test_descendants_of_any_depth(spark):
+    from sorrel.operators import paths
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(36)], "id long, container_id long")
+    assert {tuple(r) for r in paths.descendants(chain).collect()} == {(a, b, b - a) for b in range(36) for a in range(b)}
+    with pytest.raises(ValueError, match="contains itself"):
+        paths.descendants(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "id long, container_id long"))
