@@ -20,13 +20,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import byte_alphabet
+from .byte_bpe import SPACE, byte_alphabet
 from .common import small_batches, table
 
 #: Words whose ids an encoder keeps: a bound on a worker's memory.
 WORDS = 400_000
-#: The characters with Unicode's White_Space property.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class ForcedBoundaryBPE:

@@ -1,31 +1,21 @@
-"""A byte-level BPE encoder that reuses the ids of words it has met."""
+"""A byte-level BPE encoder that works on whole texts by merge ranks."""
 
 from __future__ import annotations
 
 import json
+import re
+from functools import cached_property
 
 import numpy as np
 
-#: Words whose ids an encoder keeps: a bound on a worker's memory.
-WORDS = 400_000
-
-
-class _Words(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word):
-        ids = np.array(self.encode(word), "<u2").tobytes()
-        if len(word) <= 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+#: The characters with Unicode's White_Space property.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters of a text that are encoded at a time: a bound on memory for very long ones.
+CHUNK = 1 << 18
 
 
 def _rank_encoder(model: dict):
-    """The same encoding by merge ranks, which is faster on words; None where ids are not in merge order."""
+    """The same encoding by merge ranks, which is the faster one; None where ids are not in merge order."""
     import public_tokenizers
     import tiktoken
 
@@ -46,43 +36,44 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class WordEncoder:
+class TextEncoder:
     """Ids of a text as 16-bit little-endian bytes, equal to those of the tokenizer file's library.
 
     In this vocabulary's pattern a single space with visible characters on both sides always begins a
-    word, so texts are cut there and each distinct word is encoded once. Special strings inside a text
-    become their own ids, as the library does by default.
+    word, so long texts are cut there and encoded in chunks. Special strings inside a text
+    become their own ids, as the library does by default; it is loaded for such texts only.
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec["pre_tokenizer"], spec["model"]
         if spec["normalizer"] is not None or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model.get("end_of_word_suffix"):
             raise ValueError("not a plain byte-level BPE tokenizer")
+        self.path = tokenizer_path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if max([*model["vocab"].values(), *self.special.values()]) >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.plain = _rank_encoder(model)
+        self.cut = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        self.words = _Words(_rank_encoder(model) or self.whole)
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def chunks(self, text: str):
+        """The text in parts that encode on their own."""
+        begin = 0
+        while len(text) - begin > CHUNK and (found := self.cut.search(text, begin + CHUNK)):
+            yield text[begin : found.start()]
+            begin = found.start()
+        yield text[begin:] if begin else text
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole(text), "<u2").tobytes()
-        # A space is a cut where neither neighbour is white space.
-        first, *rest = text.split(" ")
-        out, held = [], first
-        get = self.words.__getitem__
-        for word in rest:
-            if word and held and not word[0].isspace() and not held[-1].isspace():
-                out.append(get(held))
-                held = " " + word
-            else:
-                held = f"{held} {word}"
-        out.append(get(held) if held else b"")
-        return b"".join(out)
+        encode = self.library if self.plain is None or any(s in text for s in self.special) else self.plain
+        return b"".join([np.array(encode(part), "<u2").tobytes() for part in self.chunks(text)])

@@ -19,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import WordEncoder
+from .byte_bpe import TextEncoder
 from .common import materialize, small_batches, table
 
 PIECES = "id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-@lru_cache(maxsize=2)
-def _encoder(tokenizer_path: str) -> WordEncoder:
-    return WordEncoder(tokenizer_path)
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str) -> TextEncoder:
+    return TextEncoder(tokenizer_path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, eos: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
