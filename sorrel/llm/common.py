@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +74,38 @@ def small_batches(spark: SparkSession, rows: int = 512, mb: int = 32) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task settles by itself at most.
+ALONE = 1 << 18
+
+
+def _settle(batches):
+    """Batches of edges ``(a, b)``, all of a graph, to its ``(node, root)`` rows: labels fall to the least neighbour's, with pointer jumping."""
+    edges = pa.Table.from_batches(list(batches)).combine_chunks()
+    ends = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (edges.column(0), edges.column(1))]).dictionary_encode()
+    order = pc.sort_indices(ends.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[ends.indices.to_numpy()]
+    a, b = code[: len(code) // 2], code[len(code) // 2 :]
+    label = np.arange(len(order))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    names = ends.dictionary.take(pa.array(order))
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, alone: int = ALONE) -> DataFrame:
     """Components of an undirected graph given as ``(a, b)`` rows of one orderable type.
 
-    Alternates large-star and small-star steps, each a map-side combined minimum per node and a join,
+    Up to ``alone`` distinct edges, as counted, one task settles. More alternate large-star and small-star steps, each a
+    map-side combined minimum per node and a join,
     until the edge set stays the same; each round is a written table. Returns ``(node, root)`` for
     each node on an edge, ``root`` being its component's smallest node. Self loops and repeated edges
     are allowed, null ends are dropped, an empty input gives an empty result.
@@ -82,8 +113,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     named = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null")
     # A self loop must not vanish: its node is a component of its own.
     current = materialize(named.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if current.isEmpty():
+    n = current.count()
+    if not n:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if n <= alone:
+        kind = current.schema["a"].dataType.simpleString()
+        return current.coalesce(1).mapInArrow(_settle, f"node {kind}, root {kind}")
 
     def step(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs

@@ -24,6 +24,19 @@ BITS = 64
 BUCKET = 16384
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return counts
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    return int(np.packbits(bit_counts(hashes) * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """SimHash over word shingles with repeats; 0 for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -36,12 +49,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         starts, ends = starts[: n - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
+    del words
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), 65536):
         pairs = zip(starts[at : at + 65536].tolist(), ends[at : at + 65536].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+        counts += bit_counts(np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64))
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 

@@ -144,15 +144,40 @@ def test_masks_cover(radius):
         assert any(not any(m >> b & 1 for b in bits) for m in masks)
 
 
-def test_components_on_a_chain(spark):
+@pytest.mark.parametrize("alone", [1 << 18, 0])
+def test_components_on_a_chain(spark, alone):
     edges = [(i, i + 1) for i in range(24)] + [(100, 100), (None, 3), (200, 201), (200, 201)]
-    got = {(r.node, r.root) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {(r.node, r.root) for r in connected_components(df, alone=alone).collect()}
     assert got == {(i, 0) for i in range(25)} | {(100, 100), (200, 200), (201, 200)}
+    named = df.selectExpr("concat('n', lpad(a, 4, 0)) a", "concat('n', lpad(b, 4, 0)) b")
+    assert {(int(r.node[1:]), int(r.root[1:])) for r in connected_components(named, alone=alone).collect()} == got
+    assert connected_components(df.limit(0), alone=alone).count() == 0
 
 
-def test_word_encoder_matches_the_library(spark, sf):
+def test_components_settled_alone_match_union_find(spark):
+    rng = random.Random(3)
+    values = rng.sample(range(-(10**12), 10**12), 3000)
+    edges = [(rng.choice(values), rng.choice(values)) for _ in range(1700)] + list(zip(values[:600], values[1:601]))
+    parent = {v: v for e in edges for v in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {v: find(v) for v in parent}
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 7])
+def test_text_encoder_matches_the_library(spark, sf, monkeypatch, chunk):
+    monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encode, lib = byte_bpe.WordEncoder(path), Tokenizer.from_file(path)
+    encode, lib = byte_bpe.TextEncoder(path), Tokenizer.from_file(path)
     rng = random.Random(2)
     alphabet = "aé ß  \x1c\x85 \n\t  'sll1٣漢字🙂.,!́"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
