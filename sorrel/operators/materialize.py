@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,9 +35,10 @@ def call_edges(anchors: DataFrame, nodes: DataFrame, calls: DataFrame, direction
     ``calls`` rows hold the other symbol's selection start in ``item_*`` and its end in ``item_end_*``; an
     incoming caller whose selection is all zero is its file's module. ``implementations`` are location rows:
     a callee that is a member of an interface, in a language with dispatch by interface, is replaced by
-    all its resolved implementations, if there are any.
+    all its resolved implementations, if there are any. Of several prepared items of an anchor (``item_rank``) the first counts.
     """
-    facts = calls.where(F.col("direction") == direction).select(F.col("anchor_uri").alias("a_uri"), F.col("anchor_line").alias("a_line"), F.col("anchor_character").alias("a_char"), "item_uri", "item_line", "item_character", "item_end_line", "item_end_character", F.explode("from_ranges").alias("site"))
+    calls = calls.where(F.col("direction") == direction)
+    facts = (first_items(calls) if "item_rank" in calls.columns else calls).select(F.col("anchor_uri").alias("a_uri"), F.col("anchor_line").alias("a_line"), F.col("anchor_character").alias("a_char"), "item_uri", "item_line", "item_character", "item_end_line", "item_end_character", F.explode("from_ranges").alias("site"))
     sites = _anchor_points(anchors, nodes).join(facts, ["a_uri", "a_line", "a_char"])
     points = sites.select(F.col("item_uri").alias("uri"), F.col("item_line").alias("line"), F.col("item_character").alias("character"), F.col("item_end_line").alias("end_line"), F.col("item_end_character").alias("end_character"))
     if direction == "incoming":
@@ -90,5 +91,5 @@ def refine_constructs(nodes: DataFrame, hover: DataFrame) -> DataFrame:
 
 def first_items(calls: DataFrame) -> DataFrame:
     """Only the first prepared item of each anchor counts."""
-    order = Window.partitionBy("direction", "anchor_uri", "anchor_line", "anchor_character").orderBy("item_rank")
-    return calls.withColumn("_r", F.dense_rank().over(order)).where("_r = 1").drop("_r")
+    at = ["direction", "anchor_uri", "anchor_line", "anchor_character"]
+    return calls.join(calls.groupBy(*at).agg(F.min("item_rank").alias("item_rank")), [*at, "item_rank"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,12 +37,13 @@ def _call_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.join(keyed, "dst_id").select("src_id", "dst_id", "key")
 
 
-def find_call_paths(edges: DataFrame, nodes: DataFrame, requests: DataFrame, max_depth: int | None = None, stale: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+def find_call_paths(edges: DataFrame, nodes: DataFrame, requests: DataFrame, max_depth: int | None = None, stale: DataFrame | Callable[[DataFrame], DataFrame] | None = None, budget: int | None = None) -> DataFrame:
     """For each ``(request, start_id, target_id)`` the shortest chain of valid calls: ``(request, reachable, path, limit_reached)``.
 
     All requests advance together, a level a round. A queue meets the nodes of a level in the order of the sort keys along
     their paths, so each node keeps the least such sequence and ties fall as they do in a queue. A node at
-    ``max_depth`` hops is not expanded and sets ``limit_reached``. ``stale`` names anchors ``(anchor_id)`` whose callees are not fresh:
+    ``max_depth`` hops is not expanded and sets ``limit_reached``. ``stale`` names anchors ``(anchor_id)`` whose callees are not fresh, or is a
+    function that picks them from given ``(anchor_id)``, so that only the frontiers' anchors are looked at:
     each expansion of one spends one of a request's ``budget``, and beyond it sets ``limit_reached`` while known
     calls are still followed. Finding the target clears the flag. Invalid and foreign nodes: only valid ones are entered, foreign ones too.
     """
@@ -55,7 +57,8 @@ def find_call_paths(edges: DataFrame, nodes: DataFrame, requests: DataFrame, max
     purse = own.select("request", F.lit(clamp_budget(budget)).cast("long").alias("left"), F.lit(False).alias("limited"))
     for _ in range(depth):
         if stale is not None:
-            waiting = frontier.join(stale.select(F.col("anchor_id").alias("id")).distinct(), "id", "left_semi").groupBy("request").agg(F.count("*").alias("n"))
+            late = stale(frontier.select(F.col("id").alias("anchor_id")).distinct()) if callable(stale) else stale
+            waiting = frontier.join(late.select(F.col("anchor_id").alias("id")).distinct(), "id", "left_semi").groupBy("request").agg(F.count("*").alias("n"))
             n = F.coalesce("n", F.lit(0))
             purse = written(purse.join(waiting, "request", "left").select("request", F.greatest(F.col("left") - n, F.lit(0)).alias("left"), (F.col("limited") | (n > F.col("left"))).alias("limited")), "purse")
         first = F.min(F.struct(F.concat("order", F.array("key")).alias("order"), F.concat("path", F.array("dst_id")).alias("path"))).alias("first")
@@ -74,7 +77,7 @@ def find_call_paths(edges: DataFrame, nodes: DataFrame, requests: DataFrame, max
     return out.select("request", reachable.alias("reachable"), F.coalesce("path", F.expr("cast(array() as array<bigint>)")).alias("path"), limited.alias("limit_reached"))
 
 
-def find_call_path(edges: DataFrame, nodes: DataFrame, start: int, target: int, max_depth: int | None = None, stale: DataFrame | None = None, budget: int | None = None) -> CallPath:
+def find_call_path(edges: DataFrame, nodes: DataFrame, start: int, target: int, max_depth: int | None = None, stale: DataFrame | Callable[[DataFrame], DataFrame] | None = None, budget: int | None = None) -> CallPath:
     """One request of ``find_call_paths``."""
     one = edges.sparkSession.createDataFrame([(0, start, target)], "request long, start_id long, target_id long")
     row = find_call_paths(edges, nodes, one, max_depth, stale, budget).first()

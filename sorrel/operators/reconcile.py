@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,9 +99,10 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     """Bring the files ``(uri)`` to what ``symbols`` say; a file without symbols is gone.
 
     ``symbols`` are flat rows with ``pos``, ``parent_pos``, ``language``, ``is_external`` and ``signature_hash``. Matched rows keep
-    id, construct, signature, language and origin. Returns nodes, edges, cache, marks and the plan.
+    id, construct, signature, language and origin. Inserted symbols are upserted: those of one name are one node, and one
+    whose name or place some node has takes its id. Old rows that a symbol takes over so are neither orphaned nor deleted. Returns nodes, edges, cache, marks and the plan.
     """
-    from .store import allocate, delete_nodes, drop_callee_hashes, invalidate_incident, upsert_edges
+    from .store import PHYSICAL_KEY, delete_nodes, drop_callee_hashes, invalidate_incident, upsert_edges, upsert_nodes
     from .tables import written
 
     touched = uris.select("uri").distinct()
@@ -110,6 +114,7 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     facts = ["fqn", "name", "kind", "node_kind", "detail", "signature_hash", *BOUNDS]
     held = plan.where("old_id is not null and new_pos is not null").select("uri", "new_pos", F.col("old_id").alias("id"))
     update = new.withColumnRenamed("pos", "new_pos").join(held, ["uri", "new_pos"]).select("id", *[F.col(c).alias(f"_{c}") for c in facts], F.lit(True).alias("_hit"))
+    # An upserted symbol that takes such a row over makes it valid again.
     orphans = plan.where("action = 'orphaned'").select(F.col("old_id").alias("id"), F.lit(True).alias("_orphan"))
     out = nodes.join(update, "id", "left").join(orphans, "id", "left")
     for c in facts:
@@ -123,13 +128,18 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
         F.lit(None).cast("long").alias("id"), "fqn", "uri", "name", "language", "kind", "node_kind", null.alias("construct"), F.lit(None).cast("long").alias("container_id"), *BOUNDS, null.alias("signature"),
         null.alias("documentation"), "detail", "signature_hash", F.lit(True).alias("valid"), F.lit(False).alias("orphan"), F.lit(0).cast("long").alias("generation"), "is_external", "new_pos",
     )
-    numbered = written(allocate(made, nodes, ["uri", "new_pos"]), "inserted")
-    out = out.unionByName(numbered.select(*nodes.columns))
+    made = written(made, "made")
+    out = written(upsert_nodes(written(out, "kept"), made.select(*nodes.columns, "new_pos"), "new_pos"), "upserted")
+    named, placed_at = out.select("fqn", F.col("id").alias("_named")), out.groupBy(*PHYSICAL_KEY).agg(F.min("id").alias("_placed"))
+    numbered = made.join(named, "fqn", "left").join(placed_at, PHYSICAL_KEY, "left").select("uri", "new_pos", F.coalesce("_named", "_placed").alias("id"))
+    numbered = written(numbered, "inserted")
 
     ids = held.select("uri", "new_pos", "id").unionByName(numbered.select("uri", "new_pos", "id"))
     parents = new.where("parent_pos is not null").select("uri", F.col("pos").alias("new_pos"), "parent_pos")
     linked = parents.join(ids, ["uri", "new_pos"]).join(ids.select("uri", F.col("new_pos").alias("parent_pos"), F.col("id").alias("_container")), ["uri", "parent_pos"])
-    placed = ids.select("id").join(linked.select("id", "_container"), "id", "left").withColumn("_seen", F.lit(True))
+    # Symbols of one name are one node: the last one's container counts.
+    last = linked.groupBy("id").agg(F.max_by("_container", "new_pos").alias("_container"))
+    placed = ids.select("id").distinct().join(last, "id", "left").withColumn("_seen", F.lit(True))
     out = out.join(placed, "id", "left").withColumn("container_id", F.when(F.col("_seen"), F.col("_container")).otherwise(F.col("container_id"))).select(*nodes.columns)
 
     edges = invalidate_incident(edges, plan.where("changed").select(F.col("old_id").alias("id")))
@@ -137,12 +147,54 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     contains = linked.select(
         none.cast("long").alias("id"), F.col("_container").alias("src_id"), F.col("id").alias("dst_id"), F.lit("contains").alias("edge_type"), none.cast("string").alias("site_uri"),
         *[none.cast("long").alias(c) for c in ("site_start_line", "site_start_col", "site_end_line", "site_end_col")], F.lit(True).alias("valid"),
-    )
+    ).where("src_id != dst_id")
     edges = upsert_edges(edges, contains.select(*edges.columns))
-    dead = plan.where("action = 'deleted'").select(F.col("old_id").alias("id"))
+    dead = plan.where("action = 'deleted'").select(F.col("old_id").alias("id")).join(numbered.select("id"), "id", "left_anti")
     return *delete_nodes(out, edges, cache, marks, dead), plan
 
 
+def with_places(flat: DataFrame) -> DataFrame:
+    """Indexed symbols with ``pos``, their number in a file's depth-first order, and their parent's ``parent_pos``."""
+    placed = flat.withColumn("pos", F.row_number().over(Window.partitionBy("uri").orderBy("path")).cast("long") - 1)
+    up = placed.select("uri", F.col("path").alias("parent_path"), F.col("pos").alias("parent_pos"))
+    return placed.join(up, ["uri", "parent_path"], "left").drop("path", "parent_path")
+
+
+def reconcile_answers(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, files: DataFrame, answers: DataFrame, root_uri: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``reconcile`` for changed files ``(uri, removed)`` from their captured answers ``(uri, symbols)``.
+
+    A removed file loses its symbols; one whose answer is missing or broken is left as it is.
+    """
+    from ..sources import facts
+    from .tables import written
+
+    good = answers.join(files.where("not removed").select("uri").distinct(), "uri", "left_semi").where("try_parse_json(symbols) is not null")
+    symbols = written(with_places(facts.index_symbols(facts.flatten_symbols(good, root_uri), root_uri)), "symbols")
+    uris = good.select("uri").unionByName(files.where("removed").select("uri")).distinct()
+    return reconcile(nodes, edges, cache, marks, symbols, uris)
+
+
+def catch_up(uris: DataFrame, attempt: Callable[[DataFrame], DataFrame], retries: int = 5, delay: float = 2.0) -> DataFrame:
+    """Reconcile files ``(uri)`` after a start, and the run's tallies ``(checked, failures, skipped)`` in one row.
+
+    ``attempt`` takes files and returns their ``(uri, state)``: ``committed``, ``failed``, or ``waiting`` for those that look
+    suspiciously empty or whose source is down. These are tried again, ``delay`` seconds apart; what still waits is skipped and stays as it is.
+    """
+    from .tables import written
+
+    pending = written(uris.select("uri").distinct(), "pending")
+    checked, failures = pending.count(), 0
+    for turn in range(retries + 1):
+        if turn:
+            time.sleep(delay)
+        got = written(attempt(pending).select("uri", "state"), "attempt")
+        failures += got.where("state = 'failed'").count()
+        pending = got.where("state = 'waiting'").select("uri")
+        if pending.isEmpty():
+            break
+    return uris.sparkSession.createDataFrame([(checked, failures, pending.count())], "checked long, failures long, skipped long")
+
+
 def drift(found: DataFrame, stored: DataFrame, known: DataFrame) -> DataFrame:
     """What a start-up scan has to do: ``(uri, state)``.
 

@@ -55,8 +55,10 @@ def callee_freshness(anchors: DataFrame, nodes: DataFrame, files: DataFrame, cac
     """``(anchor_id, fresh)``: whether the stored hash is that of the anchor's file now; an unreadable file is never fresh."""
     from ..functions.text import content_hash
 
-    hashes = files.select("uri", content_hash(F.col("text")).alias("now"))
-    at = anchors.select("anchor_id").join(nodes.select(F.col("id").alias("anchor_id"), "uri"), "anchor_id").join(hashes, "uri", "left").join(cache, "anchor_id", "left")
+    placed = anchors.select("anchor_id").join(nodes.select(F.col("id").alias("anchor_id"), "uri"), "anchor_id")
+    # Only the anchors' own files are hashed.
+    hashes = files.join(placed.select("uri").distinct(), "uri", "left_semi").select("uri", content_hash(F.col("text")).alias("now"))
+    at = placed.join(hashes, "uri", "left").join(cache, "anchor_id", "left")
     return at.select("anchor_id", F.coalesce(F.col("now") == F.col("content_hash"), F.lit(False)).alias("fresh"))
 
 

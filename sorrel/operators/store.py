@@ -18,6 +18,12 @@ def _last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, "_best._row.*").select(*df.columns)
 
 
+def get_meta(meta: DataFrame, key: str) -> str | None:
+    """A setting's value, None where there is none."""
+    row = meta.where(F.col("key") == key).select("value").first()
+    return row and row["value"]
+
+
 def allocate(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """Gives rows the next ids after the largest there is, in ``order``."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -25,25 +31,28 @@ def allocate(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame
 
 
 def upsert_nodes(nodes: DataFrame, batch: DataFrame, order: str = "id") -> DataFrame:
-    """Insert or overwrite by ``fqn``, else by physical key; ids of overwritten rows stay.
+    """Insert or overwrite by ``fqn``, else by physical key; ids of overwritten rows stay, and both keys stay unique.
 
-    Of a batch's rows with one name the last by ``order`` counts. All other columns come from
-    the batch, nulls too.
+    Of a batch's rows with one name the last by ``order`` counts, then of those at one place. An old row is claimed once:
+    by name before place, so a place's old row whose name the batch has elsewhere is not
+    taken over. An old row that nothing claims goes when a batch row comes to stand at its place. All other columns come from the batch, nulls too.
     """
-    batch = _last(batch, ["fqn"], [F.col(order)])
     columns = nodes.columns
+    # The order travels apart: as "id" it would go with the key's columns.
+    batch = batch.withColumn("_order", F.col(order))
+    batch = written(_last(_last(batch, ["fqn"], [F.col("_order")]), PHYSICAL_KEY, [F.col("_order")]).drop("_order"), "batch")
     by_name = nodes.select(F.col("id").alias("_by_name"), "fqn")
-    by_place = nodes.select(F.col("id").alias("_by_place"), *PHYSICAL_KEY)
+    by_place = nodes.join(batch.select("fqn"), "fqn", "left_anti").select(F.col("id").alias("_by_place"), *PHYSICAL_KEY)
     found = batch.join(by_name, "fqn", "left").join(by_place, PHYSICAL_KEY, "left")
     placed = written(found.withColumn("_old", F.coalesce("_by_name", "_by_place")).drop("_by_name", "_by_place"), "placed")
     known = placed.where("_old is not null").withColumn("id", F.col("_old")).select(*columns)
     fresh = placed.where("_old is null").select(*columns)
-    kept = nodes.join(known.select("id"), "id", "left_anti")
+    kept = nodes.join(known.select("id"), "id", "left_anti").join(placed.select(*PHYSICAL_KEY), PHYSICAL_KEY, "left_anti").select(*columns)
     return kept.unionByName(known).unionByName(allocate(fresh, nodes, ["fqn"]))
 
 
-def upsert_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
-    """Merge by the six-part key, null-safe: known edges keep their id and take validity and end from the batch."""
+def merged_edges(edges: DataFrame, batch: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """What ``upsert_edges`` changes or adds, written: the batch's edges with their ids. New ids follow the largest in ``top`` (default: ``edges``)."""
     batch = _last(batch, EDGE_KEY, [F.col("valid"), F.col("site_end_line"), F.col("site_end_col")])
     b, e = batch.alias("b"), edges.alias("e")
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in EDGE_KEY]
@@ -52,9 +61,13 @@ def upsert_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
         cond = cond & s
     hit = b.join(e, cond, "left").select(F.col("e.id").alias("id"), *[F.col(f"b.{c}") for c in edges.columns if c != "id"])
     hit = written(hit, "merged")
-    known = hit.where("id is not null")
-    kept = edges.join(known.select("id"), "id", "left_anti")
-    return kept.unionByName(known).unionByName(allocate(hit.where("id is null"), edges, EDGE_KEY))
+    return hit.where("id is not null").unionByName(allocate(hit.where("id is null"), edges if top is None else top, EDGE_KEY))
+
+
+def upsert_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
+    """Merge by the six-part key, null-safe: known edges keep their id and take validity and end from the batch."""
+    merged = merged_edges(edges, batch)
+    return edges.join(merged.select("id"), "id", "left_anti").unionByName(merged)
 
 
 def merge_keyed(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

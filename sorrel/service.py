@@ -10,10 +10,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.adapters import route_language
+from .functions.text import content_hash
 from .operators import locate, materialize, paths, relations, store, symbols
 from .operators.paging import next_cursor
 from .operators.snapshots import Snapshot, refresh_sources
 from .operators.symbols import NodeFilter
+from .operators.tables import written
 from .plans import schema
 from .sources.files import read_range
 
@@ -49,14 +52,33 @@ class Facts:
 
 
 class GraphService:
-    """Queries over one snapshot. Anchors that were never materialised are built from the facts when they are asked for."""
+    """Queries over one snapshot. Anchors that were never materialised are built from the facts when they are asked for.
+
+    What requests change in the edges is a small written table over those of the snapshot, so plans do not grow with requests.
+    """
 
     def __init__(self, spark: SparkSession, snapshot: Snapshot, facts: Facts | None = None, root_uri: str = "file:///repo"):
         self.spark, self.root_uri = spark, root_uri
         self.facts = facts or Facts.none(spark)
-        self.nodes, self.edges = snapshot.nodes, snapshot.edges
+        self.nodes, self.base = snapshot.nodes, snapshot.edges
+        self.delta = spark.createDataFrame([], self.base.schema)
         self.cache, self.marks = snapshot.callees_cache, snapshot.materialized
 
+    @property
+    def edges(self) -> DataFrame:
+        return self.base.join(self.delta.select("id"), "id", "left_anti").unionByName(self.delta)
+
+    def _put(self, changed: DataFrame) -> None:
+        """Edges with their ids take the place of those with the same ids."""
+        self.delta = written(self.delta.join(changed.select("id"), "id", "left_anti").unionByName(changed.select(*self.base.columns)), "delta")
+
+    def _merge(self, new: DataFrame) -> None:
+        """Upsert located edges; only the stored edges between the same ends are looked at."""
+        new = written(new, "new")
+        near = self.edges.join(new.select("src_id", "dst_id").distinct(), ["src_id", "dst_id"], "left_semi").select(*self.base.columns)
+        ids = self.base.select("id").unionAll(self.delta.select("id"))
+        self._put(written(store.merged_edges(near, new.select(*self.base.columns), ids), "merged"))
+
     def _anchor(self, ref: SymbolRef):
         if ref.fqn is not None:
             return symbols.by_fqn(self.nodes, ref.fqn).orderBy("id").first()
@@ -78,7 +100,7 @@ class GraphService:
         return not self.marks.where((F.col("anchor_id") == anchor_id) & (F.col("edge_type") == kind)).isEmpty()
 
     def _mark(self, anchor_id: int, kind: str) -> None:
-        self.marks = store.mark_materialized(self.marks, self.spark.createDataFrame([(anchor_id, kind)], schema.MATERIALIZED))
+        self.marks = written(store.mark_materialized(self.marks, self.spark.createDataFrame([(anchor_id, kind)], schema.MATERIALIZED)), "marks")
 
     def _one(self, anchor_id: int) -> DataFrame:
         return self.spark.createDataFrame([(anchor_id,)], "anchor_id long")
@@ -100,8 +122,6 @@ class GraphService:
         point = self.spark.createDataFrame([at], "uri string, line long, character long")
         ids = locate.find_definition(point, self.facts.locations, self.nodes).select(F.col("node_id").alias("id"))
         rows = materialize.refine_constructs(materialize.backfill(self.nodes, self.facts.hover), self.facts.hover).join(ids, "id", "left_semi").orderBy("id").collect()
-        from .functions.adapters import route_language
-
         language = self.spark.range(1).select(route_language(F.lit(at[0])).alias("l")).first()["l"]
         return {"nodes": self._shown(rows)} | self._degraded(language)
 
@@ -109,39 +129,44 @@ class GraphService:
         anchor = self._anchor(ref)
         if anchor is None:
             return {names[0]: [], "next_cursor": None, "hint_fqns": self._hints(ref, None)}
-        edges, more = self._current_edges(anchor, kind, incoming)
+        more = self._build(anchor, kind, incoming)
+        edges = self.edges
         nodes = materialize.backfill(self.nodes, self.facts.hover) if with_signature else self.nodes
         from .operators.paging import page
 
         rows = page(relations.related(self._one(anchor["id"]), edges, nodes, kind, incoming, node_filter), limit, cursor).collect()
+        if more.pop("refresh", False):
+            self.refresh(anchor["id"], kind)
         shown = self._shown(rows)
         items = [{"node": n, names[1]: [s.asDict() for s in r["sites"]]} for n, r in zip(shown, rows, strict=True)]
         return {names[0]: items, "next_cursor": next_cursor(rows), "hint_fqns": []} | self._degraded(anchor["language"]) | more
 
-    def _current_edges(self, anchor, kind: str, incoming: bool) -> tuple[DataFrame, dict]:
-        """The edges to read: incoming ones are built at first and then served as they are while a refresh is due;
-        outgoing calls are rebuilt whenever the anchor's file is not what it was."""
-        one, mark = self._one(anchor["id"]), kind if incoming else f"{kind}_out"
+    def _build(self, anchor, kind: str, incoming: bool) -> dict:
+        """Bring an anchor's edges up before they are read, if its source is there; without it they are served as they are.
+
+        Incoming ones are built when first asked for; later they are served as they are and refreshed behind the answer
+        (``refreshing``). Outgoing calls are rebuilt whenever the anchor's file is not what it was.
+        """
+        one, up = self._one(anchor["id"]), self._degraded(anchor["language"]) == {}
         if incoming:
-            if not self._warm(anchor["id"], mark):
+            warm = up and self._warm(anchor["id"], kind)
+            if up and not warm:
                 self.refresh(anchor["id"], kind)
-                self._mark(anchor["id"], mark)
-            return self.edges, {"refreshing": True}
-        fresh = relations.callee_freshness(one, self.nodes, self.facts.files, self.cache).first()["fresh"]
-        if not fresh and self._degraded(anchor["language"]) == {}:
-            self.edges = store.invalidate_outgoing_calls(self.edges, one)
-            self.edges = store.upsert_edges(self.edges, materialize.call_edges(one, self.nodes, self.facts.calls, "outgoing", self.root_uri, self.facts.locations))
-            from .functions.text import content_hash
-
+                self._mark(anchor["id"], kind)
+            return {"refreshing": up, "refresh": warm}
+        if up and not relations.callee_freshness(one, self.nodes, self.facts.files, self.cache).first()["fresh"]:
+            own = self.edges.where((F.col("src_id") == anchor["id"]) & (F.col("edge_type") == "calls"))
+            self._put(store.invalidate_outgoing_calls(own, one))
+            self._merge(materialize.call_edges(one, self.nodes, self.facts.calls, "outgoing", self.root_uri, self.facts.locations))
             hashed = symbols.by_id(self.nodes, anchor["id"]).join(self.facts.files, "uri").select(F.col("id").alias("anchor_id"), content_hash(F.col("text")).alias("content_hash"))
-            self.cache = store.merge_keyed(self.cache, hashed, ["anchor_id"])
-        return self.edges, {}
+            self.cache = written(store.merge_keyed(self.cache, hashed, ["anchor_id"]), "cache")
+        return {}
 
     def refresh(self, anchor_id: int, kind: str) -> None:
         """Merge what the facts say about an anchor's incoming edges; known ones become valid again, none is removed."""
         one = self._one(anchor_id)
         new = materialize.reference_edges(one, self.nodes, self.facts.locations) if kind == "references" else materialize.call_edges(one, self.nodes, self.facts.calls, "incoming", self.root_uri)
-        self.edges = store.upsert_edges(self.edges, new)
+        self._merge(new)
 
     def find_references(self, ref: SymbolRef, node_filter: NodeFilter = NodeFilter(), limit: int | None = None, cursor: str | None = None) -> dict:
         return self._related(ref, "references", True, node_filter, limit, cursor, ("references", "sites"))
@@ -156,8 +181,7 @@ class GraphService:
         a, b = self._anchor(start), self._anchor(target)
         if a is None or b is None:
             return {"reachable": False, "path": [], "limit_reached": False, "from_hint_fqns": self._hints(start, a), "to_hint_fqns": self._hints(target, b)}
-        anchors = self.nodes.select(F.col("id").alias("anchor_id"))
-        stale = relations.callee_freshness(anchors, self.nodes, self.facts.files, self.cache).where("not fresh").select("anchor_id")
+        stale = lambda anchors: relations.callee_freshness(anchors, self.nodes, self.facts.files, self.cache).where("not fresh").select("anchor_id")
         got = paths.find_call_path(self.edges, self.nodes, a["id"], b["id"], max_depth, stale, budget)
         rows = {r["id"]: r for r in self.nodes.where(F.col("id").isin(got.path)).collect()} if got.path else {}
         return {"reachable": got.reachable, "path": self._shown([rows[i] for i in got.path]), "limit_reached": got.limit_reached, "from_hint_fqns": [], "to_hint_fqns": []} | self._degraded(a["language"])

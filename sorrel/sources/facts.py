@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.adapters import is_external, route_language
+from ..operators.tables import written
 from ..plans.schema import END
 
 _POS = "struct<line:bigint,character:bigint>"
@@ -21,24 +22,26 @@ def count_failures(answers: DataFrame, column: str) -> DataFrame:
     return answers.agg(F.count("*").alias("files_seen"), F.count_if(bad).alias("fetch_errors"))
 
 
-def flatten_symbols(answers: DataFrame, root_uri: str, max_depth: int = 64) -> DataFrame:
+def flatten_symbols(answers: DataFrame, root_uri: str) -> DataFrame:
     """Flat rows of documentSymbol trees ``(uri, symbols)`` with a module root for each file, parents before children.
 
-    One explode per level of the deepest tree; ``path`` numbers give each row its place in depth-first order.
+    One explode and one written table per level of the deepest tree, however deep; ``path`` numbers give each row its place in depth-first order.
     """
     tree = answers.select("uri", F.expr("try_parse_json(symbols)").alias("tree"))
     module = T.module_path(F.col("uri"), root_uri)
     get = lambda path, kind: F.expr(f"try_variant_get(value, '$.{path}', '{kind}')")
 
     def unfold(level: DataFrame) -> DataFrame:
-        level.createOrReplaceTempView("_sorrel_level")
-        return level.sparkSession.sql("select uri, prefix, path, pos, value from _sorrel_level, lateral variant_explode(tree)")
+        return level.sparkSession.sql("select uri, prefix, path, pos, value from {level}, lateral variant_explode(tree)", level=level)
 
-    level, rows, depth = tree.select("uri", "tree", module.alias("prefix"), F.lit("").alias("path")), None, 0
-    while depth < max_depth:
-        flat = unfold(level)
+    level, rows = tree.select("uri", "tree", module.alias("prefix"), F.lit("").alias("path")), None
+    while True:
+        flat = written(unfold(level), "level")
+        if rows is not None and flat.isEmpty():
+            break
         name = get("name", "string")
-        fqn = F.concat_ws(".", F.nullif(F.col("prefix"), F.lit("")), name)
+        # An empty module path leaves its dot.
+        fqn = F.concat("prefix", F.lit("."), F.coalesce(name, F.lit("")))
         place = F.concat("path", F.lpad(F.col("pos").cast("string"), 8, "0"))
         bounds = []
         for ours, theirs in (("range", "range"), ("sel", "selectionRange")):
@@ -47,9 +50,6 @@ def flatten_symbols(answers: DataFrame, root_uri: str, max_depth: int = 64) -> D
         here = flat.select("uri", place.alias("path"), F.nullif("path", F.lit("")).alias("parent_path"), fqn.alias("fqn"), name.alias("name"), get("kind", "bigint").alias("kind"), get("detail", "string").alias("detail"), *bounds)
         rows = here if rows is None else rows.unionByName(here)
         level = flat.select("uri", F.expr("try_variant_get(value, '$.children', 'variant')").alias("tree"), fqn.alias("prefix"), place.alias("path")).where("tree is not null")
-        depth += 1
-        if level.isEmpty():
-            break
     zero, end, none = F.lit(0).cast("long"), F.lit(END), F.lit(None).cast("string")
     root = answers.select(
         "uri", F.lit("").alias("path"), none.alias("parent_path"), module.alias("fqn"), T.leaf(module).alias("name"), F.lit(2).cast("long").alias("kind"), none.alias("detail"),
@@ -79,14 +79,19 @@ def locations(answers: DataFrame) -> DataFrame:
 
 
 def calls(answers: DataFrame) -> DataFrame:
-    """Call facts from ``(direction, uri, line, character, answer)`` lists of ``from`` / ``to`` items with call sites."""
+    """Call facts from ``(direction, uri, line, character, answer)`` lists of ``from`` / ``to`` items with call sites.
+
+    Where an anchor had several prepared items, ``item_rank`` numbers them from 0, one answer each; null or no such column means the first.
+    """
+    if "item_rank" not in answers.columns:
+        answers = answers.withColumn("item_rank", F.lit(0))
     shape = f"array<struct<`from`:{_ITEM},`to`:{_ITEM},fromRanges:array<{_RANGE}>>>"
-    rows = answers.select("direction", F.col("uri").alias("anchor_uri"), F.col("line").alias("anchor_line"), F.col("character").alias("anchor_character"), F.posexplode(F.from_json("answer", shape)).alias("rank", "call"))
+    rows = answers.select("direction", "item_rank", F.col("uri").alias("anchor_uri"), F.col("line").alias("anchor_line"), F.col("character").alias("anchor_character"), F.posexplode(F.from_json("answer", shape)).alias("rank", "call"))
     item = F.when(F.col("direction") == "incoming", F.col("call.from")).otherwise(F.col("call.to"))
     sel = item["selectionRange"]
     return rows.select(
         "direction", "anchor_uri", "anchor_line", "anchor_character", item["uri"].alias("item_uri"), sel["start"]["line"].alias("item_line"), sel["start"]["character"].alias("item_character"),
-        sel["end"]["line"].alias("item_end_line"), sel["end"]["character"].alias("item_end_character"), F.lit(0).cast("long").alias("item_rank"), F.col("call.fromRanges").alias("from_ranges"),
+        sel["end"]["line"].alias("item_end_line"), sel["end"]["character"].alias("item_end_character"), F.coalesce("item_rank", F.lit(0)).cast("long").alias("item_rank"), F.col("call.fromRanges").alias("from_ranges"),
     ).where("item_uri is not null")
 
 

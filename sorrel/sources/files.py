@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from fnmatch import fnmatch
+import re
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,30 @@ def ignore_rules(root: str) -> list[tuple[str, str]]:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _glob(pattern: str) -> re.Pattern:
+    """An ignore pattern: ``*`` and ``?`` stay within a name, ``**`` as a whole part spans folders, brackets are classes."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+            continue
+        if pattern[i:] == "**" and i and pattern[i - 1] == "/":
+            out, i = out + ".+", i + 2
+            continue
+        close = pattern.find("]", i + 2)
+        if c == "[" and close > 0:
+            body = pattern[i + 1 : close].replace("\\", "\\\\")
+            out, i = out + "[" + ("^/" + body[1:] if body[0] in "!^" else body) + "]", close + 1
+            continue
+        if c == "\\" and i + 1 < len(pattern):
+            out, i = out + re.escape(pattern[i + 1]), i + 2
+            continue
+        out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), i + 1
+    return re.compile(out, re.DOTALL)
+
+
 def ignored(rel: str, rules: list[tuple[str, str]]) -> bool:
     """Whether a path relative to the root is ignored: by the last rule that fits it or a folder above it."""
     parts = rel.split("/")
@@ -44,8 +69,9 @@ def ignored(rel: str, rules: list[tuple[str, str]]) -> bool:
                 if depth == len(parts):
                     continue
                 pattern = pattern.rstrip("/")
-            fits = fnmatch(under, pattern.lstrip("/")) if "/" in pattern else fnmatch(under.rpartition("/")[2], pattern)
-            if fits:
+            # A slash, but for one at the end, ties a pattern to its folder.
+            place = under if "/" in pattern else under.rpartition("/")[2]
+            if _glob(pattern.removeprefix("/")).fullmatch(place):
                 verdict = not keep
         if verdict:
             return True

@@ -46,6 +46,19 @@ def reconcile_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None]
     return writer.start()
 
 
+def reconciler(store, fetch: Callable[[DataFrame], DataFrame], root_uri: str) -> Callable[[DataFrame, int], None]:
+    """For ``reconcile_stream``: each batch's files are fetched (``fetch`` returns their ``(uri, symbols)`` answers), reconciled with
+    the store's current snapshot, and committed as the next version."""
+    from ..operators.reconcile import reconcile_answers
+
+    def apply(files: DataFrame, batch_id: int) -> None:
+        now = store.read()
+        nodes, edges, cache, marks, _ = reconcile_answers(now.nodes, now.edges, now.callees_cache, now.materialized, files, fetch(files.where("not removed")), root_uri)
+        store.commit(nodes=nodes, edges=edges, callees_cache=cache, materialized=marks)
+
+    return apply
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str, lateness: str) -> DataFrame:
     """Events by key in tumbling windows, late ones dropped behind the watermark; an extension for runtime call events."""
     return events.withWatermark(ts, lateness).groupBy(F.window(ts, width).alias("window"), key).agg(F.count("*").alias("events"))

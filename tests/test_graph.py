@@ -146,6 +146,21 @@ def test_node_merges(spark):
     assert got == {(1, "a", 3, 4, None), (2, "c", 5, 6, None), (3, "d", 9, 10, None)}
 
 
+def test_node_merges_keep_both_keys(spark):
+    # The name moves and another takes its old place; two rows at one place; an old row whose place is taken; a swap.
+    held = frame(spark, [node(1, "m.a", 1, 2), node(2, "m.B.x", 20, 21), node(3, "m.C.x", 30, 31), node(4, "m.s", 40, 41, name="v"), node(5, "m.t", 50, 51, name="v")])
+    batch = frame(spark, [
+        node(10, "m.a", 5, 6), node(11, "m.A.a", 1, 2), node(12, "p.y", 60, 61), node(13, "q.y", 60, 62), node(14, "m.C.x", 20, 21), node(15, "m.s", 50, 51, name="v"), node(16, "m.t", 40, 41, name="v"),
+    ])
+    got = {(r.id, r.fqn, r.range_start_line) for r in store.upsert_nodes(held, batch).collect()}
+    assert got == {(1, "m.a", 5), (6, "m.A.a", 1), (7, "q.y", 60), (3, "m.C.x", 20), (4, "m.s", 50), (5, "m.t", 40)}
+
+
+def test_settings(spark):
+    meta = store.merge_keyed(spark.createDataFrame([("a", "1"), ("b", "2")], schema.META), spark.createDataFrame([("a", "3")], schema.META), ["key"])
+    assert (store.get_meta(meta, "a"), store.get_meta(meta, "b"), store.get_meta(meta, "c")) == ("3", "2", None)
+
+
 def symbol(pos, fqn, start, end, parent=None, kind=12, hash_="h", uri="file:///repo/m.py", detail=None):
     return (uri, pos, parent, fqn, fqn.rpartition(".")[2], kind, "Function", detail, start, 0, end, 0, start, 4, start, 10, "python", False, hash_)
 
@@ -180,6 +195,27 @@ def test_reconcile(spark):
     assert (c, m) == ({9}, {2})
 
 
+def test_reconcile_upserts_what_it_inserts(spark):
+    nodes = frame(spark, [node(1, "m.a", 0, 1, uri="file:///repo/m.ts"), node(2, "m.Old.f", 30, 31), node(3, "m.n", 60, 61)])
+    new = [symbol(0, "m.n.f", 10, 11), symbol(1, "m.n.f", 12, 13), symbol(2, "m.a", 20, 21), symbol(3, "m.New.f", 30, 31)]
+    n, e, _, _, count = run(spark, nodes, edges_of(spark, []), new)
+    assert {(f, r.id, r.uri[-4:], r.range_start_line, r.orphan) for f, r in n.items()} == {("m.n.f", 4, "m.py", 12, False), ("m.a", 1, "m.py", 20, False), ("m.New.f", 2, "m.py", 30, False), ("m.n", 3, "m.py", 60, True)}
+    assert count == {"inserted": 4, "orphaned": 2}
+
+
+def test_catching_up_retries_what_waits(spark):
+    asked = []
+
+    def attempt(files):
+        asked.append({r.uri for r in files.collect()})
+        state = F.when(F.col("uri") == "bad", "failed").when((F.col("uri") == "slow") & F.lit(len(asked) < 3) | (F.col("uri") == "never"), "waiting").otherwise("committed")
+        return files.select("uri", state.alias("state"))
+
+    uris = spark.createDataFrame([("a",), ("bad",), ("slow",), ("never",), ("a",)], "uri string")
+    assert reconcile.catch_up(uris, attempt, retries=3, delay=0).first().asDict() == {"checked": 4, "failures": 1, "skipped": 1}
+    assert asked == [{"a", "bad", "slow", "never"}, {"slow", "never"}, {"slow", "never"}, {"never"}]
+
+
 def test_rename_choice_is_best_first(spark):
     old = frame(spark, [node(1, "m.a", 0, 3), node(2, "m.b", 2, 5), node(3, "m.k", 1, 2, kind=5)])
     new = spark.createDataFrame([symbol(0, "m.x", 2, 6), symbol(1, "m.y", 2, 5), symbol(2, "n.z", 1, 2), symbol(3, "m.far", 9, 9)], SYMBOL)
@@ -224,6 +260,33 @@ def test_facts(spark):
     assert {(r.line, r.contents) for r in facts.hover_text(hover).collect()} == {(0, "plain"), (1, "v"), (2, "a\n\nb")}
 
 
+def test_symbol_trees_of_any_depth(spark):
+    at = {"start": {"line": 1, "character": 0}, "end": {"line": 2, "character": 0}}
+    tree = []
+    for k in reversed(range(18)):
+        tree = [{"name": f"n{k}", "kind": 12, "range": at, "selectionRange": at, "children": tree}]
+    answers = spark.createDataFrame([("file:///repo/m.py", json.dumps(tree)), ("file:///repo/.py", json.dumps(tree[0]["children"][:0] or tree[:1]))], "uri string, symbols string")
+    got = [r.fqn for r in facts.flatten_symbols(answers, "file:///repo").collect()]
+    assert len(got) == 38 and "m." + ".".join(f"n{k}" for k in range(18)) in got and ".n0" in got
+
+
+def test_only_the_first_prepared_item_counts(spark):
+    item = lambda line: json.dumps([{"from": {"name": "f", "kind": 12, "uri": "file:///repo/m.py", "range": {"start": {"line": line, "character": 0}, "end": {"line": line, "character": 1}}, "selectionRange": {"start": {"line": line, "character": 4}, "end": {"line": line, "character": 5}}}, "fromRanges": [{"start": {"line": line, "character": 0}, "end": {"line": line, "character": 1}}]}])
+    u = "file:///repo/m.py"
+    answers = spark.createDataFrame([("incoming", u, 10, 4, 1, item(0)), ("incoming", u, 10, 4, 0, item(20))], "direction string, uri string, line long, character long, item_rank long, answer string")
+    nodes = frame(spark, [node(1, "m.a", 0, 3), node(2, "m.b", 10, 12), node(3, "m.c", 20, 22)])
+    got = materialize.call_edges(spark.createDataFrame([(2,)], "anchor_id long"), nodes, facts.calls(answers), "incoming", "file:///repo").collect()
+    assert [(r.src_id, r.dst_id) for r in got] == [(3, 2)]
+
+
+@pytest.mark.parametrize(("rule", "hits"), [
+    ("src/*.py", {"src/a.py"}), ("**/b.py", {"b.py", "src/x/b.py"}), ("src/**/b.py", {"src/x/b.py"}), ("/b.py", {"b.py"}), ("b.py", {"b.py", "src/x/b.py"}), ("x/", {"src/x/b.py", "src/x/c.py"}),
+    ("src/**", {"src/a.py", "src/x/b.py", "src/x/c.py"}), ("[!a-b].py", {"src/x/c.py"}), ("src/?", {"src/x/b.py", "src/x/c.py"}), ("*", {"src/a.py", "b.py", "src/x/b.py", "src/x/c.py"}),
+])
+def test_ignore_patterns(rule, hits):
+    assert {p for p in ("src/a.py", "b.py", "src/x/b.py", "src/x/c.py") if files.ignored(p, [("", rule)])} == hits
+
+
 def test_interface_dispatch_and_fallback(spark):
     ts = {"language": "typescript"}
     nodes = frame(spark, [node(1, "m.caller", 0, 3, **ts), node(2, "m.I", 10, 20, node_kind="Interface", **ts), node(3, "m.I.go", 11, 12, container_id=2, **ts), node(4, "m.C.go", 30, 33, **ts), node(5, "m.plain", 40, 42, **ts)])

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from test_graph import edge, edges_of, frame, node
 
 from sorrel.operators.indexing import index_repository
@@ -57,7 +58,13 @@ def service(spark, tmp_path_factory):
     f.locations = parse.locations(spark.createDataFrame([("definition", u, 7, 4, json.dumps([{"uri": u, "range": span(0, 4)}])), ("references", u, 0, 4, json.dumps([{"uri": u, "range": span(7, 4)}]))], "op string, uri string, line long, character long, answer string"))
     f.hover = spark.createDataFrame([(u, 0, 4, "function helper")], schema.HOVER)
     f.health = spark.createDataFrame([("python", "healthy")], "language string, status string")
-    return GraphService(spark, snap, f)
+    out = GraphService(spark, snap, f)
+    out.path = f"file://{path}"
+    return out
+
+
+def service_path(service):
+    return service.path
 
 
 def test_requests(service):
@@ -78,6 +85,41 @@ def test_requests(service):
     assert service.restart() == {"restarted": []}
 
 
+def test_a_source_that_is_down_is_not_taken_for_built(spark, service):
+    snap = SnapshotStore(spark, service_path(service)).read()
+    one = GraphService(spark, snap, service.facts)
+    ref, up = SymbolRef(fqn="repo.helper"), one.facts.health
+    one.facts.health = spark.createDataFrame([], "language string, status string")
+    down = one.find_callers(ref)
+    assert down["callers"] == [] and down["degraded"] and not down["refreshing"] and one.marks.count() == 0
+    one.facts.health = up
+    assert [c["node"]["fqn"] for c in one.find_callers(ref)["callers"]] == ["repo.caller"]
+    depth = lambda: len(one.edges._jdf.queryExecution().analyzed().toString().splitlines())
+    before = depth()
+    # A warm anchor is served as it is, and what its source says now is there the next time.
+    calls, one.facts.calls = one.facts.calls, one.facts.calls.withColumn("from_ranges", F.transform("from_ranges", lambda r: r.withField("start", r["start"].withField("line", r["start"]["line"] + 1))))
+    assert [[s["start_line"] for s in c["call_sites"]] for c in one.find_callers(ref)["callers"]] == [[7]]
+    assert [[s["start_line"] for s in c["call_sites"]] for c in one.find_callers(ref)["callers"]] == [[7, 8]]
+    one.facts.calls = calls
+    assert [c["node"]["fqn"] for c in one.find_callees(SymbolRef(fqn="repo.caller"))["callees"]] == ["repo.helper"]
+    assert depth() == before
+    assert sorted(r.id for r in one.edges.collect()) == list(range(1, one.edges.count() + 1))
+
+
+def test_changes_end_in_a_snapshot(spark, tmp_path):
+    from sorrel.streaming import changes
+
+    st = SnapshotStore(spark, f"file://{tmp_path}/g")
+    st.commit(nodes=frame(spark, [node(1, "m", 0, 9), node(2, "m.f", 1, 2), node(3, "x.g", 0, 1, uri="file:///repo/x.py"), node(4, "b.h", 0, 1, uri="file:///repo/b.py")]))
+    tree = [{"name": "f", "kind": 12, "range": span(3, 0), "selectionRange": span(3, 4), "children": [{"name": "n", "kind": 12, "range": span(3, 2), "selectionRange": span(3, 2)}]}]
+    answers = spark.createDataFrame([("file:///repo/m.py", json.dumps(tree)), ("file:///repo/b.py", "{"), ("file:///repo/other.py", json.dumps(tree))], "uri string, symbols string")
+    apply = changes.reconciler(st, lambda files: answers.join(files, "uri", "left_semi"), "file:///repo")
+    apply(spark.createDataFrame([("file:///repo/m.py", False), ("file:///repo/x.py", True), ("file:///repo/b.py", False)], "uri string, removed boolean"), 0)
+    got = {r.fqn: (r.id, r.range_start_line, r.orphan) for r in st.read().nodes.collect()}
+    assert got == {"m": (1, 0, False), "m.f": (2, 3, False), "m.f.n": (5, 3, False), "x.g": (3, 0, True), "b.h": (4, 0, False)}
+    assert {(r.src_id, r.dst_id, r.edge_type) for r in st.read().edges.collect()} == {(2, 5, "contains")}
+
+
 def test_bad_requests(service):
     for bad in ({}, {"fqn": "a", "at": ("u", 0, 0)}):
         with pytest.raises(ValueError):
