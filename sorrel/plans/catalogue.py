@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.adapters import is_external, route_language
-from ..operators import locate, materialize, paths, reconcile, relations, store, symbols
+from ..operators import indexing, locate, materialize, paths, reconcile, relations, store, symbols
 from ..operators.paging import Cursor, page
 from ..operators.symbols import NodeFilter
+from ..operators.tables import written
 from ..sources import facts, files
+from . import schema
 from .projection import ROOT, Graph, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,20 +83,23 @@ def discover_files(g: Graph):
 
 HOVER = """SELECT uri, sel_start_line AS line, sel_start_col AS character,
   CASE id % 5 WHEN 0 THEN concat('```ts', chr(10), 'export type ', name, chr(10), '```') WHEN 1 THEN concat('(method) ', name) WHEN 2 THEN concat('  async function ', name, '() ') WHEN 3 THEN '   ' ELSE concat('class ', name) END AS contents
-  FROM v_node WHERE kind NOT IN (2) AND id < 3000000000000"""
+  FROM v_node"""
 
 
-@query("""SELECT id, CASE id % 5 WHEN 0 THEN 'type' WHEN 2 THEN 'function' WHEN 4 THEN 'class' END AS word FROM v_node WHERE kind NOT IN (2) AND id < 3000000000000""")
+@query("""SELECT id, CASE id % 5 WHEN 0 THEN 'type' WHEN 2 THEN 'function' WHEN 4 THEN 'class' END AS word FROM v_node""")
 def construct_from_hover(g: Graph):
     hover = g.sql(HOVER)
     at = g.nodes.select("id", "uri", F.col("sel_start_line").alias("line"), F.col("sel_start_col").alias("character"))
     return at.join(hover, ["uri", "line", "character"]).select("id", T.construct_from_hover(F.col("contents")).alias("word"))
 
 
-@query("SELECT id, least(4294967295, greatest(0, range_end_line)) AS end_line, fqn, kind, is_external FROM v_node")
+@query("""SELECT fqn, uri, name, language, CASE WHEN node_kind = 'Variable' AND construct = 'type' THEN 'TypeAlias' ELSE node_kind END AS kind_label, kind AS kind_num, construct, least(4294967295, range_start_line) AS start_line,
+  least(4294967295, range_start_col) AS start_col, least(4294967295, range_end_line) AS end_line, least(4294967295, range_end_col) AS end_col, least(4294967295, sel_start_line) AS sel_start_line, least(4294967295, sel_start_col) AS sel_start_col,
+  least(4294967295, sel_end_line) AS sel_end_line, least(4294967295, sel_end_col) AS sel_end_col, signature, CAST(NULL AS VARCHAR) AS documentation, is_external FROM v_node""")
 def node_results(g: Graph):
-    out = symbols.node_result(g.nodes).select("fqn", F.col("range.end.line").alias("end_line"), F.col("kind_num").alias("kind"), "is_external")
-    return out.join(g.nodes.select("id", "fqn"), "fqn").select("id", "end_line", "fqn", "kind", "is_external")
+    """All fields of every node's result."""
+    spans = [F.col(f"{c}.{e}.{w}").alias(f"{p}{e}_{s}") for c, p in (("range", ""), ("selection_range", "sel_")) for e in ("start", "end") for w, s in (("line", "line"), ("character", "col"))]
+    return symbols.node_result(g.nodes).select("fqn", "uri", "name", "language", "kind_label", "kind_num", "construct", *spans, "signature", "documentation", "is_external")
 
 
 @query("SELECT id, substr(md5(concat_ws(chr(1), name, CAST(kind AS VARCHAR), coalesce(detail, chr(2)), range_start_line, range_start_col, range_end_line, range_end_col)), 1, 16) AS fingerprint FROM v_node")
@@ -191,7 +196,7 @@ def hint_fuzzy(g: Graph):
 
 # Positions
 
-_POINTS = "SELECT uri, sel_start_line + id % 9 AS line, id % 6 AS character FROM v_node WHERE id % 2 = 0 AND id < 3000000000000"
+_POINTS = "SELECT uri, sel_start_line + id % 9 AS line, id % 6 AS character FROM v_node"
 _INSIDE = """(range_start_line < p.line OR (range_start_line = p.line AND range_start_col <= p.character)) AND (range_end_line > p.line OR (range_end_line = p.line AND range_end_col >= p.character))"""
 _INNERMOST = "SELECT p.uri, p.line, p.character, n.id AS node_id, row_number() OVER (PARTITION BY p.uri, p.line, p.character ORDER BY n.range_end_line - n.range_start_line, n.range_end_col - n.range_start_col, n.id) AS r FROM (SELECT DISTINCT uri, line, character FROM ({0})) p JOIN v_node n ON n.uri = p.uri AND " + _INSIDE
 
@@ -202,8 +207,8 @@ def find_node_by_position(g: Graph):
 
 
 FACTS = """SELECT 'definition' AS op, c.uri, c.sel_start_line + 2 AS line, CAST(b.l_linenumber AS BIGINT) AS character, s.uri AS target_uri, s.sel_start_line + b.l_orderkey % 8 AS target_line, s.sel_start_col AS target_character
-  FROM v_bought b JOIN v_node c ON c.id = 1000000000000 + b.c_custkey JOIN v_node s ON s.id = 2000000000000 + b.l_suppkey WHERE b.l_orderkey % 3 = 0"""
-_REQUESTS = "SELECT DISTINCT uri, sel_start_line + 2 AS line, CAST(1 + id % 4 AS BIGINT) AS character FROM v_node WHERE id < 2000000000000"
+  FROM v_bought b JOIN v_node c ON c.id = 1000000000000 + b.c_custkey JOIN v_node s ON s.id = 2000000000000 + b.l_suppkey"""
+_REQUESTS = "SELECT DISTINCT uri, sel_start_line + 2 AS line, CAST(1 + id % 4 AS BIGINT) AS character FROM v_node"
 
 
 @query(f"""WITH f AS ({FACTS}), q AS ({_REQUESTS}), t AS (SELECT DISTINCT f.* FROM f JOIN q USING (uri, line, character)),
@@ -239,22 +244,22 @@ def anchors_where(g: Graph, where: str) -> DataFrame:
     return g.nodes.where(where).select(F.col("id").alias("anchor_id"))
 
 
-@query(_related("calls", "dst_id", "src_id", "e.dst_id BETWEEN 2000000000000 AND 2999999999999", "NOT n.is_external"))
+@query(_related("calls", "dst_id", "src_id", "true", "NOT n.is_external"))
 def find_callers(g: Graph):
-    """Callers of every supplier, grouped, with call sites in order."""
-    a = anchors_where(g, "id between 2000000000000 and 2999999999999")
+    """Callers of every node, grouped, with call sites in order."""
+    a = anchors_where(g, "true")
     return _sites(relations.related(a, g.edges, g.nodes, "calls", True, NodeFilter()))
 
 
-@query(_related("calls", "src_id", "dst_id", "e.src_id BETWEEN 1000000000000 AND 2999999999999"))
+@query(_related("calls", "src_id", "dst_id", "true"))
 def find_callees(g: Graph):
-    a = anchors_where(g, "id between 1000000000000 and 2999999999999")
+    a = anchors_where(g, "true")
     return _sites(relations.related(a, g.edges, g.nodes, "calls", False, NodeFilter(include_external=True)))
 
 
-@query(_related("references", "dst_id", "src_id", "e.dst_id BETWEEN 7000000000000 AND 7999999999999", "n.language = 'go' AND NOT n.is_external"))
+@query(_related("references", "dst_id", "src_id", "true", "n.language = 'go' AND NOT n.is_external"))
 def find_references(g: Graph):
-    a = anchors_where(g, "id between 7000000000000 and 7999999999999")
+    a = anchors_where(g, "true")
     return _sites(relations.related(a, g.edges, g.nodes, "references", True, NodeFilter("go")))
 
 
@@ -266,9 +271,9 @@ def callers_filtered_page(g: Graph):
     return _sites(out).join(out.select("id", "has_more"), "id").select("anchor_id", "id", "fqn", "n_sites", "sites", "has_more")
 
 
-@query(_related("contains", "dst_id", "src_id", "e.dst_id < 3000000000000").replace("concat(site_uri, ':', site_start_line, ':', site_start_col)", "''").replace("count(*)", "count(site_uri)"))
+@query(_related("contains", "dst_id", "src_id", "true").replace("concat(site_uri, ':', site_start_line, ':', site_start_col)", "''").replace("count(*)", "count(site_uri)"))
 def containers_without_sites(g: Graph):
-    return _sites(relations.related(anchors_where(g, "id < 3000000000000"), g.edges, g.nodes, "contains", True))
+    return _sites(relations.related(anchors_where(g, "true"), g.edges, g.nodes, "contains", True))
 
 
 # Paths
@@ -324,6 +329,19 @@ def upsert_nodes(g: Graph):
     return store.upsert_nodes(n, again).select("id", "fqn", "construct", "sel_start_line")
 
 
+@query("""SELECT id, CASE WHEN id % 5 = 1 THEN concat(fqn, '_moved') ELSE fqn END AS fqn, CASE WHEN id % 5 = 2 THEN range_start_line + 3 ELSE range_start_line END AS range_start_line FROM v_node
+  UNION ALL SELECT -1, concat(fqn, '_taker'), range_start_line FROM v_node WHERE id % 5 = 2""")
+def upsert_conflicts(g: Graph):
+    """Nodes renamed in place, nodes moved by name, and new names at the places that those left; new rows show as -1."""
+    n, r = g.kept_nodes, F.col("id") % 5
+    renamed = n.where(r == 1).withColumn("fqn", F.concat("fqn", F.lit("_moved")))
+    moved = n.where(r == 2).withColumn("range_start_line", F.col("range_start_line") + 3)
+    takers = n.where(r == 2).withColumn("fqn", F.concat("fqn", F.lit("_taker")))
+    out = store.upsert_nodes(n, renamed.unionByName(moved).unionByName(takers).withColumn("id", F.xxhash64("fqn")))
+    held = n.select("id", F.lit(True).alias("held"))
+    return out.join(held, "id", "left").select(F.when(F.col("held"), F.col("id")).otherwise(F.lit(-1).cast("long")).alias("id"), "fqn", "range_start_line")
+
+
 @query("""SELECT src_id, edge_type, valid AND NOT (edge_type = 'calls' AND src_id % 2 = 0) AS valid, CAST(count(*) AS BIGINT) AS edges FROM v_edge GROUP BY ALL""")
 def invalidate_outgoing(g: Graph):
     out = store.invalidate_outgoing_calls(g.edges, anchors_where(g, "id % 2 = 0"))
@@ -380,11 +398,11 @@ _REFS = """SELECT 'references' AS op, p.uri, p.sel_start_line AS line, p.sel_sta
   FROM v_bought b JOIN v_node c ON c.id = 1000000000000 + b.c_custkey JOIN v_node p ON p.id = 7000000000000 + b.l_partkey"""
 
 
-@query(f"""WITH f AS (SELECT DISTINCT p.id AS anchor_id, f.target_uri AS uri, f.target_line AS line, f.target_character AS character FROM ({_REFS}) f JOIN v_node p ON p.uri = f.uri AND p.sel_start_line = f.line AND p.sel_start_col = f.character WHERE p.id >= 7000000000000 AND p.id < 8000000000000),
+@query(f"""WITH f AS (SELECT DISTINCT p.id AS anchor_id, f.target_uri AS uri, f.target_line AS line, f.target_character AS character FROM ({_REFS}) f JOIN v_node p ON p.uri = f.uri AND p.sel_start_line = f.line AND p.sel_start_col = f.character),
   i AS (SELECT * FROM ({_INNERMOST.format('SELECT uri, line, character FROM f')}) WHERE r = 1)
   SELECT i.node_id AS src_id, f.anchor_id AS dst_id, f.uri AS site_uri, f.line AS site_start_line FROM f JOIN i USING (uri, line, character)""")
 def materialize_references(g: Graph):
-    return materialize.reference_edges(anchors_where(g, "id between 7000000000000 and 7999999999999"), g.kept_nodes, g.sql(_REFS)).select("src_id", "dst_id", "site_uri", "site_start_line")
+    return materialize.reference_edges(anchors_where(g, "true"), g.kept_nodes, g.sql(_REFS)).select("src_id", "dst_id", "site_uri", "site_start_line")
 
 
 _SPAN = "named_struct('start', named_struct('line', {0}, 'character', {1}), 'end', named_struct('line', {0}, 'character', {1} + 3))"
@@ -409,7 +427,7 @@ _AT_NAME = _INNERMOST.format("SELECT uri, sel_start_line AS line, sel_start_col
   FROM v_bought b JOIN v_node c ON c.id = 1000000000000 + b.c_custkey JOIN v_node s ON s.id = 2000000000000 + b.l_suppkey JOIN m ON m.uri = c.uri
   JOIN i ON i.uri = c.uri AND i.line = c.sel_start_line AND i.character = c.sel_start_col""")
 def materialize_calls_module_scope(g: Graph):
-    out = materialize.call_edges(anchors_where(g, "id between 2000000000000 and 2999999999999"), g.kept_nodes, _calls(g, "incoming"), "incoming", ROOT)
+    out = materialize.call_edges(anchors_where(g, "true"), g.kept_nodes, _calls(g, "incoming"), "incoming", ROOT)
     return out.select("src_id", "dst_id", "site_start_line", "site_start_col")
 
 
@@ -425,7 +443,7 @@ _IMPLS = """SELECT 'implementation' AS op, s.uri, s.sel_start_line AS line, s.se
   FROM called b LEFT JOIN impl ON impl.node_id = b.sid
   UNION ALL SELECT DISTINCT impl.impl_id, impl.node_id, 'implements', NULL, NULL FROM impl JOIN called b ON b.sid = impl.node_id""")
 def interface_dispatch(g: Graph):
-    out = materialize.call_edges(anchors_where(g, "id between 1000000000000 and 1999999999999"), g.kept_nodes, _calls(g, "outgoing"), "outgoing", ROOT, g.sql(_IMPLS))
+    out = materialize.call_edges(anchors_where(g, "true"), g.kept_nodes, _calls(g, "outgoing"), "outgoing", ROOT, g.sql(_IMPLS))
     return out.select("src_id", "dst_id", "edge_type", "site_start_line", "site_start_col")
 
 
@@ -444,24 +462,24 @@ def degradation(g: Graph):
 
 # Maintenance
 
-_OLD = "SELECT id, fqn, uri, name, language, kind, node_kind, detail, range_start_line, range_start_col, range_end_line, range_end_col, sel_start_line, sel_start_col, sel_end_line, sel_end_col, signature_hash, orphan FROM v_node WHERE id < 2000000000000"
+_OLD = "SELECT id, fqn, uri, name, language, kind, node_kind, detail, range_start_line, range_start_col, range_end_line, range_end_col, sel_start_line, sel_start_col, sel_end_line, sel_end_col, signature_hash, orphan FROM v_node"
 
 
 def _new(g: Graph) -> DataFrame:
-    """What the customers' files hold now: every tenth gone, and others renamed, moved or changed."""
+    """What the files hold now: every tenth symbol gone, and others renamed, moved or changed."""
     n = g.kept(_OLD).where("id % 10 != 0")
     r = F.col("id") % 10
     n = n.withColumn("name", F.when(r == 1, F.concat("name", F.lit("_new"))).otherwise(F.col("name")))
     n = n.withColumn("fqn", F.when(r == 1, F.concat("fqn", F.lit("_new"))).otherwise(F.col("fqn")))
     for c in ("range_start_line", "range_end_line", "sel_start_line", "sel_end_line"):
-        n = n.withColumn(c, F.when(r == 2, F.col(c) + 2).otherwise(F.col(c)))
+        n = n.withColumn(c, F.when((r == 2) & (F.col(c) < schema.END), F.col(c) + 2).otherwise(F.col(c)))
     n = n.withColumn("signature_hash", F.when(r.isin(2, 3), F.lit("other")).otherwise(F.col("signature_hash")))
     return n.select("uri", F.col("id").alias("pos"), *[c for c in n.columns if c not in ("id", "uri", "orphan")])
 
 
 @query("""SELECT uri, CAST(sum(CASE WHEN id % 10 > 3 THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN id % 10 IN (2, 3) THEN 1 ELSE 0 END) AS BIGINT) AS updated, CAST(0 AS BIGINT) AS renamed,
   CAST(sum(CASE WHEN id % 10 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS inserted, CAST(sum(CASE WHEN id % 10 IN (0, 1) AND NOT orphan THEN 1 ELSE 0 END) AS BIGINT) AS orphaned,
-  CAST(sum(CASE WHEN id % 10 IN (0, 1) AND orphan THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM v_node WHERE id < 2000000000000 GROUP BY uri""")
+  CAST(sum(CASE WHEN id % 10 IN (0, 1) AND orphan THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM v_node GROUP BY uri""")
 def reconcile_exact_outcome(g: Graph):
     return reconcile.outcome(reconcile.plan_reconcile(g.kept(_OLD), _new(g), renames=False))
 
@@ -469,7 +487,7 @@ def reconcile_exact_outcome(g: Graph):
 _SAME = "concat_ws(chr(1), kind, coalesce(detail, chr(2)), range_start_line, range_start_col, range_end_line, range_end_col, sel_start_line, sel_start_col, sel_end_line, sel_end_col)"
 
 
-@query(f"""WITH o AS (SELECT id, uri, kind, detail, range_start_line FROM v_node WHERE id < 2000000000000 AND id % 10 IN (0, 1))
+@query(f"""WITH o AS (SELECT id, uri, kind, detail, range_start_line FROM v_node WHERE id % 10 IN (0, 1))
   SELECT n.uri, n.id AS new_pos, o.id AS old_id, CAST(CASE WHEN o.id = n.id THEN 1 ELSE 0 END AS INTEGER) AS tier, abs(n.range_start_line - o.range_start_line) AS drift
   FROM o n JOIN o ON o.uri = n.uri AND o.kind = n.kind AND abs(n.range_start_line - o.range_start_line) <= 3 WHERE n.id % 10 = 1""")
 def rename_candidates(g: Graph):
@@ -479,11 +497,21 @@ def rename_candidates(g: Graph):
 
 @query("""SELECT uri, CAST(sum(CASE WHEN id % 10 > 3 THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN id % 10 IN (2, 3) THEN 1 ELSE 0 END) AS BIGINT) AS updated, CAST(sum(CASE WHEN id % 10 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS renamed,
   CAST(0 AS BIGINT) AS inserted, CAST(sum(CASE WHEN id % 10 = 0 AND NOT orphan THEN 1 ELSE 0 END) AS BIGINT) AS orphaned, CAST(sum(CASE WHEN id % 10 = 0 AND orphan THEN 1 ELSE 0 END) AS BIGINT) AS deleted
-  FROM v_node WHERE id < 2000000000000 GROUP BY uri""")
+  FROM v_node GROUP BY uri""")
 def reconcile_full(g: Graph):
     return reconcile.outcome(reconcile.plan_reconcile(g.kept(_OLD), _new(g)))
 
 
+@query("""SELECT CASE WHEN id % 10 = 1 THEN concat(fqn, '_new') ELSE fqn END AS fqn, id, CASE WHEN id % 10 = 2 THEN range_start_line + 2 ELSE range_start_line END AS range_start_line,
+  CASE WHEN id % 10 IN (2, 3) THEN 'other' ELSE signature_hash END AS signature_hash, id % 10 <> 0 AS valid, id % 10 = 0 AS orphan FROM v_node WHERE NOT (id % 10 = 0 AND orphan)""")
+def reconcile_tables(g: Graph):
+    """The nodes after all files were reconciled: names, places, hashes and states by id."""
+    old, empty = g.kept_nodes, lambda ddl: g.spark.createDataFrame([], ddl)
+    new = _new(g).join(old.select(F.col("id").alias("pos"), "is_external"), "pos").withColumn("parent_pos", F.lit(None).cast("long"))
+    nodes, *_ = reconcile.reconcile(old, empty(schema.EDGES), empty(schema.CALLEES_CACHE), empty(schema.MATERIALIZED), new, old.select("uri"))
+    return nodes.select("fqn", "id", "range_start_line", "signature_hash", "valid", "orphan")
+
+
 @query("""SELECT uri, CASE doc_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'skipped' WHEN 2 THEN 'new' ELSE 'changed' END AS state FROM v_text""")
 def drift_classify(g: Graph):
     t = g.sql("SELECT uri, doc_id, text FROM v_text")
@@ -509,15 +537,39 @@ def _answers(g: Graph) -> DataFrame:
     return trees.select("uri", F.when(F.pmod(F.length("uri"), F.lit(7)) == 0, F.lit("{broken")).otherwise(text).alias("symbols"))
 
 
-@query("""SELECT fqn, uri, kind FROM (SELECT fqn, uri, kind FROM v_node WHERE id < 3000000000000 UNION ALL SELECT DISTINCT concat(module, '.Group'), uri, 5 FROM v_file) WHERE length(uri) % 7 <> 0
-  UNION ALL SELECT module, uri, 2 FROM v_file""")
+@query("""SELECT fqn, uri, kind, l AS range_start_line, CAST(4 AS BIGINT) AS range_start_col, l AS sel_start_line, CAST(4 AS BIGINT) AS sel_start_col, l AS range_end_line, CAST(9 AS BIGINT) AS range_end_col, parent
+  FROM (SELECT fqn, uri, kind, range_start_line AS l, replace(fqn, concat('.', name), '') AS parent FROM v_node WHERE id < 3000000000000 UNION ALL SELECT DISTINCT concat(module, '.Group'), uri, 5, 1, NULL FROM v_file) WHERE length(uri) % 7 <> 0
+  UNION ALL SELECT module, uri, 2, 0, 0, 0, 0, 9223372036854775807, 9223372036854775807, NULL FROM v_file""")
 def flatten_symbols(g: Graph):
-    return facts.flatten_symbols(_answers(g), ROOT).select("fqn", "uri", "kind")
+    """Names, kinds, bounds and the parent's name."""
+    flat = facts.flatten_symbols(_answers(g), ROOT)
+    up = flat.where("path != ''").select("uri", F.col("path").alias("parent_path"), F.col("fqn").alias("parent"))
+    return flat.join(up, ["uri", "parent_path"], "left").select("fqn", "uri", "kind", "range_start_line", "range_start_col", "sel_start_line", "sel_start_col", "range_end_line", "range_end_col", "parent")
 
 
-@query("""SELECT CAST(count(*) AS BIGINT) AS files_seen, CAST(sum(CASE WHEN length(uri) % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fetch_errors FROM v_file""")
+@query("""SELECT CAST(count(*) AS BIGINT) AS files_seen, CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS files_indexed,
+  CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 0 ELSE 2 + n.members END) AS BIGINT) AS symbols_upserted, CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fetch_errors
+  FROM v_file f JOIN (SELECT uri, count(*) AS members FROM v_node WHERE id < 3000000000000 GROUP BY uri) n ON n.uri = f.uri""")
 def index_stats(g: Graph):
-    return facts.count_failures(_answers(g), "symbols")
+    """The four counters of an indexing pass over an empty graph."""
+    return _indexed(g)[2]
+
+
+@query("""SELECT n.fqn, n.uri, n.name, n.kind, up.fqn AS container FROM (
+    SELECT fqn, uri, name, kind, container_id FROM v_node WHERE id < 3000000000000 UNION ALL SELECT fqn, uri, name, 5, NULL FROM v_node WHERE name = 'Group'
+    UNION ALL SELECT fqn, uri, list_extract(string_split(fqn, '.'), -1), 2, NULL FROM v_node WHERE kind = 2) n
+  LEFT JOIN v_node up ON up.id = n.container_id WHERE length(n.uri) % 7 <> 0""")
+def index_repository(g: Graph):
+    """The nodes that an indexing pass makes of the files' answers, with their containers."""
+    nodes = written(_indexed(g)[0], "indexed")
+    up = nodes.select(F.col("id").alias("container_id"), F.col("fqn").alias("container"))
+    return nodes.join(up, "container_id", "left").select("fqn", "uri", "name", "kind", "container")
+
+
+def _indexed(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    answers = written(_answers(g), "answers")
+    empty = lambda ddl: g.spark.createDataFrame([], ddl)
+    return indexing.index_repository(empty(schema.NODES), empty(schema.EDGES), answers.select("uri"), answers, ROOT)
 
 
 # Extensions beyond graph queries: what runtime events would need
