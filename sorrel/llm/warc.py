@@ -23,8 +23,11 @@ ID = "urn:sorrel:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: An archive is scanned as one row, so it holds about so many bytes at most (a single longer record excepted).
+#: An archive is scanned as one row, so it holds 32 MB at most, a single longer record excepted: records of so many bytes and how many of them a file takes.
 ARCHIVE = 32 << 20
+SIZES = [(0, 1 << 15, 1024), (1 << 15, 1 << 20, 32), (1 << 20, 1 << 62, 1)]
+#: More bytes than a record has beside its payload and url.
+ALLOWANCE = 2048
 CANDIDATES = "file string, off long, next long, size long, kind string, record string, refers string, declared string, found string, payload_bytes long"
 
 
@@ -70,9 +73,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
         F.lit(CRLF),
     )
     out = joined.select(F.concat(header, block).alias("record"))
-    mean = rows.agg(F.avg("n")).first()[0] or 0
-    fits = max(1, min(records_per_file, int(ARCHIVE / (mean + 1024))))
-    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", fits).text(path)
+    # No header but for the url is longer than the allowance.
+    most = F.col("n") + F.coalesce(F.octet_length("url"), F.lit(0)) + ALLOWANCE
+    longest, total = (x or 0 for x in rows.agg(F.max(most), F.sum(most)).first())
+    # Records go to files by their size, so that a file's bound holds whatever sizes are side by side.
+    sizes = [s for s in SIZES if s[0] <= longest] if total > ARCHIVE else SIZES[:1]
+    size = F.octet_length("record")
+    for low, high, fits in sizes:
+        part = out.where((size >= low) & (size < high)) if len(sizes) > 1 else out
+        part.write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", min(fits, records_per_file)).text(path)
 
 
 FIELDS = (b"content-length", b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")

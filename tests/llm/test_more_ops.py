@@ -142,6 +142,15 @@ def test_warc_long_urls_and_whole_archives(spark, tmp_path):
             warc.read_archives(spark, f"file://{tmp_path}/{n}", whole=True)
 
 
+def test_warc_files_are_bounded_by_bytes(spark):
+    rows = [(i, "u", chr(97 + i % 26) * n + str(i)) for i, n in enumerate([30_000] * 50 + [40_000] * 70 + [900_000] * 40 + [3_000_000] * 3)]
+    path = scratch(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    sizes = [p.stat().st_size for p in __import__("pathlib").Path(path.removeprefix("file:")).glob("part*")]
+    assert max(sizes) <= 32 << 20 and sum(n > 2_900_000 for n in sizes if n < 3_100_000) == 3
+    assert {int(r.record_id): r.payload_bytes for r in warc.read_archives(spark, path, whole=True).collect()} == {i: len(h) for i, _, h in rows}
+
+
 def test_warc_headers_that_share_an_end():
     text = b"WARC/1.1\r\nWARC-Type: a\r\nContent-Length: 1\r\nyWARC/1.0\r\nContent-Length: 2\r\nWARC/1.1\r\n\r\nWARC/1.1\r\nWARC-Type:b\r\n\r\nWARC/1.1\r\nWARC-Type: c\r\n"
     got = [(off, end, f.get(b"warc-type"), f.get(b"content-length")) for off, end, f in warc.headers(text)]
