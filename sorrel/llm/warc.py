@@ -72,16 +72,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
         line("Content-Length", length.cast("string")),
         F.lit(CRLF),
     )
-    out = joined.select(F.concat(header, block).alias("record"))
     # No header but for the url is longer than the allowance.
     most = F.col("n") + F.coalesce(F.octet_length("url"), F.lit(0)) + ALLOWANCE
     longest, total = (x or 0 for x in rows.agg(F.max(most), F.sum(most)).first())
     # Records go to files by their size, so that a file's bound holds whatever sizes are side by side.
     sizes = [s for s in SIZES if s[0] <= longest] if total > ARCHIVE else SIZES[:1]
-    size = F.octet_length("record")
     for low, high, fits in sizes:
-        part = out.where((size >= low) & (size < high)) if len(sizes) > 1 else out
-        part.write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", min(fits, records_per_file)).text(path)
+        part = joined.where((most >= low) & (most < high)) if len(sizes) > 1 else joined
+        part.select(F.concat(header, block).alias("record")).write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", min(fits, records_per_file)).text(path)
 
 
 FIELDS = (b"content-length", b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest")
