@@ -25,6 +25,8 @@ HEAD, MID, END = b"### ", b"\n", b"</turn>\n"
 BACKSLASH = 0x5C
 #: Bytes that get a backslash before them, in texts and in roles.
 IN_TEXT, IN_ROLE = b"\\<#", b"\\<#\n"
+#: Bytes whose indices are made at once.
+CHUNK = 1 << 20
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -50,19 +52,19 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """One formatted segment per turn (large binary over one buffer); the start and length of each escaped text within it."""
+    """One formatted segment per turn (large binary over one buffer); the start and length of each escaped text within it.
+
+    Indices are made for ``CHUNK`` bytes at a time, so that a very long text takes little more than itself.
+    """
     n = len(roles)
     parts = []
     for array, special in ((roles, _ROLE), (texts, _TEXT)):
         raw, length = _column(array)
         mark = special[raw]
-        row = np.repeat(np.arange(n), length)
-        extra = np.bincount(row[mark], minlength=n).astype(np.int64)
-        # Where a byte lands within its row's escaped form: its place, and one for each mark up to it.
-        shift = np.cumsum(mark)
-        before = np.concatenate([[0], shift])[_starts(length)]
-        place = np.arange(len(raw)) - np.repeat(_starts(length), length) + shift - np.repeat(before, length)
-        parts.append((raw, length, mark, length + extra, place))
+        marked, start = np.flatnonzero(mark), _starts(length)
+        before = np.searchsorted(marked, start)
+        extra = np.searchsorted(marked, start + length) - before
+        parts.append((raw, length, mark, length + extra, before))
     role_len, text_len = parts[0][3], parts[1][3]
     total = len(HEAD) + role_len + len(MID) + text_len + len(END)
     offsets = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
@@ -71,8 +73,16 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
     text_at = len(HEAD) + role_len + len(MID)
     for fixed, at in ((HEAD, starts), (MID, starts + len(HEAD) + role_len), (END, starts + text_at + text_len)):
         out[(at[:, None] + np.arange(len(fixed))).ravel()] = np.tile(np.frombuffer(fixed, np.uint8), n)
-    for (raw, length, _, _, place), base in zip(parts, (starts + len(HEAD), starts + text_at), strict=True):
-        out[np.repeat(base, length) + place] = raw
+    for (raw, length, mark, _, before), base in zip(parts, (starts + len(HEAD), starts + text_at), strict=True):
+        # A byte lands at its row's base: its place in the row, and one for each mark of the row up to it.
+        start, seen = _starts(length), 0
+        row = base - start - before
+        for low in range(0, len(raw), CHUNK):
+            high = min(low + CHUNK, len(raw))
+            inside = np.clip(start + length, low, high) - np.clip(start, low, high)
+            shift = np.cumsum(mark[low:high])
+            out[np.arange(low + seen, high + seen) + shift + np.repeat(row, inside)] = raw[low:high]
+            seen += int(shift[-1])
     built = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
     return built, text_at, text_len
 
