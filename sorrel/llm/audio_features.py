@@ -185,5 +185,6 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``audio_features`` over ``documents``."""
-    return audio_features(table(spark, sf_dir, "documents"), columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    """``audio_features`` over ``documents``: the digests, and each segment's tensor and time span."""
+    digests = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return audio_features(table(spark, sf_dir, "documents"), columns=[*digests, "tensors", "spans"])
