@@ -8,20 +8,31 @@ precedence: a url that an allow rule fits stays allowed whatever its aliases are
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import ascii_lower, connected_components, materialize, table
 
 #: So many rules at most are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 50_000
 #: Markup that makes one url an alias of another, and where the target stands in it.
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+LINK = r"(?i)<link\b[^>]*>"
+CANONICAL = r"""(?i)["'\s/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+HREF = r"""(?i)["'\s/]href\s*=\s*["']?([^"'\s>]+)"""
+META = r"(?i)<meta\b[^>]*>"
+REFRESH = r"""(?i)["'\s/]http-equiv\s*=\s*["']?\s*refresh["'\s/>]"""
 TARGET = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
+#: A url's scheme and host; a path with a dot segment, seen from behind its first slash.
+ROOT = r"^[^:/?#]*://[^/?#]*"
+DOTS = r"(^|/)\.\.?(/|$)"
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Both empty for a null url and one without ``://``."""
     at = F.instr(url, "://")
@@ -39,11 +50,33 @@ def url_key(url: Column) -> Column:
     return F.when(at > 0, F.concat(ascii_lower(F.substring(url, F.lit(1), at + 2)), host, tail))
 
 
+def folded(url: str | None) -> str | None:
+    """A url whose path has no ``.`` and ``..`` segments left: each ``..`` takes the segment before it along, if there is one."""
+    m = url and re.match(f"(?s)({ROOT})/([^?#]*)(.*)", url)
+    if not m or not re.search(DOTS, m[2]):
+        return url
+    done, parts = [], m[2].split("/")
+    for part in parts:
+        if part == "..":
+            del done[-1:]
+        elif part != ".":
+            done.append(part)
+    # A last dot segment means the folder itself.
+    end = "/" if done and parts[-1] in (".", "..") else ""
+    return f"{m[1]}/{'/'.join(done)}{end}{m[3]}"
+
+
+@F.pandas_udf(StringType())
+def fold_dots(urls: pd.Series) -> pd.Series:
+    """``folded`` over links: with array functions a path of many segments would be copied once for each."""
+    return urls.map(folded, na_action="ignore")
+
+
 def resolve(base: Column, href: Column) -> Column:
     """A link's absolute url: absolute, ``//host``, ``/path`` and plain relative forms."""
     href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
-    root = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*", 0)
-    folder = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*((?:/[^/?#]*)*/)?", 1)
+    root = F.regexp_extract(base, ROOT, 0)
+    folder = F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*(/(?:[^?#]*/)?)?", 1)
     return (
         F.when(href == "", None).when(F.instr(href, "://") > 0, href).when(root == "", None)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^[^:/?#]*:", 0), href))
@@ -53,12 +86,17 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Alias links ``(a, b)`` by url key that pages declare: canonical links and refreshing redirects."""
+    """Alias links ``(a, b)`` by url key that pages declare: all their canonical links and refreshing redirects."""
     url, html = F.col(url_col), F.col(html_col)
-    tags = [(CANONICAL, HREF), (REFRESH, TARGET)]
-    hrefs = F.array(*[F.regexp_extract(F.regexp_extract(html, tag, 0), target, 1) for tag, target in tags])
-    found = pages.select(url.alias("url"), F.explode(F.filter(hrefs, lambda h: h != "")).alias("href"))
-    return found.select(url_key(F.col("url")).alias("a"), url_key(resolve(F.col("url"), F.col("href"))).alias("b"))
+
+    def targets(element: str, marked: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(element), F.lit(0)), lambda t: t.rlike(marked))
+        return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, target, 1)), lambda h: h != "")
+
+    hrefs = F.concat(targets(LINK, CANONICAL, HREF), targets(META, REFRESH, TARGET))
+    found = pages.select(url.alias("url"), F.explode(hrefs).alias("href"))
+    named = found.select("url", fold_dots(resolve(F.col("url"), F.col("href"))).alias("target"))
+    return named.select(url_key(F.col("url")).alias("a"), url_key(F.col("target")).alias("b"))
 
 
 def decide(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -134,17 +172,26 @@ def _sql_rule(host: str, path: str) -> str:
 
 
 _q = lambda p: p.replace("'", "''")
-_ROOT = "regexp_extract(url, '^[^:/?#]*://[^/?#]*', 0)"
-_FOLDER = "regexp_extract(url, '^[^:/?#]*://[^/?#]*((?:/[^/?#]*)*/)?', 1)"
+_ROOT = f"regexp_extract(url, '{ROOT}', 0)"
+_HREFS = lambda element, marked, target: f"list_transform(list_filter(regexp_extract_all(html, '{_q(element)}', 0), lambda t: regexp_matches(t, '{_q(marked)}')), lambda t: regexp_extract(t, '{_q(target)}', 1))"
+_FOLDER = "regexp_extract(url, '^[^:/?#]*://[^/?#]*(/(?:[^?#]*/)?)?', 1)"
 OP5_SQL = f"""
-WITH RECURSIVE found AS (
-  SELECT url, replace(trim(href), '&amp;', '&') AS href FROM (
-    SELECT url, unnest([regexp_extract(regexp_extract(html, '{_q(CANONICAL)}', 0), '{_q(HREF)}', 1), regexp_extract(regexp_extract(html, '{_q(REFRESH)}', 0), '{_q(TARGET)}', 1)]) AS href FROM pages) WHERE href <> ''),
-links AS (
-  SELECT {_KEY.format('url')} AS a, {_KEY.format('target')} AS b FROM (
+WITH RECURSIVE named AS (
+  SELECT url, {_HREFS(LINK, CANONICAL, HREF)} || {_HREFS(META, REFRESH, TARGET)} AS hrefs FROM pages),
+found AS (
+  SELECT url, replace(trim(href), '&amp;', '&') AS href FROM (SELECT url, unnest(hrefs) AS href FROM named) WHERE href <> ''),
+targets AS (
     SELECT url, CASE WHEN href = '' THEN NULL WHEN instr(href, '://') > 0 THEN href WHEN {_ROOT} = '' THEN NULL
       WHEN starts_with(href, '//') THEN regexp_extract(url, '^[^:/?#]*:', 0) || href WHEN starts_with(href, '/') THEN {_ROOT} || href
-      ELSE {_ROOT} || CASE WHEN {_FOLDER} = '' THEN '/' ELSE {_FOLDER} END || href END AS target FROM found)),
+      ELSE {_ROOT} || CASE WHEN {_FOLDER} = '' THEN '/' ELSE {_FOLDER} END || href END AS target FROM found),
+cut AS (SELECT url, target, regexp_extract(target, '{ROOT}', 0) AS root, regexp_extract(target, '{ROOT}/([^?#]*)', 1) AS path, regexp_extract(target, '[?#](?s:.*)$', 0) AS tail FROM targets),
+folded AS (
+  SELECT url, target, root, path, tail, list_reduce(list_transform(string_split(path, '/'), lambda s: [s]),
+    lambda done, s: CASE s[1] WHEN '.' THEN done WHEN '..' THEN done[:-2] ELSE done || s END, CAST([] AS VARCHAR[])) AS parts FROM cut),
+resolved AS (
+  SELECT url, CASE WHEN root <> '' AND regexp_matches(path, '{DOTS}')
+    THEN root || '/' || array_to_string(parts, '/') || CASE WHEN regexp_matches(path, '(^|/)\\.\\.?$') AND len(parts) > 0 THEN '/' ELSE '' END || tail ELSE target END AS target FROM folded),
+links AS (SELECT {_KEY.format('url')} AS a, {_KEY.format('target')} AS b FROM resolved),
 both_ways AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 nodes AS (SELECT DISTINCT a AS node, {_HOST.format('a')} AS host, {_PATH.format('a')} AS path FROM both_ways),
 blocked(node) AS (

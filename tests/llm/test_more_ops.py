@@ -45,6 +45,7 @@ def test_language_id_awkward(docs):
     assert len(got) == len(AWKWARD)
     assert all((r.lang_pred == "und") == (r.doc_id in (3, 4, None)) for r in got)
     assert language_id.identify(docs.limit(0), model).count() == 0
+    assert len(language_id.train(docs, max_rows=2).langs) <= len(model.langs)
     nothing = language_id.train(docs.where("lang = 'none'"))
     assert nothing is None and {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
@@ -167,9 +168,20 @@ LINKED = [
     (5, "http://other.com/", ""), (6, None, None), (7, "no scheme", "<link rel=canonical href=/x>"),
     (8, "HTTP://EXAMPLE.com/de/?x=1", None), (9, "http://x.org/fr/../a?b#c", ""), (10, "http://notexample.com/de/", ""), (10, "http://notexample.com/de/", ""),
     (11, "http://example.net", ""), (12, "http://a.net?x", ""), (13, "http://q.com/d/e", "<link rel=canonical href='f?a=1&amp;b=2'>"), (14, "http://q.com/d/f?a=1&b=2", ""), (15, "a://b://c.net/", None),
+    (16, "http://bad.net/y/z", '<link rel=s href=/s.css><link data-rel=canonical rel=icon href="http://other.com/"><link rel="nofollow Canonical" href="http://e.com/p/./q/../r">'),
+    (17, "http://e.com/p/r", ""), (18, "http://e.com/k/l", '<meta http-equiv=refresh content=5><META http-equiv="refresh" content="0;url=../../../p/x/.."><link rel=canonical><link rel=canonical href=..>'),
+    (19, "http://e.com/p/", "<link rel='canonical' href='http://bad.net/w?a/../b'>"), (20, "http://e.com/", ""), (21, "http://e.com/k/", ""), (22, "http://long.com" + "/a" * 500, "<link rel=canonical href=../b>"),
 ]
 # 11 and 12 have an empty path, which does not start with the rule's "/".
 VERDICTS = {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "allow", 10: "allow", 11: "allow", 12: "allow", 13: "allow", 14: "allow", 15: "allow"}
+VERDICTS |= {16: "block", 17: "block", 18: "block", 19: "block", 20: "block", 21: "allow", 22: "allow"}
+
+
+def test_dot_segments():
+    assert url_filters.folded("http://h" + "/a" * 200_000 + "/.." * 199_999) == "http://h/a/"
+    cases = {"http://h/a/./b/../c?x/../y": "http://h/a/c?x/../y", "http://h/../..": "http://h/", "http://h//x/..": "http://h//", "http://h/a/../": "http://h/", "x/../y": "x/../y", "http://h/.a/..b#../c": "http://h/.a/..b#../c"}
+    assert {u: url_filters.folded(u) for u in cases} == cases
+    assert url_filters.folded(None) is None
 
 
 def test_url_filters_spread_blocks_and_match_the_sql(spark):
@@ -211,7 +223,9 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
-def test_chat_assembly_equals_plain_formatting():
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_chat_assembly_equals_plain_formatting(chunk, monkeypatch):
+    monkeypatch.setattr(chat_format, "CHUNK", chunk)
     rng = random.Random(3)
     draw = lambda n: "".join(rng.choice("\\<#\n/turn>é a") for _ in range(rng.randrange(n)))
     roles, texts = [draw(5) for _ in range(500)], [draw(30) for _ in range(500)]
@@ -244,6 +258,13 @@ def test_audio(docs):
     assert audio_features.audio_features(docs.limit(0)).count() == 0
 
 
+def test_audio_query_returns_tensors_and_spans(spark, sf):
+    got = audio_features.op8_audio_features(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in got:
+        assert len(audio_features.read_tensors(bytes(r.tensors))) == len(r.spans) == int(r.feature.split("segments=")[1].split(";")[0])
+
+
 def test_resampling_and_filterbank_follow_a_tone():
     rate = audio_features.RATE
     tone = np.sin(2 * np.pi * 1000 * np.arange(rate * 2) / rate).astype(np.float32)
