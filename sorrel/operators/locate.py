@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schema import END
 
 
+#: Level of a span that crosses line 0; all such are one block.
+TOP = 64
+
+
+def _block(line: str) -> Column:
+    return F.expr(f"CASE WHEN level = {TOP} THEN 0L ELSE shiftright(CAST({line} AS BIGINT), level) END")
+
+
 def innermost(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each distinct ``(uri, line, character)`` the innermost node around it: the point with ``node_id``.
 
-    An equi-join on the file with the containment as residual, then the least span in one
-    map-side combined aggregate; ties go to the smaller id. Points in no node are dropped.
+    A span lies in one block: of the halvings of a file's lines, the smallest that holds it whole. A point looks into its own block on each
+    level that spans of its file have (65 at most), so it meets nested spans around a block's middle and not all of its file's; the containment is the
+    residual of that equi-join. Then the least span in one map-side combined aggregate; ties go to the smaller id. Points in no node, and nulls in a
+    position or a span, are dropped.
     """
     inside = (
         ((F.col("range_start_line") < F.col("line")) | ((F.col("range_start_line") == F.col("line")) & (F.col("range_start_col") <= F.col("character"))))
         & ((F.col("range_end_line") > F.col("line")) | ((F.col("range_end_line") == F.col("line")) & (F.col("range_end_col") >= F.col("character"))))
     )
-    spans = nodes.select("uri", "id", "range_start_line", "range_start_col", "range_end_line", "range_end_col")
-    joined = points.select("uri", "line", "character").distinct().join(spans, "uri").where(inside)
+    spans = nodes.select("uri", "id", "range_start_line", "range_start_col", "range_end_line", "range_end_col").dropna()
+    crossed = F.bin(F.col("range_start_line").cast("long").bitwiseXOR(F.col("range_end_line").cast("long")))
+    spans = spans.withColumn("level", F.when(crossed == "0", 0).otherwise(F.length(crossed))).withColumn("block", _block("range_start_line"))
+    levels = spans.select("uri", "level").distinct()
+    asked = points.select("uri", "line", "character").dropna().distinct().join(levels, "uri").withColumn("block", _block("line"))
+    joined = asked.join(spans, ["uri", "level", "block"]).where(inside)
     size = F.struct((F.col("range_end_line") - F.col("range_start_line")).alias("lines"), (F.col("range_end_col") - F.col("range_start_col")).alias("cols"), "id")
     return joined.groupBy("uri", "line", "character").agg(F.min(size)["id"].alias("node_id"))
 

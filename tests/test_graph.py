@@ -97,6 +97,23 @@ def test_pages_and_cursors(spark):
     assert "signature" not in shown and shown["range"]["end"]["line"] == 2
 
 
+def test_innermost_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    spans = [(i, f"f{rng.randrange(2)}", a, rng.randrange(4), a + rng.choice([0, 0, 1, 3, 40, -2]), rng.randrange(4)) for i, a in enumerate(rng.choices(range(-5, 140), k=150))]
+    spans += [(900, "f0", 0, 0, 2**40, 0), (901, "f1", -(2**40), 0, 2**40, 0), (902, "f0", None, 0, 3, 0), (903, None, 0, 0, 9, 0)]
+    points = [(f"f{rng.randrange(3)}", rng.choice([*range(-8, 150), 2**39]), rng.randrange(5)) for _ in range(400)] + [(None, 1, 1), ("f0", None, 1), ("f0", 1, None)]
+    want = {}
+    for uri, line, char in points:
+        if None not in (uri, line, char):
+            around = [((e - s, ec - sc), i) for i, u, s, sc, e, ec in spans if u == uri and s is not None and (s, sc) <= (line, char) <= (e, ec)]
+            want |= {(uri, line, char): min(around)[1]} if around else {}
+    names = "id long, uri string, range_start_line long, range_start_col long, range_end_line long, range_end_col long"
+    got = locate.innermost(spark.createDataFrame(points * 2, "uri string, line long, character long"), spark.createDataFrame(spans, names)).collect()
+    assert len(want) > 100 and sorted(got) == sorted((*k, v) for k, v in want.items())
+
+
 def test_innermost(spark):
     nodes = frame(spark, [node(1, "m.C", 0, 10), node(2, "m.C.f", 2, 4), node(3, "o.g", 0, 3, uri="file:///repo/o.py")])
     points = spark.createDataFrame([("file:///repo/m.py", 3, 0), ("file:///repo/m.py", 9, 0), ("file:///repo/o.py", 50, 0), ("file:///repo/none.py", 0, 0)], "uri string, line long, character long")
