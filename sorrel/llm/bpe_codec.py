@@ -8,11 +8,15 @@ a text's ids are the concatenation.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import unicodedata
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import accumulate, chain, compress
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,37 @@ from .common import small_batches, table
 
 #: Words whose ids an encoder keeps: a bound on a worker's memory.
 WORDS = 400_000
+#: Longer words and fragments are not kept.
+KEPT_LENGTH = 64
+_IDS, _TEXT = itemgetter(0), itemgetter(1)
+
+
+@contextmanager
+def _no_collection():
+    """Pause the cycle collector: a batch makes millions of tuples and no cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Recent:
+    """A map in two generations of ``room`` entries: what is asked for moves to the newer one, the older one goes when that is full."""
+
+    def __init__(self, room: int):
+        self.room, self.new, self.old = room, {}, {}
+
+    def absent(self, keys: set) -> set:
+        """The keys that are not held; all others are in ``new`` afterwards."""
+        if len(self.new) > self.room:
+            self.new, self.old = {}, self.new
+        out = keys - self.new.keys()
+        back = out & self.old.keys()
+        self.new.update(zip(back, map(self.old.pop, back), strict=True))
+        return out - back
 
 
 class ForcedBoundaryBPE:
@@ -57,10 +92,8 @@ class ForcedBoundaryBPE:
         self.mark = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.odd = re.compile("[\x1c-\x1f]")
         self.space = re.compile(f"[{SPACE}]+")
-        self.known_last: dict[bytes, tuple[bytes, str]] = {}
-        self.known_inner: dict[bytes, tuple[bytes, str]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
+        self.packed = {i: np.array([i], "<u4").tobytes() for i in self.token}
+        self.known_last, self.known_inner, self.codes = (Recent(WORDS // 2) for _ in range(3))
 
     def words(self, text: str) -> list[str]:
         """The outer fragments; special strings are fragments of their own."""
@@ -69,10 +102,12 @@ class ForcedBoundaryBPE:
         # split() would also cut at the separators 1c to 1f, which are no white space here.
         return [w for w in self.space.split(text) if w] if self.odd.search(text) else text.split()
 
-    def matches(self, word: str) -> list[str]:
-        """A word's normal form, cut by the vocabulary's pattern; a word of letters alone is one match."""
-        norm = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return [norm] if norm.isalpha() else self.pattern.findall(norm)
+    def matches(self, words: list[str]) -> list[list[str]]:
+        """The words' normal forms, each cut by the vocabulary's pattern; a word of letters alone is one match."""
+        # No white space is in a word, and nothing composes across a line feed or changes its case by it.
+        lines = "\n".join(words)
+        norms = (lines if lines.isascii() else unicodedata.normalize("NFC", lines).replace("Σ", "σ")).lower().split("\n") if words else []
+        return [[n] if n.isalpha() else self.pattern.findall(n) for n in norms]
 
     def cut(self, matches: list[str]) -> tuple[list[bytes], list[int]]:
         """All matches' inner fragments in a row, and for each match how many fragments lie before it."""
@@ -91,50 +126,52 @@ class ForcedBoundaryBPE:
 
     def fragments(self, word: str) -> list[bytes]:
         """A word's inner fragments."""
-        return self.cut(self.matches(word))[0]
+        return self.cut(self.matches([word])[0])[0]
 
-    def _encode_fragments(self, tokenizer, known: dict, parts: set[bytes]) -> None:
-        """Ids and tokens of the distinct fragments that are not known, in one batch."""
-        if len(known) > WORDS:
-            known.clear()
-        new = list(parts - known.keys())
+    def _encode_fragments(self, tokenizer, known: Recent, parts: set[bytes]) -> list[bytes]:
+        """Ids and tokens of the distinct fragments that are not known, in one batch; returns those too long to be kept."""
+        new = list(known.absent(parts))
         got = tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)
+        packed, token = self.packed.__getitem__, self.token.__getitem__
         for p, e in zip(new, got, strict=True):
             ids = e.ids
-            known[p] = np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids])
+            known.new[p] = b"".join(map(packed, ids)), " ".join(map(token, ids))
+        return [p for p in new if len(p) > KEPT_LENGTH]
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not known: by their distinct fragments, of which those that end a match are apart."""
         plain = [w for w in words if w not in self.special]
-        split = [self.matches(w) for w in plain]
-        parts, first = self.cut([m for ms in split for m in ms])
-        final = set(i - 1 for i in first[1:])
-        ends = [i in final for i in range(len(parts))]
-        self._encode_fragments(self.last, self.known_last, {p for p, e in zip(parts, ends, strict=True) if e})
-        self._encode_fragments(self.inner, self.known_inner, {p for p, e in zip(parts, ends, strict=True) if not e})
-        coded = [(self.known_last if e else self.known_inner)[p] for p, e in zip(parts, ends, strict=True)]
-        m = 0
-        for w, ms in zip(plain, split, strict=True):
-            here = coded[first[m] : first[m + len(ms)]]
-            m += len(ms)
-            self.ids[w] = b"".join([i for i, _ in here])
-            self.text[w] = " ".join([t for _, t in here])
+        split = self.matches(plain)
+        parts, first = self.cut([*chain.from_iterable(split)])
+        ends = np.zeros(len(parts), bool)
+        ends[np.array(first[1:], np.int64) - 1] = True
+        long_last = self._encode_fragments(self.last, self.known_last, set(compress(parts, ends.tolist())))
+        long_inner = self._encode_fragments(self.inner, self.known_inner, set(compress(parts, (~ends).tolist())))
+        last, inner, codes = self.known_last.new, self.known_inner.new, self.codes.new
+        coded = [last[p] if e else inner[p] for p, e in zip(parts, ends.tolist(), strict=True)]
+        at = [first[m] for m in accumulate(map(len, split), initial=0)]
+        for w, i, j in zip(plain, at, at[1:], strict=False):
+            codes[w] = coded[i] if j - i == 1 else (b"".join(map(_IDS, coded[i:j])), " ".join(map(_TEXT, coded[i:j])))
         for w in words & self.special.keys():
-            self.ids[w], self.text[w] = np.array([self.special[w]], "<u4").tobytes(), w
+            codes[w] = self.packed[self.special[w]], w
+        for p in long_last:
+            del last[p]
+        for p in long_inner:
+            del inner[p]
 
+    @_no_collection()
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """By text: its ids as little-endian 32-bit, and what they decode to."""
         split = [self.words(t) for t in texts]
-        seen = set().union(*split) if split else set()
-        if len(self.ids) + len(seen) > WORDS:
-            self.ids.clear()
-            self.text.clear()
-        self.learn(seen - self.ids.keys())
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        out = [(b"".join(map(ids, ws)), " ".join(filter(None, map(text, ws)))) for ws in split]
-        for w in seen:
-            if len(w) > 64:
-                del self.ids[w], self.text[w]
+        new = self.codes.absent(set().union(*split))
+        self.learn(new)
+        code, out = self.codes.new.__getitem__, []
+        for ws in split:
+            coded = [*map(code, ws)]
+            out.append((b"".join(map(_IDS, coded)), " ".join(filter(None, map(_TEXT, coded)))))
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del self.codes.new[w]
         return out
 
     def encode(self, text: str) -> list[int]:
