@@ -170,11 +170,19 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
     """``(id, *keep, lang_pred, score)``, one row per input row; ``keep`` names further columns to carry.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
-    An empty table gives none; repeated rows and null ids keep a row each.
+    An empty table gives none; repeated rows and null ids keep a row each. A carried column whose name
+    is taken (``lang_pred``, ``score``, ``_text`` or one before it) gets underscores before its name until it is free; others are ignored.
     """
     small_batches(docs.sparkSession)
     text = F.col(text_col)
-    rows = docs.select(id_col, *keep, F.when(text.rlike(r"\p{L}"), text).alias("_text"))
+    taken, carried = ["lang_pred", "score", "_text"], []
+    for name in (id_col, *keep):
+        free = name
+        while free.lower() in taken:
+            free = f"_{free}"
+        taken.append(free.lower())
+        carried.append(F.col(name).alias(free))
+    rows = docs.select(*carried, F.when(text.rlike(r"\p{L}"), text).alias("_text"))
     kept = rows.drop("_text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     names = [*kept.columns, "lang_pred", "score"]

@@ -311,3 +311,12 @@ def test_bpe_codec_matches_the_library(spark, sf, docs):
 def test_forced_cuts_are_inside_words():
     codec = bpe_codec.ForcedBoundaryBPE(public_tokenizers.path("word_bpe_49k.json"))
     assert len(codec.fragments("zqzqzq")) > 1
+
+
+def test_language_id_renames_carried_columns_whose_names_are_taken(spark):
+    docs = spark.createDataFrame([(1, "ein Wort", "a", "b", "c", "d"), (2, None, None, None, None, None)], "doc_id long, text string, score string, lang_pred string, _text string, _score string")
+    out = language_id.identify(docs, language_id.ByteCNN.fresh(["de", "en"]), keep=["score", "lang_pred", "_text", "_score", "doc_id"])
+    assert out.columns == ["doc_id", "_score", "_lang_pred", "__text", "__score", "_doc_id", "lang_pred", "score"]
+    rows = {r[0]: r for r in out.collect()}
+    assert tuple(rows[1])[1:6] == ("a", "b", "c", "d", 1) and rows[1][6] in ("de", "en") and 0 <= rows[1][7] <= 1
+    assert tuple(rows[2]) == (2, None, None, None, None, 2, "und", 0.0)
