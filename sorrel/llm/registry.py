@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_features, bpe_codec, chat_format, exact_dedup, language_id, packing, simhash_dedup, token_counts, url_filters, warc
+from . import audio_features, bpe_codec, chat_format, exact_dedup, hnsw_search, language_id, packing, prefix_trie, simhash_dedup, token_counts, tokenizer_alignment, url_filters, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_audio_features": audio_features.op8_audio_features,
     "op9_simhash": simhash_dedup.op9_simhash,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_tokenizer_alignment": tokenizer_alignment.op12_tokenizer_alignment,
+    "op13_nearest_neighbours": hnsw_search.op13_nearest_neighbours,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op4_warc": warc.OP4_SQL,
     "op5_url_filters": url_filters.OP5_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }
