@@ -51,18 +51,24 @@ def resolve_callers(points: DataFrame, nodes: DataFrame, root_uri: str) -> DataF
 def find_definition(requests: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Definition targets of ``(uri, line, character)`` requests, resolved to nodes; what resolves to none is dropped.
 
-    ``facts`` are location rows; returns ``(uri, line, character, node_id)``.
+    ``facts`` are location rows, ``rank`` numbering an answer's targets in its order (none, or null: all alike); returns ``(uri, line, character, rank, node_id)``,
+    a row for each target, so a node that two targets lie in comes twice.
     """
+    rank = F.coalesce("rank", F.lit(0)) if "rank" in facts.columns else F.lit(0)
     asked = facts.where("op = 'definition'").join(requests.select("uri", "line", "character").distinct(), ["uri", "line", "character"])
-    targets = asked.select("uri", "line", "character", F.col("target_uri").alias("t_uri"), F.col("target_line").alias("t_line"), F.col("target_character").alias("t_character"))
+    targets = asked.select("uri", "line", "character", rank.cast("long").alias("rank"), F.col("target_uri").alias("t_uri"), F.col("target_line").alias("t_line"), F.col("target_character").alias("t_character"))
     found = innermost(targets.select(F.col("t_uri").alias("uri"), F.col("t_line").alias("line"), F.col("t_character").alias("character")), nodes)
     named = found.select(F.col("uri").alias("t_uri"), F.col("line").alias("t_line"), F.col("character").alias("t_character"), "node_id")
-    return targets.join(named, ["t_uri", "t_line", "t_character"]).select("uri", "line", "character", "node_id").distinct()
+    return targets.join(named, ["t_uri", "t_line", "t_character"]).select("uri", "line", "character", "rank", "node_id").distinct()
 
 
 def resolve_anchors(requests: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The symbol that each ``(uri, line, character)`` means: its definition's first target, else the symbol around it."""
-    defined = find_definition(requests, facts, nodes).groupBy("uri", "line", "character").agg(F.min("node_id").alias("defined"))
+    """The symbol that each ``(uri, line, character)`` means: the first of its definition's targets that resolves, in the answer's order, else the symbol around it.
+
+    Targets of one rank are taken by the smaller id.
+    """
+    found = find_definition(requests, facts, nodes)
+    defined = found.groupBy("uri", "line", "character").agg(F.min(F.struct("rank", "node_id"))["node_id"].alias("defined"))
     around = innermost(requests, nodes)
     both = requests.select("uri", "line", "character").distinct().join(defined, ["uri", "line", "character"], "left").join(around, ["uri", "line", "character"], "left")
     return both.select("uri", "line", "character", F.coalesce("defined", "node_id").alias("anchor_id")).where("anchor_id is not null")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.adapters import BUILT_IN, LanguageAdapter, route_language
 
 #: A renamed declaration begins at most so many lines from where the old one did.
 DRIFT = 3
@@ -95,12 +96,13 @@ def outcome(plan: DataFrame) -> DataFrame:
     return plan.groupBy("uri").agg(*[F.count_if(F.col("action") == a).alias(a) for a in names])
 
 
-def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, symbols: DataFrame, uris: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, symbols: DataFrame, uris: DataFrame, last: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Bring the files ``(uri)`` to what ``symbols`` say; a file without symbols is gone.
 
     ``symbols`` are flat rows with ``pos``, ``parent_pos``, ``language``, ``is_external`` and ``signature_hash``. Matched rows keep
     id, construct, signature, language and origin. Inserted symbols are upserted: those of one name are one node, and one
-    whose name or place some node has takes its id. Old rows that a symbol takes over so are neither orphaned nor deleted. Returns nodes, edges, cache, marks and the plan.
+    whose name or place some node has takes its id. Old rows that a symbol takes over so are neither orphaned nor deleted; one whose place goes to
+    another name's row is deleted. New ids follow ``last``, the greatest of nodes and edges so far. Returns nodes, edges, cache, marks and the plan.
     """
     from .store import PHYSICAL_KEY, delete_nodes, drop_callee_hashes, invalidate_incident, upsert_edges, upsert_nodes
     from .tables import written
@@ -129,7 +131,8 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
         null.alias("documentation"), "detail", "signature_hash", F.lit(True).alias("valid"), F.lit(False).alias("orphan"), F.lit(0).cast("long").alias("generation"), "is_external", "new_pos",
     )
     made = written(made, "made")
-    out = written(upsert_nodes(written(out, "kept"), made.select(*nodes.columns, "new_pos"), "new_pos"), "upserted")
+    upserted, displaced = upsert_nodes(written(out, "kept"), made.select(*nodes.columns, "new_pos"), "new_pos", last[0])
+    out = written(upserted, "upserted")
     named, placed_at = out.select("fqn", F.col("id").alias("_named")), out.groupBy(*PHYSICAL_KEY).agg(F.min("id").alias("_placed"))
     numbered = made.join(named, "fqn", "left").join(placed_at, PHYSICAL_KEY, "left").select("uri", "new_pos", F.coalesce("_named", "_placed").alias("id"))
     numbered = written(numbered, "inserted")
@@ -138,8 +141,8 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     parents = new.where("parent_pos is not null").select("uri", F.col("pos").alias("new_pos"), "parent_pos")
     linked = parents.join(ids, ["uri", "new_pos"]).join(ids.select("uri", F.col("new_pos").alias("parent_pos"), F.col("id").alias("_container")), ["uri", "parent_pos"])
     # Symbols of one name are one node: the last one's container counts.
-    last = linked.groupBy("id").agg(F.max_by("_container", "new_pos").alias("_container"))
-    placed = ids.select("id").distinct().join(last, "id", "left").withColumn("_seen", F.lit(True))
+    latest = linked.groupBy("id").agg(F.max_by("_container", "new_pos").alias("_container"))
+    placed = ids.select("id").distinct().join(latest, "id", "left").withColumn("_seen", F.lit(True))
     out = out.join(placed, "id", "left").withColumn("container_id", F.when(F.col("_seen"), F.col("_container")).otherwise(F.col("container_id"))).select(*nodes.columns)
 
     edges = invalidate_incident(edges, plan.where("changed").select(F.col("old_id").alias("id")))
@@ -148,8 +151,8 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
         none.cast("long").alias("id"), F.col("_container").alias("src_id"), F.col("id").alias("dst_id"), F.lit("contains").alias("edge_type"), none.cast("string").alias("site_uri"),
         *[none.cast("long").alias(c) for c in ("site_start_line", "site_start_col", "site_end_line", "site_end_col")], F.lit(True).alias("valid"),
     ).where("src_id != dst_id")
-    edges = upsert_edges(edges, contains.select(*edges.columns))
-    dead = plan.where("action = 'deleted'").select(F.col("old_id").alias("id")).join(numbered.select("id"), "id", "left_anti")
+    edges = upsert_edges(edges, contains.select(*edges.columns), last[1])
+    dead = plan.where("action = 'deleted'").select(F.col("old_id").alias("id")).join(numbered.select("id"), "id", "left_anti").unionByName(displaced)
     return *delete_nodes(out, edges, cache, marks, dead), plan
 
 
@@ -160,7 +163,7 @@ def with_places(flat: DataFrame) -> DataFrame:
     return placed.join(up, ["uri", "parent_path"], "left").drop("path", "parent_path")
 
 
-def reconcile_answers(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, files: DataFrame, answers: DataFrame, root_uri: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def reconcile_answers(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, files: DataFrame, answers: DataFrame, root_uri: str, last: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """``reconcile`` for changed files ``(uri, removed)`` from their captured answers ``(uri, symbols)``.
 
     A removed file loses its symbols; one whose answer is missing or broken is left as it is.
@@ -171,7 +174,7 @@ def reconcile_answers(nodes: DataFrame, edges: DataFrame, cache: DataFrame, mark
     good = answers.join(files.where("not removed").select("uri").distinct(), "uri", "left_semi").where("try_parse_json(symbols) is not null")
     symbols = written(with_places(facts.index_symbols(facts.flatten_symbols(good, root_uri), root_uri)), "symbols")
     uris = good.select("uri").unionByName(files.where("removed").select("uri")).distinct()
-    return reconcile(nodes, edges, cache, marks, symbols, uris)
+    return reconcile(nodes, edges, cache, marks, symbols, uris, last)
 
 
 def catch_up(uris: DataFrame, attempt: Callable[[DataFrame], DataFrame], retries: int = 5, delay: float = 2.0) -> DataFrame:
@@ -201,7 +204,11 @@ def drift(found: DataFrame, stored: DataFrame, known: DataFrame) -> DataFrame:
     ``found`` is ``(uri, text)`` of files that are there, ``stored`` their ``(uri, hash)`` from the last run, and
     ``known`` the graph's ``(uri)``. A file whose hash is stored is skipped; one that is gone never is.
     """
-    now = found.select("uri", T.content_hash(F.col("text")).alias("now"))
+    return _drift_states(found.select("uri", T.content_hash(F.col("text")).alias("now")), stored, known)
+
+
+def _drift_states(now: DataFrame, stored: DataFrame, known: DataFrame) -> DataFrame:
+    """``drift`` by the files' hashes ``(uri, now)``."""
     seen = stored.select("uri", F.col("hash").alias("before"))
     both = now.join(known.select("uri", F.lit(True).alias("known")).distinct(), "uri", "full").join(seen, "uri", "left")
     state = F.when(F.col("now").isNull(), "deleted").when(F.col("now") == F.col("before"), "skipped").when(F.col("before").isNull(), "new").otherwise("changed")
@@ -214,3 +221,65 @@ def suspiciously_empty(symbols: DataFrame, nodes: DataFrame, uris: DataFrame, ro
     had = nodes.where(~F.col("orphan") & (F.col("fqn") != module)).select("uri").distinct()
     has = symbols.where(F.col("fqn") != module).select("uri").distinct()
     return uris.select("uri").distinct().join(had, "uri", "left_semi").join(has, "uri", "left_anti")
+
+
+#: Settings that hold the hash of a file as of its last commit at a start.
+STORED = "startup_hash:"
+
+
+def start_up(store, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], root_uri: str, retries: int = 5, delay: float = 2.0, adapters: tuple[LanguageAdapter, ...] = BUILT_IN) -> tuple[DataFrame, DataFrame]:
+    """Bring a snapshot store to what the files ``found (uri, text)`` are now, after a time in which nobody watched them.
+
+    Candidates are the files there are and those that the graph knows. One whose content hash is stored is not looked at. ``fetch`` gives the answers ``(uri, symbols)`` of the others
+    ``(uri)``: no row means that the source is not there, and an answer that is no JSON is a failure, which leaves the file as it is. A file that is there and had symbols, but now shows none, and one
+    whose source is not there, wait: only they are asked for again, ``retries`` times and ``delay`` seconds apart, and then stay as they are. A file that is gone loses its symbols.
+    Each pass commits graph and hashes as one version, so a run that dies before it leaves both as they were, and the next takes these files up again.
+
+    Returns ``(uri, state)``, state being unsupported, unchanged, committed, removed, failed or held, and one row ``(checked, failures, skipped)``.
+    """
+    from ..sources import facts
+    from .store import merge_keyed
+    from .symbols import known_uris
+    from .tables import written
+
+    uris = written(found.select("uri").unionByName(known_uris(store.read().nodes)).distinct(), "candidates")
+    passes: list[DataFrame] = []
+
+    def attempt(pending: DataFrame) -> DataFrame:
+        now = store.read()
+        owned = pending.where(route_language(F.col("uri"), adapters).isNotNull())
+        stored = now.index_meta.where(F.col("key").startswith(STORED)).select(F.substring("key", len(STORED) + 1, 1 << 30).alias("uri"), F.col("value").alias("hash"))
+        there = found.join(owned, "uri", "left_semi")
+        # Texts are read once for their hashes.
+        hashes = written(there.select("uri", T.content_hash(F.col("text")).alias("now")).groupBy("uri").agg(F.min("now").alias("now")), "hashes")
+        states = written(_drift_states(hashes, stored, owned), "drift")
+        asked = states.where("state in ('new', 'changed')").select("uri")
+        answers = written(fetch(asked).select("uri", "symbols").join(asked, "uri", "left_semi").groupBy("uri").agg(F.first("symbols").alias("symbols"), F.lit(True).alias("answered")), "answers")
+        good = answers.select("uri", F.coalesce("symbols", F.lit("[]")).alias("symbols")).where("try_parse_json(symbols) is not null")
+        flat = written(with_places(facts.index_symbols(facts.flatten_symbols(good, root_uri), root_uri)), "symbols")
+        empty = written(suspiciously_empty(flat, now.nodes, good, root_uri), "empty")
+        gone = states.where("state = 'deleted'").select("uri")
+        took = written(good.select("uri").join(empty, "uri", "left_anti"), "took")
+        if not (took.isEmpty() and gone.isEmpty()):
+            symbols = flat.join(took, "uri", "left_semi")
+            nodes, edges, cache, marks, _ = reconcile(now.nodes, now.edges, now.callees_cache, now.materialized, symbols, took.unionByName(gone), now.last_ids())
+            # A file that is gone has the empty hash, which no content has: one that comes back is looked at.
+            fresh = took.join(hashes, "uri").select("uri", "now").unionByName(gone.select("uri", F.lit("").alias("now")))
+            meta = merge_keyed(now.index_meta, fresh.select(F.concat(F.lit(STORED), "uri").alias("key"), F.col("now").alias("value")), ["key"])
+            store.commit(nodes=nodes, edges=edges, callees_cache=cache, materialized=marks, index_meta=meta)
+        ok = took.withColumn("ok", F.lit(True))
+        held = empty.withColumn("empty", F.lit(True))
+        told = pending.join(states, "uri", "left").join(answers.select("uri", "answered"), "uri", "left").join(ok, "uri", "left").join(held, "uri", "left")
+        state = (
+            F.when(F.col("state").isNull(), "unsupported").when(F.col("state") == "deleted", "removed").when(F.col("state") == "skipped", "unchanged")
+            .when(F.col("ok"), "committed").when(F.col("answered").isNull() | F.col("empty"), "waiting").otherwise("failed")
+        )
+        passes.append(written(told.select("uri", state.alias("state"), F.lit(len(passes)).alias("turn")), "pass"))
+        return passes[-1]
+
+    tallies = catch_up(uris, attempt, retries, delay)
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    last = every.groupBy("uri").agg(F.max_by("state", "turn").alias("state"))
+    return last.select("uri", F.when(F.col("state") == "waiting", "held").otherwise(F.col("state")).alias("state")), tallies

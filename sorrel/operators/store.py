@@ -1,4 +1,4 @@
-"""Keyed merges into the graph's tables. Parquet has no updates: each takes tables and returns the new ones."""
+"""Keyed merges into the graph's tables: each takes tables and returns the new ones. ``buckets`` applies them to tables in place, by the parts that they touch."""
 
 from __future__ import annotations
 
@@ -24,19 +24,18 @@ def get_meta(meta: DataFrame, key: str) -> str | None:
     return row and row["value"]
 
 
-def allocate(new: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
-    """Gives rows the next ids after the largest there is, in ``order``."""
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return numbered(new, order, "id", top).select(*new.columns)
+def top_id(table: DataFrame, last: int = 0) -> int:
+    """The greatest id that was ever given out: ``last``, as stored, or the table's own greatest."""
+    return max(last, table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
 
 
-def upsert_nodes(nodes: DataFrame, batch: DataFrame, order: str = "id") -> DataFrame:
-    """Insert or overwrite by ``fqn``, else by physical key; ids of overwritten rows stay, and both keys stay unique.
+def allocate(new: DataFrame, existing: DataFrame, order: list[str], last: int = 0) -> DataFrame:
+    """Gives rows the next ids after all that were ever given out, in ``order``."""
+    return numbered(new, order, "id", top_id(existing, last)).select(*new.columns)
 
-    Of a batch's rows with one name the last by ``order`` counts, then of those at one place. An old row is claimed once:
-    by name before place, so a place's old row whose name the batch has elsewhere is not
-    taken over. An old row that nothing claims goes when a batch row comes to stand at its place. All other columns come from the batch, nulls too.
-    """
+
+def merge_nodes(nodes: DataFrame, batch: DataFrame, order: str = "id", last: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What ``upsert_nodes`` changes, written: rows that replace those of their id or are new, and the ids ``(id)`` of old rows that go."""
     columns = nodes.columns
     # The order travels apart: as "id" it would go with the key's columns.
     batch = batch.withColumn("_order", F.col(order))
@@ -47,12 +46,25 @@ def upsert_nodes(nodes: DataFrame, batch: DataFrame, order: str = "id") -> DataF
     placed = written(found.withColumn("_old", F.coalesce("_by_name", "_by_place")).drop("_by_name", "_by_place"), "placed")
     known = placed.where("_old is not null").withColumn("id", F.col("_old")).select(*columns)
     fresh = placed.where("_old is null").select(*columns)
-    kept = nodes.join(known.select("id"), "id", "left_anti").join(placed.select(*PHYSICAL_KEY), PHYSICAL_KEY, "left_anti").select(*columns)
-    return kept.unionByName(known).unionByName(allocate(fresh, nodes, ["fqn"]))
+    gone = nodes.join(placed.select(*PHYSICAL_KEY), PHYSICAL_KEY, "left_semi").join(known.select("id"), "id", "left_anti").select("id")
+    return written(known.unionByName(allocate(fresh, nodes, ["fqn"], last)), "changed"), written(gone, "gone")
+
+
+def upsert_nodes(nodes: DataFrame, batch: DataFrame, order: str = "id", last: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Insert or overwrite by ``fqn``, else by physical key; ids of overwritten rows stay, and both keys stay unique.
+
+    Of a batch's rows with one name the last by ``order`` counts, then of those at one place. An old row is claimed once:
+    by name before place, so a place's old row whose name the batch has elsewhere is not
+    taken over. An old row that nothing claims goes when a batch row comes to stand at its place. All other columns come from the batch, nulls too.
+    New ids follow ``last`` and the table's greatest. Returns the table and the ids ``(id)`` that went: what hangs on these goes by ``delete_nodes``.
+    """
+    changed, gone = merge_nodes(nodes, batch, order, last)
+    kept = nodes.join(changed.select("id"), "id", "left_anti").join(gone, "id", "left_anti")
+    return kept.select(*nodes.columns).unionByName(changed), gone
 
 
-def merged_edges(edges: DataFrame, batch: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """What ``upsert_edges`` changes or adds, written: the batch's edges with their ids. New ids follow the largest in ``top`` (default: ``edges``)."""
+def merged_edges(edges: DataFrame, batch: DataFrame, last: int | None = None) -> DataFrame:
+    """What ``upsert_edges`` changes or adds, written: the batch's edges with their ids. New ids follow ``last`` (default: the greatest in ``edges``)."""
     batch = _last(batch, EDGE_KEY, [F.col("valid"), F.col("site_end_line"), F.col("site_end_col")])
     b, e = batch.alias("b"), edges.alias("e")
     same = [F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in EDGE_KEY]
@@ -61,12 +73,12 @@ def merged_edges(edges: DataFrame, batch: DataFrame, top: DataFrame | None = Non
         cond = cond & s
     hit = b.join(e, cond, "left").select(F.col("e.id").alias("id"), *[F.col(f"b.{c}") for c in edges.columns if c != "id"])
     hit = written(hit, "merged")
-    return hit.where("id is not null").unionByName(allocate(hit.where("id is null"), edges if top is None else top, EDGE_KEY))
+    return hit.where("id is not null").unionByName(numbered(hit.where("id is null"), EDGE_KEY, "id", top_id(edges) if last is None else last).select(*hit.columns))
 
 
-def upsert_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
-    """Merge by the six-part key, null-safe: known edges keep their id and take validity and end from the batch."""
-    merged = merged_edges(edges, batch)
+def upsert_edges(edges: DataFrame, batch: DataFrame, last: int = 0) -> DataFrame:
+    """Merge by the six-part key, null-safe: known edges keep their id and take validity and end from the batch; new ids follow ``last`` and the table's greatest."""
+    merged = merged_edges(edges, batch, top_id(edges, last))
     return edges.join(merged.select("id"), "id", "left_anti").unionByName(merged)
 
 

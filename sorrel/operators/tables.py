@@ -16,14 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back, which cuts its lineage; removed when the driver's JVM ends."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/sorrel-{uuid.uuid4().hex}/{name}"
     parent = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     fs = parent.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(parent)
     fs.deleteOnExit(parent)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

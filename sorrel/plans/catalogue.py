@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.adapters import is_external, route_language
 from ..operators import indexing, locate, materialize, paths, reconcile, relations, store, symbols
+from ..operators.buckets import GraphTables
 from ..operators.paging import Cursor, page
+from ..operators.snapshots import SnapshotStore
 from ..operators.symbols import NodeFilter
-from ..operators.tables import written
+from ..operators.tables import fresh_path, written
 from ..sources import facts, files
 from . import schema
 from .projection import ROOT, Graph, with_views
@@ -206,21 +208,22 @@ def find_node_by_position(g: Graph):
     return locate.innermost(g.sql(_POINTS), g.nodes)
 
 
-FACTS = """SELECT 'definition' AS op, c.uri, c.sel_start_line + 2 AS line, CAST(b.l_linenumber AS BIGINT) AS character, s.uri AS target_uri, s.sel_start_line + b.l_orderkey % 8 AS target_line, s.sel_start_col AS target_character
+FACTS = """SELECT 'definition' AS op, c.uri, c.sel_start_line + 2 AS line, CAST(b.l_linenumber AS BIGINT) AS character, s.uri AS target_uri, s.sel_start_line + b.l_orderkey % 8 AS target_line, s.sel_start_col AS target_character,
+    CAST(row_number() OVER (PARTITION BY b.c_custkey, b.l_linenumber ORDER BY b.l_suppkey % 7 DESC, b.l_suppkey DESC, b.l_orderkey) AS BIGINT) AS rank
   FROM v_bought b JOIN v_node c ON c.id = 1000000000000 + b.c_custkey JOIN v_node s ON s.id = 2000000000000 + b.l_suppkey"""
 _REQUESTS = "SELECT DISTINCT uri, sel_start_line + 2 AS line, CAST(1 + id % 4 AS BIGINT) AS character FROM v_node"
 
 
 @query(f"""WITH f AS ({FACTS}), q AS ({_REQUESTS}), t AS (SELECT DISTINCT f.* FROM f JOIN q USING (uri, line, character)),
   i AS (SELECT * FROM ({_INNERMOST.format('SELECT target_uri AS uri, target_line AS line, target_character AS character FROM t')}) WHERE r = 1)
-  SELECT DISTINCT t.uri, t.line, t.character, i.node_id FROM t JOIN i ON i.uri = t.target_uri AND i.line = t.target_line AND i.character = t.target_character""")
+  SELECT DISTINCT t.uri, t.line, t.character, t.rank, i.node_id FROM t JOIN i ON i.uri = t.target_uri AND i.line = t.target_line AND i.character = t.target_character""")
 def find_definition_at(g: Graph):
     return locate.find_definition(g.kept(_REQUESTS), g.kept(FACTS), g.kept_nodes)
 
 
 @query(f"""WITH f AS ({FACTS}), q AS ({_REQUESTS}), t AS (SELECT DISTINCT f.* FROM f JOIN q USING (uri, line, character)),
   i AS (SELECT * FROM ({_INNERMOST.format('SELECT target_uri AS uri, target_line AS line, target_character AS character FROM t UNION ALL SELECT uri, line, character FROM q')}) WHERE r = 1),
-  d AS (SELECT t.uri, t.line, t.character, min(i.node_id) AS node_id FROM t JOIN i ON i.uri = t.target_uri AND i.line = t.target_line AND i.character = t.target_character GROUP BY ALL)
+  d AS (SELECT t.uri, t.line, t.character, arg_min(i.node_id, t.rank) AS node_id FROM t JOIN i ON i.uri = t.target_uri AND i.line = t.target_line AND i.character = t.target_character GROUP BY ALL)
   SELECT q.uri, q.line, q.character, coalesce(d.node_id, i.node_id) AS anchor_id FROM q LEFT JOIN d USING (uri, line, character) LEFT JOIN i USING (uri, line, character) WHERE coalesce(d.node_id, i.node_id) IS NOT NULL""")
 def resolve_anchors(g: Graph):
     return locate.resolve_anchors(g.kept(_REQUESTS), g.kept(FACTS), g.kept_nodes)
@@ -326,7 +329,7 @@ def upsert_nodes(g: Graph):
     """A third of the nodes come again without construct and moved; ids stay."""
     n = g.kept_nodes
     again = n.where("id % 3 = 0").withColumn("construct", F.lit(None).cast("string")).withColumn("sel_start_line", F.col("sel_start_line") + 1).withColumn("id", -F.col("id"))
-    return store.upsert_nodes(n, again).select("id", "fqn", "construct", "sel_start_line")
+    return store.upsert_nodes(n, again)[0].select("id", "fqn", "construct", "sel_start_line")
 
 
 @query("""SELECT id, CASE WHEN id % 5 = 1 THEN concat(fqn, '_moved') ELSE fqn END AS fqn, CASE WHEN id % 5 = 2 THEN range_start_line + 3 ELSE range_start_line END AS range_start_line FROM v_node
@@ -337,7 +340,7 @@ def upsert_conflicts(g: Graph):
     renamed = n.where(r == 1).withColumn("fqn", F.concat("fqn", F.lit("_moved")))
     moved = n.where(r == 2).withColumn("range_start_line", F.col("range_start_line") + 3)
     takers = n.where(r == 2).withColumn("fqn", F.concat("fqn", F.lit("_taker")))
-    out = store.upsert_nodes(n, renamed.unionByName(moved).unionByName(takers).withColumn("id", F.xxhash64("fqn")))
+    out, _ = store.upsert_nodes(n, renamed.unionByName(moved).unionByName(takers).withColumn("id", F.xxhash64("fqn")))
     held = n.select("id", F.lit(True).alias("held"))
     return out.join(held, "id", "left").select(F.when(F.col("held"), F.col("id")).otherwise(F.lit(-1).cast("long")).alias("id"), "fqn", "range_start_line")
 
@@ -348,6 +351,53 @@ def invalidate_outgoing(g: Graph):
     return out.groupBy("src_id", "edge_type", "valid").agg(F.count("*").alias("edges"))
 
 
+@query("""SELECT src_id, dst_id, edge_type, site_start_line, site_start_col, valid AND src_id % 10 <> 3 AS valid, CAST(NULL AS BIGINT) AS new_id FROM v_edge
+  UNION ALL SELECT id, id, 'inherits', 0, 0, true, CAST(-1 AS BIGINT) FROM v_node WHERE id % 10 = 3 AND kind = 6""")
+def merge_edge_buckets(g: Graph):
+    """Edges in bucketed tables: those of a tenth of the sources come again as invalid, and each of their methods with a new edge; ids of old edges show as null, new ones as -1."""
+    tables = GraphTables(g.spark, fresh_path(g.spark, "graph"), 16)
+    old = written(g.edges.withColumn("id", F.monotonically_increasing_id()).select(*tables.edges.columns), "edges")
+    tables.edges.replace(old, list(range(16)))
+    tables.meta.merge(g.spark.createDataFrame([("last_edge_id", str(1 << 50))], schema.META))
+    again = old.where("src_id % 10 = 3").withColumn("id", F.lit(None).cast("long")).withColumn("valid", F.lit(False))
+    fresh = g.sql("SELECT CAST(NULL AS BIGINT) AS id, id AS src_id, id AS dst_id, 'inherits' AS edge_type, uri AS site_uri, CAST(0 AS BIGINT) AS site_start_line, CAST(0 AS BIGINT) AS site_start_col, CAST(0 AS BIGINT) AS site_end_line, CAST(1 AS BIGINT) AS site_end_col, true AS valid FROM v_node WHERE id % 10 = 3 AND kind = 6")
+    tables.upsert_edges(again.unionByName(fresh))
+    return tables.edges.read().select("src_id", "dst_id", "edge_type", "site_start_line", "site_start_col", "valid", F.when(F.col("id") > (1 << 50), F.lit(-1).cast("long")).alias("new_id"))
+
+
+@query("""WITH moved AS (SELECT id FROM v_node WHERE id % 17 = 4 AND container_id IS NOT NULL), gone AS (SELECT n.id FROM v_node n JOIN moved ON n.id = moved.id + 1 WHERE n.container_id IS NOT NULL)
+  SELECT 'node' AS what, v.id AS a, v.container_id AS b, CASE WHEN v.id IN (SELECT id FROM moved) AND v.id + 1 IN (SELECT id FROM gone) THEN 1 ELSE 0 END AS n FROM v_node v WHERE v.id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'new', 1, NULL, 0 FROM moved JOIN gone ON gone.id = moved.id + 1
+  UNION ALL SELECT 'edge', src_id, dst_id, CAST(count(*) AS INTEGER) FROM v_edge WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone) GROUP BY src_id, dst_id
+  UNION ALL SELECT 'mark', id, NULL, 0 FROM v_node WHERE id % 3 = 0 AND id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'hash', id, NULL, 0 FROM v_node WHERE id % 5 = 0 AND id NOT IN (SELECT id FROM gone)""")
+def upsert_cascade(g: Graph):
+    """Some members move to others' places, which so go with edges, hashes and marks, while as many new names come: these show whether their ids were ever used."""
+    tables, n = GraphTables(g.spark, fresh_path(g.spark, "graph"), 16), g.kept_nodes
+    every = list(range(16))
+    tables.nodes.replace(n, every)
+    tables.edges.replace(g.kept_edges.withColumn("id", F.xxhash64(*_EDGE.split(", "))), every)
+    anchors = n.select(F.col("id").alias("anchor_id"))
+    tables.marks.replace(anchors.where("anchor_id % 3 = 0").withColumn("edge_type", F.lit("calls")), every)
+    tables.cache.replace(anchors.where("anchor_id % 5 = 0").withColumn("content_hash", F.lit("h")), every)
+    place = ["uri", "name", "range_start_line", "range_start_col"]
+    members = n.where("container_id is not null")
+    aims = members.select((F.col("id") - 1).alias("id"), *[F.col(c).alias(f"_{c}") for c in place])
+    moved = members.where("id % 17 = 4").join(aims, "id")
+    fresh = moved.withColumn("fqn", F.concat("fqn", F.lit(".fresh"))).withColumn("uri", F.concat("uri", F.lit(".fresh")))
+    for c in place:
+        moved = moved.withColumn(c, F.col(f"_{c}"))
+    tables.upsert_nodes(moved.select(*n.columns).unionByName(fresh.select(*n.columns)), "fqn")
+    out, held = tables.nodes.read(), n.select("id", F.lit(True).alias("held"), F.col("range_start_line").alias("was"), F.col("uri").alias("was_uri"))
+    shown = out.join(held, "id", "left")
+    none = F.lit(None).cast("long")
+    old = shown.where("held").select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("container_id").alias("b"), ((F.col("uri") != F.col("was_uri")) | (F.col("range_start_line") != F.col("was"))).cast("int").alias("n"))
+    new = shown.where("held is null").select(F.lit("new"), F.lit(1).cast("long"), none, F.lit(0))
+    edges = tables.edges.read().groupBy("src_id", "dst_id").agg(F.count("*").cast("int").alias("n")).select(F.lit("edge"), "src_id", "dst_id", "n")
+    marks, hashes = (t.read().select(F.lit(what), "anchor_id", none, F.lit(0)) for what, t in (("mark", tables.marks), ("hash", tables.cache)))
+    return old.union(new).union(edges).union(marks).union(hashes)
+
+
 @query("""SELECT edge_type, valid AND src_id % 7 <> 0 AND dst_id % 7 <> 0 AS valid, CAST(count(*) AS BIGINT) AS edges FROM v_edge GROUP BY ALL""")
 def invalidate_incident(g: Graph):
     out = store.invalidate_incident(g.edges, g.nodes.where("id % 7 = 0").select("id"))
@@ -519,6 +569,46 @@ def drift_classify(g: Graph):
     return reconcile.drift(t.where("doc_id % 5 != 0"), stored, t.where("doc_id % 5 in (0, 1)").select("uri"))
 
 
+_START = "CASE WHEN {lang} IS NULL THEN 9 ELSE doc_id % 7 END"
+
+
+@query(f"""WITH f AS (SELECT uri, {_START.format(lang=_LANGUAGE.format(_EXTENSION))} AS c FROM v_text),
+  t AS (SELECT CAST(count(*) AS BIGINT) AS checked, CAST(coalesce(sum(CASE WHEN c = 5 THEN 1 ELSE 0 END), 0) AS BIGINT) AS failures, CAST(coalesce(sum(CASE WHEN c = 4 THEN 1 ELSE 0 END), 0) AS BIGINT) AS skipped FROM f)
+  SELECT uri, CASE c WHEN 0 THEN 'removed' WHEN 1 THEN 'unchanged' WHEN 4 THEN 'held' WHEN 5 THEN 'failed' WHEN 9 THEN 'unsupported' ELSE 'committed' END AS state, CAST(CASE WHEN c = 0 THEN 0 WHEN c IN (2, 3, 6) THEN 2 ELSE 1 END AS BIGINT) AS live,
+  CASE WHEN c = 0 THEN 'empty' WHEN c IN (1, 2, 3, 6) THEN 'now' ELSE 'before' END AS stored, checked, failures, skipped FROM f, t""")
+def startup_drift(g: Graph):
+    """A start over all documents as files: gone, unchanged, new, changed, emptied, broken, with a source that is late, or of no language; each file's state, live symbols and stored hash, and the tallies.
+
+    The graph knows a symbol of each file but the new ones, which have no hash stored either."""
+    t = g.kept(f"SELECT uri, text, {_START.format(lang=_LANGUAGE.format(_EXTENSION))} AS c FROM v_text")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    bounds = [F.lit(1).cast("long").alias(b) for b in reconcile.BOUNDS]
+    known = t.where("c != 2").select(
+        F.pmod(F.xxhash64("uri"), F.lit(1 << 61)).alias("id"), F.concat("uri", F.lit(".kept")).alias("fqn"), "uri", F.lit("kept").alias("name"), F.lit("python").alias("language"), F.lit(12).cast("long").alias("kind"),
+        F.lit("Function").alias("node_kind"), none.alias("construct"), F.lit(None).cast("long").alias("container_id"), *bounds, none.alias("signature"), none.alias("documentation"), none.alias("detail"), F.lit("h").alias("signature_hash"),
+        F.lit(True).alias("valid"), F.lit(False).alias("orphan"), zero.alias("generation"), F.lit(False).alias("is_external"),
+    )
+    before = t.where("c != 2").select(F.concat(F.lit(reconcile.STORED), "uri").alias("key"), F.when(F.col("c") == 1, T.content_hash(F.col("text"))).otherwise("before").alias("value"))
+    graph = SnapshotStore(g.spark, fresh_path(g.spark, "snapshots"))
+    graph.commit(nodes=known, index_meta=before)
+    asked = []
+
+    def fetch(uris: DataFrame) -> DataFrame:
+        asked.append(1)
+        late = (F.col("c") == 6) & (F.lit(len(asked)) < 2)
+        member = F.concat(F.lit('[{"name":"found","kind":12,"range":{"start":{"line":5,"character":0},"end":{"line":6,"character":0}},"selectionRange":{"start":{"line":5,"character":4},"end":{"line":5,"character":9}}}]'))
+        return t.join(uris, "uri", "left_semi").where(~late).select("uri", F.when(F.col("c") == 4, "[]").when(F.col("c") == 5, "{broken").otherwise(member).alias("symbols"))
+
+    states, tallies = reconcile.start_up(graph, t.where("c != 0").select("uri", "text"), fetch, ROOT, retries=2, delay=0)
+    now = graph.read()
+    live = now.nodes.where("not orphan").groupBy("uri").agg(F.count("*").alias("live"))
+    stored = now.index_meta.where(F.col("key").startswith(reconcile.STORED)).select(F.substring("key", len(reconcile.STORED) + 1, 1 << 30).alias("uri"), F.col("value").alias("hash"))
+    hashed = t.select("uri", T.content_hash(F.col("text")).alias("own"))
+    out = states.join(live, "uri", "left").join(stored, "uri", "left").join(hashed, "uri", "left").join(F.broadcast(tallies))
+    kind = F.when(F.col("hash") == "", "empty").when(F.col("hash") == F.col("own"), "now").otherwise("before")
+    return out.select("uri", "state", F.coalesce("live", zero).alias("live"), kind.alias("stored"), "checked", "failures", "skipped")
+
+
 @query("""SELECT uri, CAST(1 AS BIGINT) AS start_line, CAST(3 AS BIGINT) AS end_line, total_lines, array_to_string(lines[2:3], chr(10)) AS content
   FROM (SELECT uri, lines, CAST(len(lines) AS BIGINT) AS total_lines FROM (SELECT uri, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS lines FROM v_text))""")
 def read_ranges(g: Graph):
@@ -566,7 +656,7 @@ def index_repository(g: Graph):
     return nodes.join(up, "container_id", "left").select("fqn", "uri", "name", "kind", "container")
 
 
-def _indexed(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _indexed(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     answers = written(_answers(g), "answers")
     empty = lambda ddl: g.spark.createDataFrame([], ddl)
     return indexing.index_repository(empty(schema.NODES), empty(schema.EDGES), answers.select("uri"), answers, ROOT)

@@ -19,7 +19,7 @@ MATERIALIZED = "anchor_id bigint, edge_type string"
 META = "key string, value string"
 FILES = "uri string, text string"
 DOCUMENT_SYMBOLS = "uri string, symbols string"
-LOCATIONS = "op string, uri string, line bigint, character bigint, target_uri string, target_line bigint, target_character bigint"
+LOCATIONS = "op string, uri string, line bigint, character bigint, target_uri string, target_line bigint, target_character bigint, rank bigint"
 CALLS = (
     "direction string, anchor_uri string, anchor_line bigint, anchor_character bigint, item_uri string, item_line bigint, item_character bigint, "
     f"item_rank bigint, from_ranges array<{RANGE}>"

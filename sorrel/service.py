@@ -63,6 +63,7 @@ class GraphService:
         self.nodes, self.base = snapshot.nodes, snapshot.edges
         self.delta = spark.createDataFrame([], self.base.schema)
         self.cache, self.marks = snapshot.callees_cache, snapshot.materialized
+        self.last_edge = snapshot.last_ids()[1]
 
     @property
     def edges(self) -> DataFrame:
@@ -76,8 +77,9 @@ class GraphService:
         """Upsert located edges; only the stored edges between the same ends are looked at."""
         new = written(new, "new")
         near = self.edges.join(new.select("src_id", "dst_id").distinct(), ["src_id", "dst_id"], "left_semi").select(*self.base.columns)
-        ids = self.base.select("id").unionAll(self.delta.select("id"))
-        self._put(written(store.merged_edges(near, new.select(*self.base.columns), ids), "merged"))
+        changed = written(store.merged_edges(near, new.select(*self.base.columns), self.last_edge), "merged")
+        self.last_edge = store.top_id(changed, self.last_edge)
+        self._put(changed)
 
     def _anchor(self, ref: SymbolRef):
         if ref.fqn is not None:

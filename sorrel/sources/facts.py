@@ -70,11 +70,11 @@ def index_symbols(flat: DataFrame, root_uri: str) -> DataFrame:
 
 
 def locations(answers: DataFrame) -> DataFrame:
-    """Location facts from ``(op, uri, line, character, answer)``: a location, a list of them, or links with targets."""
+    """Location facts from ``(op, uri, line, character, answer)``: a location, a list of them, or links with targets, ``rank`` being the place in the answer."""
     many = F.from_json("answer", f"array<{_LOCATION}>")
-    rows = answers.select("op", "uri", "line", "character", F.explode(F.filter(many, lambda x: x.isNotNull())).alias("at"))
+    rows = answers.select("op", "uri", "line", "character", F.posexplode(F.filter(many, lambda x: x.isNotNull())).alias("rank", "at"))
     spot = F.coalesce("at.targetSelectionRange", "at.targetRange", "at.range")
-    out = rows.select("op", "uri", "line", "character", F.coalesce("at.targetUri", "at.uri").alias("target_uri"), spot["start"]["line"].alias("target_line"), spot["start"]["character"].alias("target_character"))
+    out = rows.select("op", "uri", "line", "character", F.coalesce("at.targetUri", "at.uri").alias("target_uri"), spot["start"]["line"].alias("target_line"), spot["start"]["character"].alias("target_character"), F.col("rank").cast("long").alias("rank"))
     return out.where("target_uri is not null and target_line is not null")
 
 

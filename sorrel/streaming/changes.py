@@ -53,7 +53,7 @@ def reconciler(store, fetch: Callable[[DataFrame], DataFrame], root_uri: str) ->
 
     def apply(files: DataFrame, batch_id: int) -> None:
         now = store.read()
-        nodes, edges, cache, marks, _ = reconcile_answers(now.nodes, now.edges, now.callees_cache, now.materialized, files, fetch(files.where("not removed")), root_uri)
+        nodes, edges, cache, marks, _ = reconcile_answers(now.nodes, now.edges, now.callees_cache, now.materialized, files, fetch(files.where("not removed")), root_uri, now.last_ids())
         store.commit(nodes=nodes, edges=edges, callees_cache=cache, materialized=marks)
 
     return apply

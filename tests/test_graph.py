@@ -114,6 +114,19 @@ def test_innermost_equals_brute_force(spark):
     assert len(want) > 100 and sorted(got) == sorted((*k, v) for k, v in want.items())
 
 
+def test_the_first_target_that_resolves_is_meant(spark):
+    u = "file:///repo/m.py"
+    nodes = frame(spark, [node(3, "m.a", 0, 2), node(7, "m.b", 5, 7), node(9, "m.c", 20, 30)])
+    say = lambda *at: [{"uri": u, "range": {"start": {"line": a, "character": 4}, "end": {"line": a, "character": 5}}} for a in at]
+    asked = [(25, say(99, 5, 0, 6)), (26, say(99)), (99, say(98)), (27, say(1, 1))]
+    found = facts.locations(spark.createDataFrame([("definition", u, line, 0, json.dumps(a)) for line, a in asked], "op string, uri string, line long, character long, answer string"))
+    requests = spark.createDataFrame([(u, line, 0) for line, _ in asked], "uri string, line long, character long")
+    assert sorted((r.line, r.rank, r.node_id) for r in locate.find_definition(requests, found, nodes).collect()) == [(25, 1, 7), (25, 2, 3), (25, 3, 7), (27, 0, 3), (27, 1, 3)]
+    assert {(r.line, r.anchor_id) for r in locate.resolve_anchors(requests, found, nodes).collect()} == {(25, 7), (26, 9), (27, 3)}
+    unranked = found.drop("rank")
+    assert {(r.line, r.anchor_id) for r in locate.resolve_anchors(requests, unranked, nodes).collect()} == {(25, 3), (26, 9), (27, 3)}
+
+
 def test_innermost(spark):
     nodes = frame(spark, [node(1, "m.C", 0, 10), node(2, "m.C.f", 2, 4), node(3, "o.g", 0, 3, uri="file:///repo/o.py")])
     points = spark.createDataFrame([("file:///repo/m.py", 3, 0), ("file:///repo/m.py", 9, 0), ("file:///repo/o.py", 50, 0), ("file:///repo/none.py", 0, 0)], "uri string, line long, character long")
@@ -159,7 +172,7 @@ def test_edge_merges(spark):
 def test_node_merges(spark):
     held = frame(spark, [node(1, "a", 0, 1, construct="type"), node(2, "b", 5, 6)])
     batch = frame(spark, [node(10, "a", 3, 4), node(11, "c", 5, 6, name="b"), node(12, "d", 9, 9), node(13, "d", 9, 10)])
-    got = {(r.id, r.fqn, r.range_start_line, r.range_end_line, r.construct) for r in store.upsert_nodes(held, batch).collect()}
+    got = {(r.id, r.fqn, r.range_start_line, r.range_end_line, r.construct) for r in store.upsert_nodes(held, batch)[0].collect()}
     assert got == {(1, "a", 3, 4, None), (2, "c", 5, 6, None), (3, "d", 9, 10, None)}
 
 
@@ -169,7 +182,7 @@ def test_node_merges_keep_both_keys(spark):
     batch = frame(spark, [
         node(10, "m.a", 5, 6), node(11, "m.A.a", 1, 2), node(12, "p.y", 60, 61), node(13, "q.y", 60, 62), node(14, "m.C.x", 20, 21), node(15, "m.s", 50, 51, name="v"), node(16, "m.t", 40, 41, name="v"),
     ])
-    got = {(r.id, r.fqn, r.range_start_line) for r in store.upsert_nodes(held, batch).collect()}
+    got = {(r.id, r.fqn, r.range_start_line) for r in store.upsert_nodes(held, batch)[0].collect()}
     assert got == {(1, "m.a", 5), (6, "m.A.a", 1), (7, "q.y", 60), (3, "m.C.x", 20), (4, "m.s", 50), (5, "m.t", 40)}
 
 

@@ -23,13 +23,13 @@ def test_index_then_reindex(spark):
     tree = [{"name": "A", "kind": 5, "range": span(0, 0), "selectionRange": span(0, 6), "children": [member("f", 1), member("f", 2), member("g", 3)]}]
     found = spark.createDataFrame([("file:///repo/m.py",), ("file:///repo/x.py",), ("file:///repo/no.txt",)], "uri string")
     answers = spark.createDataFrame([("file:///repo/m.py", json.dumps(tree)), ("file:///repo/x.py", None)], "uri string, symbols string")
-    n, e, stats = index_repository(nodes, edges, found, answers, "file:///repo")
+    n, e, stats, _ = index_repository(nodes, edges, found, answers, "file:///repo")
     assert stats.first().asDict() == {"files_seen": 2, "files_indexed": 1, "symbols_upserted": 5, "fetch_errors": 1}
     rows = {r.fqn: r for r in n.collect()}
     assert set(rows) == {"m", "m.A", "m.A.f", "m.A.g"} and rows["m.A.f"].range_start_line == 2
     assert rows["m.A.f"].container_id == rows["m.A"].id and rows["m"].container_id is None
     assert {(r.src_id, r.dst_id) for r in e.collect()} == {(rows["m.A"].id, rows["m.A.f"].id), (rows["m.A"].id, rows["m.A.g"].id)}
-    again, e2, _ = index_repository(n, e, found, answers, "file:///repo")
+    again, e2, _, _ = index_repository(n, e, found, answers, "file:///repo")
     assert {(r.fqn, r.id) for r in again.collect()} == {(r.fqn, r.id) for r in rows.values()} and e2.count() == 2
 
 
