@@ -14,16 +14,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, scratch, small_batches, table
 
 #: Characters of a text that are cut at a time, and bytes of texts whose segments are numbered together.
-PIECE, BATCH = 1 << 18, 8 << 20
-#: Rows of a table that is broadcast at most; larger ones are shuffled.
-BROADCAST = 1 << 18
+PIECE, BATCH = 1 << 18, 32 << 20
+#: Linked pairs that are broadcast at most, at 17 bytes each; more are joined by a shuffle.
+BROADCAST = 1 << 20
 # A run's start: not behind white space in the widest sense, so that no run is cut in two under any library's reading of white space.
 _CUT = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0\xad ᠎ -‏ -  -⁤　﻿])(?=[ \n])")
 
@@ -71,37 +72,36 @@ class TokenizerPair:
         if config["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
             raise ValueError("the tokenizer does not cut before white space by the byte-level pattern")
 
-    def encode_b(self, segment: str) -> list[int]:
-        """B's tokens of a segment as it stands inside a text: the library puts a space before what it is given."""
-        if segment == " ":
-            return [self.space]
-        if segment[0] == " ":
-            return self.b.encode(segment[1:])
-        # A line feed is in no piece, so the space before it is a token of its own.
-        return self.b.encode(segment)[1:]
+    def encode_b(self, segments: list[str]) -> list[list[int]]:
+        """B's tokens of segments as they stand inside a text: the library puts a space before what it is given."""
+        spaced = [s[0] == " " for s in segments]
+        out = self.b.encode([s[1:] if x else s for s, x in zip(segments, spaced, strict=True)], num_threads=1)
+        # A line feed is in no piece, so the space before it is a token of its own; an empty rest is a space alone.
+        return [(ids or [self.space]) if x else ids[1:] for ids, x in zip(out, spaced, strict=True)]
 
     def align(self, segments: list[str]) -> list[tuple]:
-        """``(ok, n_a, n_b, groups, links)`` of each segment: whether both give its bytes back, token counts, the groups as text, and linked pairs as ``a << 32 | b``."""
+        """``(ok, groups, links)`` of each segment: whether both give its bytes back, the groups as text, and linked pairs as ``a << 32 | b``."""
         out = []
-        for segment, encoded in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), strict=True):
-            a, b, raw = encoded.ids, self.encode_b(segment), segment.encode()
-            pa_, pb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(pa_) != raw or b"".join(pb) != raw:
-                out.append((False, 0, 0, "", []))
+        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        for segment, encoded, b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.encode_b(segments), strict=True):
+            a, raw = encoded.ids, segment.encode()
+            in_a, in_b = list(map(a_bytes, a)), list(map(b_bytes, b))
+            if b"".join(in_a) != raw or b"".join(in_b) != raw:
+                out.append((False, "", []))
                 continue
             groups, links = [], []
             i = j = from_a = from_b = end_a = end_b = 0
-            while i < len(a):
-                end_a += len(pa_[i])
+            for part in in_a:
+                end_a += len(part)
                 i += 1
                 while end_b < end_a:
-                    end_b += len(pb[j])
+                    end_b += len(in_b[j])
                     j += 1
                 if end_a == end_b:
                     groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
                     links.append(a[i - 1] << 32 | b[j - 1])
                     from_a, from_b = i, j
-            out.append((True, len(a), len(b), ";".join(groups), links))
+            out.append((True, ";".join(groups), links))
         return out
 
 
@@ -181,21 +181,123 @@ def number_segments(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), ids, codes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], ["batch", "id", "codes", "code", "segment", "n"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, f"batch long, id {kind}, codes array<int>, code int, segment string, n long"), "segments")
+    return _stored(rows.mapInArrow(run, f"batch long, id {kind}, codes array<int>, code int, segment string, n long"), "segments")
 
 
-def align_segments(distinct: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Each distinct ``segment`` tokenised and aligned once, written: ``(segment, sid, ok, n_a, n_b, groups, links)``."""
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, packed tighter: numbers of words and runs of equal rows shrink much."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def align_segments(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Segments ``(batch, code, segment, n)`` aligned, written: each distinct one is tokenised and aligned once, where its batches' rows meet.
+
+    ``(batch, code, ok, groups, links)`` for each row, and for each distinct segment one without a batch, with its occurrences ``n``.
+    """
 
     def run(batches):
-        pair = _pair(a_path, b_path)
+        pair, held = _pair(a_path, b_path), None
+        names, types = ["batch", "code", "ok", "groups", "links", "n"], (pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.int64())
         for batch in batches:
-            got = pair.align(batch.column(0).to_pylist())
-            types = (pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[i] for g in got], t) for i, t in enumerate(types)]], ["segment", "ok", "n_a", "n_b", "groups", "links"])
+            if not batch.num_rows:
+                continue
+            words = batch.column(2).to_pylist()
+            counts = batch.column(3).to_numpy()
+            starts = [0, *(k for k in range(1, len(words)) if words[k] != words[k - 1])]
+            again = held is not None and words[0] == held[0]
+            got = ([held[1]] if again else []) + pair.align([words[k] for k in starts[again:]])
+            sums = np.add.reduceat(counts, starts).tolist()
+            if again:
+                sums[0] += held[2]
+            elif held is not None:
+                got, sums, starts = [held[1], *got], [held[2], *sums], [0, *starts]
+            # The last segment may go on in the next batch.
+            held = (words[-1], got[-1], sums[-1])
+            times = np.diff([*starts, len(words)]).tolist()
+            spread = [g for g, t in zip(got, times, strict=True) for _ in range(t)]
+            ended = list(zip(got[:-1], sums[:-1], strict=True))
+            rows = [*spread, *(g for g, _ in ended)]
+            empty = [None] * len(ended)
+            columns = [batch.column(0).to_pylist() + empty, batch.column(1).to_pylist() + empty, [g[0] for g in rows], [g[1] for g in spread] + empty, [g[2] for g in rows], [None] * len(spread) + [n for _, n in ended]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, held[1][0], None, held[1][2], held[2]), types, strict=True)], names)
+
+    dealt = words.select("batch", "code", "segment", "n").repartition("segment").sortWithinPartitions("segment")
+    return _stored(dealt.mapInArrow(run, "batch long, code int, ok boolean, groups string, links array<long>, n long"), "aligned")
+
+
+def count_pairs(aligned: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(link, count, best)`` over all whole texts, written: occurrences of broken texts' segments are taken off."""
+    summed = aligned.where("batch is null and ok").select("links", "n")
+    off = texts.where("not whole and codes is not null").select("batch", F.explode("codes").alias("code")).groupBy("batch", "code").agg((-F.count("*")).alias("n"))
+    off = aligned.where("batch is not null and ok").select("batch", "code", "links").join(off, ["batch", "code"]).select("links", "n")
+    counts = summed.unionByName(off).select(F.explode("links").alias("link"), "n").groupBy("link").agg(F.sum("n").alias("count")).where("count > 0")
+    counts = materialize(counts.withColumn("b", F.col("link").bitwiseAND(F.lit((1 << 32) - 1))), "counts")
+    highest = counts.groupBy("b").agg(F.max("count").alias("top"))
+    return materialize(counts.join(highest, "b").select("link", "count", (F.col("count") == F.col("top")).alias("best")), "pairs")
+
+
+def score_segments(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(w_batch, code, groups, n_best, count_sum)`` of rows ``(batch, code, groups, links)``: how many of their links are best, and their counts' sum."""
+    spark = entries.sparkSession
+    if pairs.count() > BROADCAST:
+        linked = entries.select("batch", "code", F.explode("links").alias("link")).join(pairs, "link").groupBy("batch", "code").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        both = entries.drop("links").join(linked, ["batch", "code"], "left")
+        return both.select(F.col("batch").alias("w_batch"), "code", "groups", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")])
+    known = pairs.toArrow().sort_by("link")
+    held = spark.sparkContext.broadcast([known.column(c).to_numpy() for c in ("link", "count", "best")])
 
-    made = distinct.select("segment").mapInArrow(run, "segment string, ok boolean, n_a long, n_b long, groups string, links array<long>")
-    return materialize(made.withColumn("sid", F.monotonically_increasing_id()), "aligned")
+    def run(batches):
+        link, count, best = held.value
+        for batch in batches:
+            links = batch.column(3)
+            flat, ends = links.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(links).to_numpy())])
+            # A link of broken texts alone has no count.
+            at = np.minimum(np.searchsorted(link, flat), max(0, len(link) - 1))
+            hit = link[at] == flat if len(link) else np.zeros(len(flat), bool)
+            totals = [np.concatenate([[0], np.cumsum(np.where(hit, v[at], 0) if len(link) else flat)])[ends] for v in (best.astype(np.int64), count)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.diff(t)) for t in totals]], ["w_batch", "code", "groups", "n_best", "count_sum"])
+
+    return entries.select("batch", "code", "groups", "links").mapInArrow(run, "w_batch long, code int, groups string, n_best long, count_sum long")
+
+
+def compose(texts: pa.Table, entries: pa.Table) -> pa.Table:
+    """A batch's texts ``(id, codes, whole)`` from the alignments of its segments ``(code, groups, n_best, count_sum)``."""
+    codes = entries.column("code").to_numpy()
+    top = int(codes.max(initial=-1)) + 1
+    groups = [""] * top
+    for c, g in zip(codes.tolist(), entries.column("groups").to_pylist(), strict=True):
+        groups[c] = g
+    # A segment's groups hold all its tokens: n + 1 groups with n semicolons, and a token more on a side for each comma there.
+    values = np.zeros((top, 5), np.int64)
+    ends = pc.split_pattern(entries.column("groups"), ";").combine_chunks()
+    ends = ends if isinstance(ends, pa.Array) else pa.concat_arrays(ends.chunks)
+    parts, sizes = ends.flatten(), pc.list_value_length(ends).to_numpy()
+    b_side = pc.replace_substring_regex(parts, r"^[^|]*", "")
+    commas, b_commas = (pc.count_substring(x, ",").to_numpy() for x in (parts, b_side))
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    for k, more in enumerate((commas - b_commas, b_commas)):
+        values[codes, k] = sizes + np.diff(np.concatenate([[0], np.cumsum(more)])[before])
+    values[codes, 2] = sizes
+    for k, c in ((3, "n_best"), (4, "count_sum")):
+        values[codes, k] = entries.column(c).to_numpy()
+    rows, digests = np.zeros((texts.num_rows, 5), np.int64), []
+    for i, (held, whole) in enumerate(zip(texts.column("codes"), texts.column("whole").to_pylist(), strict=True)):
+        if not whole:
+            digests.append("")
+            continue
+        own, state = held.values.to_numpy(), hashlib.sha256()
+        for at in range(0, len(own), PIECE):
+            part = own[at : at + PIECE]
+            rows[i] += values[part].sum(0)
+            state.update((";" * (at > 0) + ";".join(map(groups.__getitem__, part.tolist()))).encode())
+        digests.append(state.hexdigest())
+    n_a, n_b, n_links, n_best, count_sum = (pa.array(rows[:, k]) for k in range(5))
+    names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return pa.table([texts.column("id"), n_a, n_b, n_links, n_links, n_best, count_sum, pa.array(digests, pa.string())], names)
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -207,59 +309,16 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
 
     Returns ``(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` and ``(a, b, count, best)``, ``best`` marking the pairs whose count is the highest of their B id.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    small_batches(spark, rows=2048, mb=8)
+    small_batches(docs.sparkSession, rows=8192, mb=8)
     both = number_segments(docs, id_col, text_col)
-    texts, words = both.where("code is null").select("batch", "id", "codes"), both.where("code is not null").select("batch", "code", "segment", "n")
-    aligned = align_segments(words.select("segment").distinct(), a_path, b_path)
-    placed = materialize(words.join(aligned.select("segment", "sid", "ok"), "segment").select("batch", "code", "n", "sid", "ok"), "placed")
-
-    # Texts with a segment that does not come back count for nothing: their occurrences are taken off.
-    broken = placed.where("not ok").groupBy("batch").agg(F.collect_list("code").alias("broken"))
-    texts = materialize(texts.join(broken, "batch", "left").select("batch", "id", "codes", (F.col("codes").isNotNull() & ~F.coalesce(F.arrays_overlap("codes", "broken"), F.lit(False))).alias("whole")), "texts")
-    off = texts.where("not whole and codes is not null").select("batch", F.explode("codes").alias("code")).groupBy("batch", "code").agg((-F.count("*")).alias("n"))
-    times = placed.select("sid", "n").unionByName(off.join(placed.select("batch", "code", "sid"), ["batch", "code"]).select("sid", "n"))
-    times = times.groupBy("sid").agg(F.sum("n").alias("n"))
-
-    linked = aligned.select("sid", F.explode("links").alias("link"))
-    # Segments of a batch that hold a pair are summed before they meet those of other batches.
-    counts = materialize(linked.join(times, "sid").groupBy("link").agg(F.sum("n").alias("count")).where("count > 0"), "counts")
-    b = F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
-    highest = counts.groupBy(b.alias("b")).agg(F.max("count").alias("top"))
-    pairs = materialize(counts.withColumn("b", b).join(highest, "b").select("link", "count", (F.col("count") == F.col("top")).alias("best")), "pairs")
-    known = F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs
-    scores = linked.join(known, "link").groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    zero = F.lit(0).cast("long")
-    facts = aligned.where("ok").select("sid", "n_a", "n_b", F.size("links").cast("long").alias("n_links"), "groups").join(scores, "sid", "left")
-    facts = facts.select("sid", "n_a", "n_b", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups")
-    entries = placed.where("ok").select(F.col("batch").alias("w_batch"), "code", "sid").join(facts, "sid").drop("sid")
-
-    def compose(docs_: pa.Table, known_: pa.Table) -> pa.Table:
-        numbers = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
-        codes = known_.column("code").to_numpy()
-        top = int(codes.max(initial=-1)) + 1
-        values = np.zeros((top, len(numbers)), np.int64)
-        for k, c in enumerate(numbers):
-            values[codes, k] = known_.column(c).to_numpy()
-        groups = [""] * top
-        for c, g in zip(codes.tolist(), known_.column("groups").to_pylist(), strict=True):
-            groups[c] = g
-        rows, digests = np.zeros((docs_.num_rows, len(numbers)), np.int64), []
-        for i, (held, whole) in enumerate(zip(docs_.column("codes"), docs_.column("whole").to_pylist(), strict=True)):
-            if not whole:
-                digests.append("")
-                continue
-            own = held.values.to_numpy()
-            rows[i] = values[own].sum(0) if len(own) < PIECE else sum(values[own[at : at + PIECE]].sum(0) for at in range(0, len(own), PIECE))
-            state = hashlib.sha256()
-            for at in range(0, len(own), PIECE):
-                state.update((";" * (at > 0) + ";".join(map(groups.__getitem__, own[at : at + PIECE].tolist()))).encode())
-            digests.append(state.hexdigest())
-        n_a, n_b, n_links, n_best, count_sum = (pa.array(rows[:, k]) for k in range(5))
-        return pa.table([docs_.column("id"), n_a, n_b, n_links, n_links, n_best, count_sum, pa.array(digests, pa.string())], names)
-
-    names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    texts = both.where("code is null").select("batch", "id", "codes")
+    aligned = align_segments(both.where("code is not null"), a_path, b_path)
+    # Texts with a segment that does not come back; few batches have any.
+    broken = materialize(aligned.where("batch is not null and not ok").groupBy("batch").agg(F.collect_list("code").alias("broken")), "broken")
+    texts = texts.join(broken, "batch", "left").select("batch", "id", "codes", (F.col("codes").isNotNull() & ~F.coalesce(F.arrays_overlap("codes", "broken"), F.lit(False))).alias("whole"))
+    pairs = count_pairs(aligned, texts)
+    entries = score_segments(aligned.where("batch is not null and ok"), pairs)
     out = texts.groupBy("batch").cogroup(entries.groupBy("w_batch")).applyInArrow(compose, f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     shown = pairs.select(F.shiftright("link", 32).alias("a"), F.col("link").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "count", "best")
     return out.withColumnRenamed("id", id_col), shown
