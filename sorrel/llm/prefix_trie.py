@@ -148,7 +148,8 @@ def prefix_trie(turns: DataFrame, group: int = 5, modulus: int = 9, id_col: str
     path = deep.select("conv_id", "depth", "prefix", (F.col("total") - F.col("upto") + F.col("bytes")).alias("rest"), "length")
     path = materialize(path.unionByName(root), "paths")
 
-    owners = path.groupBy("prefix").agg(F.min("conv_id").alias("owner"), F.bool_or(F.col("depth") < F.col("length")).alias("goes_on"))
+    # Written, so that the join on a prefix that many share is one of two exchanges, which Spark can split.
+    owners = materialize(path.groupBy("prefix").agg(F.min("conv_id").alias("owner"), F.bool_or(F.col("depth") < F.col("length")).alias("goes_on")), "owners")
     owned = F.col("conv_id") == F.col("owner")
     marks = path.join(owners, "prefix").groupBy("conv_id").agg(
         F.min(F.when(owned, F.col("depth"))).alias("first_owned"),
