@@ -6,10 +6,12 @@ bits would take 2**20 - 1 tables. So the keys of each text also hold ``BANDS`` b
 similarity s share one band with probability s ** DEPTH, and 24 bands of 4 miss a pair of similarity 0.8 with
 probability (1 - 0.8 ** 4) ** 24 < 4e-6.
 
-Of rows that share a key only some pairs are compared, never all. First each meets a centre of the key (hot keys are salted: a centre of
+Pairs are compared in three passes. First each row meets a centre of its key (hot keys are salted: a centre of
 its salt, and these the key's). Once the links found are components, each row of a key meets the one of another
-component whose minima agree with its own most, if ``LIKELY`` of them do, among up to ``HELD`` rows of the key; in keys of more rows that is
-repeated with others until a round finds no link. Whole texts are read only for these pairs.
+component whose minima agree with its own most, among up to ``HELD`` rows of the key; in keys of more rows that is
+repeated with others until a round finds no link. These two passes only make components large early, whatever they miss. The last takes every key that still has rows of
+different components, and compares all pairs of such rows of which ``LIKELY`` of the minima agree, so that no such pair of a key is left out: the rows outside the key's largest component
+meet all its rows, in tiles of bounded size. Whole texts are read only for pairs that are compared.
 """
 
 from __future__ import annotations
@@ -170,6 +172,53 @@ def _next_pairs(slots: DataFrame, counts: DataFrame, turn: int) -> DataFrame:
     return dealt.select(F.xxhash64("key", "salt").alias("key"), "uid", "root", "minima").mapInArrow(likeliest, "a long, b long")
 
 
+def meet(batches):
+    """Arrow batches of ``(tile, side, uid, root, minima)``, sorted by tile and side, to pairs ``(a, b)`` of different roots that ``LIKELY`` minima of agree: each row of side 1 with those of side 0 in its tile."""
+    tile, uid, root, sig = None, *(np.zeros(0, np.int64),) * 2, np.zeros((0, BANDS * DEPTH), np.uint8)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, side, u, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        m = _bytes(batch.column(4))
+        bounds = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (side[1:] != side[:-1])) + 1, [len(t)]])
+        pairs = [(u[:0], u[:0])]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if t[lo] != tile:
+                tile, uid, root, sig = t[lo], u[:0], r[:0], m[:0]
+            if side[lo] == 0:
+                uid, root, sig = np.concatenate([uid, u[lo:hi]]), np.concatenate([root, r[lo:hi]]), np.concatenate([sig, m[lo:hi]])
+                continue
+            step = max(1, (1 << 22) // max(1, len(uid) * BANDS * DEPTH))
+            for at in range(lo, hi, step):
+                end = min(hi, at + step)
+                agree = (m[at:end][:, None] == sig[None]).sum(2, dtype=np.int16)
+                x, y = np.nonzero((agree >= LIKELY * BANDS * DEPTH) & (r[at:end][:, None] != root[None]))
+                pairs.append((u[at:end][x], uid[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in pairs])) for i in range(2)], ["a", "b"])
+
+
+def _last_pairs(rooted: DataFrame) -> DataFrame:
+    """All likely pairs of different roots that share a key, of rows ``(uid, keys, root, minima)``.
+
+    A key's smaller components, dealt to blocks of about ``HELD`` rows, meet all its rows, dealt to parts of about ``HOT``; each block and part are a tile.
+    """
+    slots = rooted.select("uid", "root", F.explode("keys").alias("key"))
+    mixed = slots.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    mixed = materialize(mixed, "mixed")
+    few = mixed.count() <= BROADCAST
+    held = F.broadcast(mixed) if few else mixed.hint("merge")
+    sizes = slots.join(held, "key").groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    blocks, parts = F.ceil((F.col("n") - F.col("most.n")) / HELD), F.ceil(F.col("n") / HOT)
+    plan = materialize(sizes.select("key", F.col("most.root").alias("largest"), blocks.alias("blocks"), parts.alias("parts")), "tiles")
+    own = rooted.select("uid", "root", "minima", F.explode("keys").alias("key")).join(F.broadcast(plan) if few else plan.hint("merge"), "key")
+    draw, upto = F.xxhash64("uid", F.lit(11)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    small = own.where("root != largest").withColumn("block", F.pmod(draw, "blocks")).withColumn("part", upto("parts")).withColumn("side", F.lit(0))
+    every = own.withColumn("part", F.pmod(draw, "parts")).withColumn("block", upto("blocks")).withColumn("side", F.lit(1))
+    columns = [F.xxhash64("key", "block", "part").alias("tile"), "side", "uid", "root", "minima"]
+    dealt = small.select(*columns).unionByName(every.select(*columns)).repartition("tile").sortWithinPartitions("tile", "side", "uid")
+    return dealt.mapInArrow(meet, "a long, b long")
+
+
 def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, without near copies: one row stays of each component under links of similarity ``percent`` or more.
 
@@ -228,9 +277,16 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, radius: int
         fresh = _oriented(_next_pairs(rooted.select(F.explode("keys").alias("key"), "uid", "root", "minima"), counts, turn))
         fresh = materialize(fresh.join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = linked(fresh)
+        done = done.unionAll(fresh)
         if more.isEmpty():
             break
-        links, done = links.unionAll(more), done.unionAll(fresh)
+        links = links.unionAll(more)
+
+    rooted = near.select("uid", "keys", "minima").join(groups.hint("merge"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    rest = materialize(_oriented(_last_pairs(rooted)).join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    more = linked(rest)
+    if not more.isEmpty():
+        groups = materialize(connected_components(links.unionAll(more)).withColumnRenamed("node", "uid"), "groups")
 
     member = rows.select("uid", F.col(names[id_at]).alias("id")).join(groups.hint("merge"), "uid")
     rank = F.struct(F.col("id").isNull(), "id", "uid")

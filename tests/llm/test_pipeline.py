@@ -1,8 +1,11 @@
 """The pipeline's stages on small tables, each against a plain version."""
 
 import corpus_pipeline as pipeline
+import numpy as np
 from test_text_ops import check_pieces
 
+from sorrel.llm import near_copies
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -82,6 +85,30 @@ def test_near_stage_finds_all_similar_pairs(spark, sf):
     assert {i for i in left if i >= 9000} == {9000}
 
 
+def families(rng, n, size, changes, length=60):
+    """Texts in families without a hub: each has ``changes`` of the family's words changed, anywhere."""
+    out = []
+    for f in range(n):
+        words = [f"f{f}w{i}" for i in range(length)]
+        for m in range(size):
+            at = set(rng.choice(length, changes, replace=False).tolist())
+            out.append(" ".join(f"c{f}x{m}y{i}" if i in at else w for i, w in enumerate(words)))
+    return out
+
+
+def test_near_stage_loses_no_link_of_families_without_a_hub(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = families(rng, 6, 30, 1, 60) + families(rng, 4, 30, 1, 70) + families(rng, 2, 30, 1, 80)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    want = brute_similar(dict(enumerate(texts)))
+    assert 20 < len(want) < len(texts) - 50, "some link, some do not"
+    assert {r.doc_id for r in near_copies.near_copies(docs).collect()} == want
+    # Crowded keys: every key's rows are in several tiles.
+    monkeypatch.setattr(near_copies, "HELD", 4)
+    monkeypatch.setattr(near_copies, "HOT", 8)
+    assert {r.doc_id for r in near_copies.near_copies(docs).collect()} == want
+
+
 def test_near_stage_keeps_one_row_of_a_group(spark):
     rows = [(None, "a b c d", "en", "s", 7), (None, "A b c d", "en", "s", 7), (5, "a b c d", None, None, None), (5, "a b c d", "en", "s", 7), (None, "e f", "en", "s", 3), (None, "e f", "en", "s", 3), (7, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
