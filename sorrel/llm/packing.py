@@ -16,12 +16,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import TextEncoder
 from .common import materialize, small_batches, table
 
+#: Sources times partitions of which a row each is broadcast at most; more are joined by a shuffle.
+BROADCAST = 1 << 20
 PIECES = "id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,54 +57,82 @@ def tokenize(docs: DataFrame, tokenizer_path: str, eos: int, id_col: str, text_c
 
 
 class Mixture:
-    """Where each token of each queue goes: sequences of ``window`` tokens, filled in the order in which tokens fall due."""
+    """Where each token of each queue goes: sequences of ``window`` tokens, filled in the order in which tokens fall due.
+
+    Time runs in ``TICKS`` a window and credits are whole multiples of 2 ** -``BITS`` tokens a window, so all counts are exact integers, the same in every task
+    and at every size: 64-bit ones, or Python's where a queue takes so long that these would not do.
+    """
 
     #: So many numbers at most are worked on at a time.
     CELLS = 1 << 21
+    TICKS, BITS = 10, 24
 
     def __init__(self, queues: list[int], credits: list[float], window: int):
-        self.queue, self.window = np.array(queues, np.int64), window
-        self.credit = np.maximum(np.array(credits, np.float64), 1e-6)
+        self.window, self.total, k = window, sum(queues), len(queues)
+        rates = [max(1, round(c * (1 << self.BITS))) for c in credits]
         # Phases differ, so that sources with like shares do not fall due together.
-        self.phase = (np.arange(len(queues)) + 0.5) / max(1, len(queues))
-        self.total = int(self.queue.sum())
-        self.end = float(((self.queue + 1) / self.credit).max())
+        phases = [((2 * i + 1) << self.BITS) // (2 * k) for i in range(k)]
+        #: The tick by which all is due.
+        self.end = max(((((n + 1) << self.BITS) // r + 2) << self.TICKS for n, r in zip(queues, rates, strict=True)), default=0)
+        small = max((self.end >> self.TICKS, 1)) << self.BITS < 1 << 61 and max(rates, default=0) < 1 << 50
+        self.kind = np.int64 if small and self.total < 1 << 61 else object
+        self.queue, self.rate, self.phase = (np.array(x, self.kind) for x in (queues, rates, phases))
+        self.whole, self.part = self.rate >> self.BITS, self.rate & ((1 << self.BITS) - 1)
+        self.speed = sum(rates) / (1 << self.BITS)
+
+    def _ints(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(np.int64) if self.kind is np.int64 else np.array([int(v) for v in x], object)
 
     def due_by(self, t: np.ndarray) -> np.ndarray:
-        """Tokens of each queue that are due at each time: (times, queues)."""
-        return np.minimum(self.queue, (t[:, None] * self.credit + self.phase).astype(np.int64))
+        """Tokens of each queue that are due at each tick: (ticks, queues)."""
+        w, r = (x.astype(self.kind)[:, None] for x in (t >> self.TICKS, t & ((1 << self.TICKS) - 1)))
+        more = (w * self.part + (r * self.rate >> self.TICKS) + self.phase) >> self.BITS
+        return np.minimum(self.queue, w * self.whole + more)
 
     def sent(self, w: np.ndarray) -> np.ndarray:
-        """Tokens of each queue before each sequence: (sequences, queues); ties go by the queues' order."""
-        goal = np.minimum(w * self.window, self.total)
-        # Rounding moves a count by less than the number of queues; once a queue has run out, more time than that is needed.
-        rate, slack = self.credit.sum(), len(self.queue) + 1
-        low, high = np.maximum((goal - slack) / rate, 0.0), np.minimum((goal + slack) / rate, self.end)
+        """Tokens of each queue before each sequence: (sequences, queues); of those due in one tick, the earlier queues' go first."""
+        goal = np.minimum(w.astype(self.kind) * self.window, self.total)
+        slack = 4 * (len(self.queue) + 1)
+        near = lambda x: self._ints(np.clip(x.astype(float) / self.speed * (1 << self.TICKS), 0, float(self.end)))
+        low, high = near(goal - slack), np.minimum(near(goal + slack) + 2, self.end)
+        # Once a queue has run out, more time is needed than all speeds together would take.
+        low[self.due_by(low).sum(1) > goal] = 0
         high[self.due_by(high).sum(1) <= goal] = self.end
-        # Each sequence's steps are its own, so that all tasks find the same.
-        while len(wide := np.flatnonzero(high - low > 1e-6)):
-            mid = (low[wide] + high[wide]) / 2
+        low[goal >= self.total] = self.end
+        while len(wide := np.flatnonzero(high - low > 1)):
+            mid = (low[wide] + high[wide]) >> 1
             early = self.due_by(mid).sum(1) <= goal[wide]
             low[wide[early]], high[wide[~early]] = mid[early], mid[~early]
         base = self.due_by(low)
         more = self.due_by(high) - base
         lacks = (goal - base.sum(1))[:, None]
-        return base + np.clip(lacks - (np.cumsum(more, 1) - more), 0, more)
+        return base + np.minimum(np.maximum(lacks - (np.cumsum(more, 1) - more), 0), more)
 
     def rank(self, s: np.ndarray, q: np.ndarray) -> np.ndarray:
         """About the place of token ``q`` of queue ``s`` in the order in which tokens fall due."""
-        out, step = np.zeros(len(s), np.int64), max(1, self.CELLS // len(self.queue))
+        out, step = np.zeros(len(s), self.kind), max(1, self.CELLS // len(self.queue))
+        rate, phase = self.rate.astype(float) / (1 << self.BITS), self.phase.astype(float) / (1 << self.BITS)
         for at in range(0, len(s), step):
             i = s[at : at + step]
-            out[at : at + step] = self.due_by((q[at : at + step] + 1 - self.phase[i]) / self.credit[i]).sum(1)
+            t = (q[at : at + step].astype(float) + 1 - phase[i]) / rate[i] * (1 << self.TICKS)
+            out[at : at + step] = self.due_by(self._ints(np.minimum(t, float(self.end)))).sum(1)
         return out
 
     def pieces(self, s: np.ndarray, at: np.ndarray, n: np.ndarray):
         """``(row, start, length, place)`` of the pieces of rows that hold the ``n`` tokens from ``at`` of queue ``s``."""
         last = -(-self.total // self.window) - 1
+        at, n = at.astype(self.kind), n.astype(self.kind)
         # Rounding moves a rank by less than a window, so one more is tried at both ends.
         first = np.maximum(self.rank(s, at) // self.window - 2, 0)
-        count = np.minimum(self.rank(s, at + n - 1) // self.window + 2, last) - first + 1
+        count = (np.minimum(self.rank(s, at + n - 1) // self.window + 2, last) - first + 1).astype(np.int64)
+        sparse = (count > 8 * n) & (n > 1)
+        if sparse.any():
+            # Tokens many windows apart are placed one by one, not by a look into each window between.
+            times = np.where(sparse, n, 1).astype(np.int64)
+            row = np.repeat(np.arange(len(s)), times)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            own, start, length, place = self.pieces(s[row], (at[row] + nth).astype(np.int64), np.where(sparse[row], 1, n[row]).astype(np.int64))
+            return [row[own], start + nth[own], length, place]
         rows, ws = np.repeat(np.arange(len(s)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
         out, step = [], max(1, self.CELLS // len(self.queue))
         for k in range(0, len(rows), step):
@@ -116,7 +146,8 @@ class Mixture:
             place = w * self.window + before[j, q] - before[i, q] + begin - low
             some = end > begin
             out.append([x[some] for x in (row, begin - at[row], end - begin, place)])
-        got = [np.concatenate(x) for x in zip(*out, strict=True)]
+        got = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
+        n = n.astype(np.int64)
         if not np.array_equal(np.bincount(got[0], got[2], len(s)).astype(np.int64), n):
             raise RuntimeError("pieces do not cover their rows")
         return got
@@ -134,12 +165,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, eos: int = 0,
     may be short: it is padded to ``window`` unless its length is a power of two.
     """
     tokens = tokenize(docs, tokenizer_path, eos, id_col, text_col, source_col)
-    # A queue is its source's rows, partition by partition: one row for each source in a partition, and nothing is shuffled.
-    parts = sorted(tuple(r) for r in tokens.groupBy("source", "part").agg(F.sum("n")).collect())
-    queue, shift = {}, {}
-    for source, part, n in parts:
-        shift[source, part] = queue.get(source, 0)
-        queue[source] = shift[source, part] + n
+    # A queue is its source's rows, partition by partition; the driver gets a row for each source.
+    parts = materialize(tokens.groupBy("source", "part").agg(F.sum("n").alias("in_part")), "parts")
+    queue = {r["source"]: r["n"] for r in sorted(parts.groupBy("source").agg(F.sum("in_part").alias("n")).collect())}
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("source", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("shift"))
+    placed = tokens.join(F.broadcast(shifts) if parts.count() <= BROADCAST else shifts, ["source", "part"])
     queues = list(queue.items())
     total = sum(queue.values())
     if weights is None:
@@ -156,9 +187,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, eos: int = 0,
                 continue
             sources = batch.column(3).to_pylist()
             s = np.array([number[x] for x in sources], np.int64)
-            n, before = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 5))
-            shifts = np.array([shift[x] for x in zip(sources, batch.column(4).to_pylist(), strict=True)], np.int64)
-            row, start, length, place = mixture.pieces(s, shifts + before, n)
+            n, before = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 4))
+            row, start, length, place = mixture.pieces(s, before, n)
             ids, crcs, held, words = batch.column(2), [], -1, None
             for i, a, size in zip(row.tolist(), start.tolist(), length.tolist(), strict=True):
                 if i != held:
@@ -170,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, eos: int = 0,
 
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
-    out = tokens.select("id", "n", "ids", "source", "part", "before").mapInArrow(pieces, PIECES.format(id=kind))
+    out = placed.select("id", "n", "ids", "source", (F.col("before") + F.col("shift")).alias("before")).mapInArrow(pieces, PIECES.format(id=kind))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,17 +224,6 @@ def test_packing(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     check_pieces(rows, texts)
-    # The mixture: over any number of windows each source keeps to its share, but for a turn and a round.
-    source = {r.doc_id: r.source for r in docs.collect()}
-    total, sent = Counter(), Counter()
-    for r in rows:
-        total[source[r.doc_id]] += r.length
-    done = 0
-    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
-        sent[source[r.doc_id]] += r.length
-        done += r.length
-        for s in total:
-            assert abs(sent[s] - done * total[s] / total.total()) <= 1024 + 256
 
 
 def test_every_window_holds_the_mixture(spark, sf):
@@ -268,6 +258,31 @@ def test_mixture_places_every_token_once():
         assert (place // 64 == (place + length - 1) // 64).all()
 
 
+@pytest.mark.parametrize(("queues", "credits"), [
+    ([5 * 10**12] * 4, [256.0] * 4), ([2 * 10**13 - 3 * 10**6, 10**6, 2 * 10**6], [1024.0, 5.2e-5, 1.03e-4]), ([10**13, 7, 10**13], [511.0, 2.0, 511.0]), ([10**12, 10**12], [1023.999, 0.001]),
+])
+def test_mixture_of_very_many_tokens(queues, credits):
+    mix, total = packing.Mixture(queues, credits, 1024), sum(queues)
+    last = -(-total // 1024)
+    w = np.unique(np.array([0, 1, 2, 1000, last // 3, last // 2, last - 2, last - 1, last], np.int64))
+    start = time.perf_counter()
+    sent = np.concatenate([mix.sent(w), mix.sent(w + 1)])
+    s, at = np.array([0, len(queues) - 1, 0, 1]), np.array([0, queues[-1] - 5000, queues[0] // 2, 0])
+    n = np.array([3000, 5000, 100_000, min(queues[1], 900)])
+    row, begin, length, place = mix.pieces(s, at, n)
+    assert time.perf_counter() - start < 1
+    assert [int(x) for x in sent.sum(1)] == [min(int(x) * 1024, total) for x in (*w, *(w + 1))]
+    assert (sent[len(w) :] >= sent[: len(w)]).all() and (sent <= np.array(queues)).all()
+    assert np.array_equal(np.bincount(row, length), n) and (place // 1024 == (place + length - 1) // 1024).all()
+
+
+def test_packing_by_a_joined_table_of_shifts(spark, docs, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = key(map(tuple, packing.pack(docs, path).collect()))
+    monkeypatch.setattr(packing, "BROADCAST", 0)
+    assert key(map(tuple, packing.pack(docs, path).collect())) == want
+
+
 def test_packing_awkward(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(docs, path).collect()
