@@ -273,15 +273,10 @@ def compose(texts: pa.Table, entries: pa.Table) -> pa.Table:
         groups[c] = g
     # A segment's groups hold all its tokens: n + 1 groups with n semicolons, and a token more on a side for each comma there.
     values = np.zeros((top, 5), np.int64)
-    ends = pc.split_pattern(entries.column("groups"), ";").combine_chunks()
-    ends = ends if isinstance(ends, pa.Array) else pa.concat_arrays(ends.chunks)
-    parts, sizes = ends.flatten(), pc.list_value_length(ends).to_numpy()
-    b_side = pc.replace_substring_regex(parts, r"^[^|]*", "")
-    commas, b_commas = (pc.count_substring(x, ",").to_numpy() for x in (parts, b_side))
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    for k, more in enumerate((commas - b_commas, b_commas)):
-        values[codes, k] = sizes + np.diff(np.concatenate([[0], np.cumsum(more)])[before])
-    values[codes, 2] = sizes
+    shown = entries.column("groups")
+    values[codes, 2] = n = pc.count_substring(shown, ";").to_numpy() + 1
+    values[codes, 0] = n_a = n + pc.count_substring(pc.replace_substring_regex(shown, r"\|[^;]*", ""), ",").to_numpy()
+    values[codes, 1] = 2 * n + pc.count_substring(shown, ",").to_numpy() - n_a
     for k, c in ((3, "n_best"), (4, "count_sum")):
         values[codes, k] = entries.column(c).to_numpy()
     rows, digests = np.zeros((texts.num_rows, 5), np.int64), []
