@@ -289,20 +289,26 @@ _USERS = "SELECT DISTINCT e.src_id, e.dst_id FROM v_edge e JOIN v_node n ON n.id
   SELECT s.id AS start_id, walk.id, CAST(min(walk.depth) AS BIGINT) AS depth FROM walk, s GROUP BY s.id, walk.id""")
 def call_reachability(g: Graph):
     start = g.kept_nodes.where("id >= 8000000000000").agg(F.min("id").alias("start_id"))
-    return paths.reachable_within(g.kept_edges, g.kept_nodes, start, 6)
-
-
-@query(f"""WITH RECURSIVE l AS MATERIALIZED ({_USERS}), s AS (SELECT min(id) AS id FROM v_node WHERE id >= 8000000000000),
-  walk(id, depth) AS (SELECT id, 0 FROM s UNION SELECT l.dst_id, walk.depth + 1 FROM walk JOIN l ON l.src_id = walk.id WHERE walk.depth < 8)
-  SELECT t.hops AS offset_users, min(walk.depth) IS NOT NULL AS reachable, CAST(coalesce(min(walk.depth) + 1, 0) AS BIGINT) AS path_nodes
-  FROM (VALUES (0), (9), (30), (31), (75)) t(hops) CROSS JOIN s LEFT JOIN walk ON walk.id = s.id + t.hops GROUP BY t.hops""")
+    return paths.reachable_within(paths.CallIndex.build(g.kept_edges, g.kept_nodes), start, 6)
+
+
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT u.*, r.rank FROM ({_USERS}) u JOIN (SELECT id, row_number() OVER (ORDER BY {KEY}, id) AS rank FROM v_node WHERE valid) r ON r.id = u.dst_id),
+  s AS (SELECT min(id) AS id FROM v_node WHERE id >= 8000000000000),
+  walk(id, depth, ranks, path) AS (
+    SELECT id, 0, CAST([] AS BIGINT[]), [id] FROM s
+    UNION ALL SELECT dst_id, depth, ranks, path FROM (
+      SELECT l.dst_id, walk.depth + 1 AS depth, list_append(walk.ranks, l.rank) AS ranks, list_append(walk.path, l.dst_id) AS path, row_number() OVER (PARTITION BY l.dst_id ORDER BY list_append(walk.ranks, l.rank)) AS nth
+      FROM walk JOIN l ON l.src_id = walk.id WHERE walk.depth < 8) WHERE nth = 1),
+  best AS (SELECT id, min(depth) AS depth, arg_min(path, depth) AS path FROM walk GROUP BY id)
+  SELECT t.hops AS offset_users, best.id IS NOT NULL AS reachable, coalesce(array_to_string(best.path, ' '), '') AS path, best.id IS NULL AND (SELECT max(depth) FROM best) = 8 AS limit_reached
+  FROM (VALUES (0), (9), (30), (31), (75)) t(hops) CROSS JOIN s LEFT JOIN best ON best.id = s.id + t.hops""")
 def call_path_bfs(g: Graph):
-    """Shortest call paths from the first user to five others, by the bounded search."""
+    """Shortest call paths from the first user to five others, by the bounded search: their nodes, ties in the queue's order, and whether a limit cut the search."""
     first = g.kept_nodes.where("id >= 8000000000000").agg(F.min("id").alias("start_id"))
     hops = F.explode(F.array(*[F.lit(h) for h in (0, 9, 30, 31, 75)])).alias("request")
     asked = first.select(hops, "start_id").withColumn("target_id", F.col("start_id") + F.col("request"))
-    found = paths.find_call_paths(g.kept_edges, g.kept_nodes, asked, 8)
-    return found.select(F.col("request").alias("offset_users"), "reachable", F.size("path").cast("long").alias("path_nodes"))
+    found = paths.find_call_paths(paths.CallIndex.build(g.kept_edges, g.kept_nodes), asked, 8)
+    return found.select(F.col("request").alias("offset_users"), "reachable", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), "limit_reached")
 
 
 @query("""SELECT container_id AS ancestor_id, id, CAST(1 AS BIGINT) AS depth FROM v_node WHERE container_id IS NOT NULL
@@ -618,7 +624,7 @@ def read_ranges(g: Graph):
 
 def _answers(g: Graph) -> DataFrame:
     """documentSymbol answers for the files of the graph, as JSON trees: a class with its members; every seventh is broken."""
-    rows = g.sql("SELECT uri, name, kind, detail, range_start_line AS l, CAST(uri AS STRING) AS u FROM v_node WHERE id < 3000000000000")
+    rows = g.sql("SELECT uri, name, kind, detail, range_start_line AS l, CAST(uri AS STRING) AS u FROM v_node WHERE kind <> 2 AND name <> 'Group'")
     at = lambda line: F.concat(F.lit('{"start":{"line":'), line, F.lit(',"character":4},"end":{"line":'), line, F.lit(',"character":9}}'))
     line = F.col("l").cast("string")
     member = F.concat(F.lit('{"name":"'), "name", F.lit('","kind":'), F.col("kind").cast("string"), F.lit(',"range":'), at(line), F.lit(',"selectionRange":'), at(line), F.lit("}"))
@@ -627,9 +633,12 @@ def _answers(g: Graph) -> DataFrame:
     return trees.select("uri", F.when(F.pmod(F.length("uri"), F.lit(7)) == 0, F.lit("{broken")).otherwise(text).alias("symbols"))
 
 
-@query("""SELECT fqn, uri, kind, l AS range_start_line, CAST(4 AS BIGINT) AS range_start_col, l AS sel_start_line, CAST(4 AS BIGINT) AS sel_start_col, l AS range_end_line, CAST(9 AS BIGINT) AS range_end_col, parent
-  FROM (SELECT fqn, uri, kind, range_start_line AS l, replace(fqn, concat('.', name), '') AS parent FROM v_node WHERE id < 3000000000000 UNION ALL SELECT DISTINCT concat(module, '.Group'), uri, 5, 1, NULL FROM v_file) WHERE length(uri) % 7 <> 0
-  UNION ALL SELECT module, uri, 2, 0, 0, 0, 0, 9223372036854775807, 9223372036854775807, NULL FROM v_file""")
+_OWN = "replace(ltrim(regexp_replace(replace(uri, 'file:///repo', ''), '\\.[^.]*$', ''), '/'), '/', '.')"
+
+
+@query(f"""SELECT fqn, uri, kind, l AS range_start_line, CAST(4 AS BIGINT) AS range_start_col, l AS sel_start_line, CAST(4 AS BIGINT) AS sel_start_col, l AS range_end_line, CAST(9 AS BIGINT) AS range_end_col, parent
+  FROM (SELECT concat({_OWN}, '.Group.', name) AS fqn, uri, kind, range_start_line AS l, concat({_OWN}, '.Group') AS parent FROM v_node WHERE kind <> 2 AND name <> 'Group' UNION ALL SELECT DISTINCT concat({_OWN}, '.Group'), uri, 5, 1, NULL FROM v_node) WHERE length(uri) % 7 <> 0
+  UNION ALL SELECT DISTINCT {_OWN}, uri, 2, 0, 0, 0, 0, 9223372036854775807, 9223372036854775807, NULL FROM v_node""")
 def flatten_symbols(g: Graph):
     """Names, kinds, bounds and the parent's name."""
     flat = facts.flatten_symbols(_answers(g), ROOT)
@@ -638,17 +647,16 @@ def flatten_symbols(g: Graph):
 
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS files_seen, CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS files_indexed,
-  CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 0 ELSE 2 + n.members END) AS BIGINT) AS symbols_upserted, CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fetch_errors
-  FROM v_file f JOIN (SELECT uri, count(*) AS members FROM v_node WHERE id < 3000000000000 GROUP BY uri) n ON n.uri = f.uri""")
+  CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 0 ELSE 2 + f.members END) AS BIGINT) AS symbols_upserted, CAST(sum(CASE WHEN length(f.uri) % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fetch_errors
+  FROM (SELECT uri, count(*) AS members FROM v_node WHERE kind <> 2 AND name <> 'Group' GROUP BY uri) f""")
 def index_stats(g: Graph):
     """The four counters of an indexing pass over an empty graph."""
     return _indexed(g)[2]
 
 
-@query("""SELECT n.fqn, n.uri, n.name, n.kind, up.fqn AS container FROM (
-    SELECT fqn, uri, name, kind, container_id FROM v_node WHERE id < 3000000000000 UNION ALL SELECT fqn, uri, name, 5, NULL FROM v_node WHERE name = 'Group'
-    UNION ALL SELECT fqn, uri, list_extract(string_split(fqn, '.'), -1), 2, NULL FROM v_node WHERE kind = 2) n
-  LEFT JOIN v_node up ON up.id = n.container_id WHERE length(n.uri) % 7 <> 0""")
+@query(f"""WITH f AS (SELECT DISTINCT uri, {_OWN} AS module FROM v_node WHERE length(uri) % 7 <> 0)
+  SELECT concat(module, '.Group.', name) AS fqn, uri, name, kind, concat(module, '.Group') AS container FROM v_node JOIN f USING (uri) WHERE kind <> 2 AND name <> 'Group'
+  UNION ALL SELECT concat(module, '.Group'), uri, 'Group', 5, NULL FROM f UNION ALL SELECT module, uri, list_extract(string_split(module, '.'), -1), 2, NULL FROM f""")
 def index_repository(g: Graph):
     """The nodes that an indexing pass makes of the files' answers, with their containers."""
     nodes = written(_indexed(g)[0], "indexed")

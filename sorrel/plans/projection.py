@@ -67,7 +67,7 @@ UNION ALL
 SELECT CAST(2000000000000 + l_suppkey AS BIGINT), CAST(7000000000000 + l_partkey AS BIGINT), 'calls', CAST(l_orderkey AS BIGINT), CAST(l_linenumber AS BIGINT), l_returnflag <> 'R' FROM v_bought
 UNION ALL
 SELECT CAST(8000000000000 + a.user_id AS BIGINT), CAST(8000000000000 + b.user_id AS BIGINT), 'calls', CAST(a.event_id AS BIGINT), CAST(0 AS BIGINT), true
-FROM events a JOIN (SELECT DISTINCT user_id FROM events) b ON b.user_id = a.user_id + 1 + (a.event_id % 5) * 3 WHERE a.event_id % 3 = 0""",
+FROM events a JOIN (SELECT DISTINCT user_id FROM events) b ON b.user_id = a.user_id + 1 + (a.event_id % 5) * 3""",
     "v_edge": """
 SELECT e.src_id, e.dst_id, e.edge_type, n.uri AS site_uri, e.site_start_line, e.site_start_col, e.site_start_line AS site_end_line, e.site_start_col + 3 AS site_end_col, e.valid
 FROM (SELECT src_id, dst_id, edge_type, site_start_line, site_start_col, max(valid) AS valid FROM v_edge_raw GROUP BY src_id, dst_id, edge_type, site_start_line, site_start_col) e JOIN v_node n ON n.id = e.src_id

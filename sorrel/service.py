@@ -61,9 +61,22 @@ class GraphService:
         self.spark, self.root_uri = spark, root_uri
         self.facts = facts or Facts.none(spark)
         self.nodes, self.base = snapshot.nodes, snapshot.edges
-        self.delta = spark.createDataFrame([], self.base.schema)
+        self.delta = self._empty = spark.createDataFrame([], self.base.schema)
         self.cache, self.marks = snapshot.callees_cache, snapshot.materialized
         self.last_edge = snapshot.last_ids()[1]
+        self._calls: paths.CallIndex | None = None
+        self._calls_of: DataFrame | None = None
+
+    @property
+    def calls(self) -> paths.CallIndex:
+        """The snapshot's call index, made when first asked for; callers that requests have changed since are read from the edges."""
+        if self._calls is None:
+            self._calls = paths.CallIndex.build(self.base, self.nodes)
+            self._calls_of = self._empty
+        if self._calls_of is not self.delta:
+            self._calls.change(self.delta.select(F.col("src_id").alias("id")), self.edges)
+            self._calls_of = self.delta
+        return self._calls
 
     @property
     def edges(self) -> DataFrame:
@@ -184,7 +197,7 @@ class GraphService:
         if a is None or b is None:
             return {"reachable": False, "path": [], "limit_reached": False, "from_hint_fqns": self._hints(start, a), "to_hint_fqns": self._hints(target, b)}
         stale = lambda anchors: relations.callee_freshness(anchors, self.nodes, self.facts.files, self.cache).where("not fresh").select("anchor_id")
-        got = paths.find_call_path(self.edges, self.nodes, a["id"], b["id"], max_depth, stale, budget)
+        got = paths.find_call_path(self.calls, a["id"], b["id"], max_depth, stale, budget)
         rows = {r["id"]: r for r in self.nodes.where(F.col("id").isin(got.path)).collect()} if got.path else {}
         return {"reachable": got.reachable, "path": self._shown([rows[i] for i in got.path]), "limit_reached": got.limit_reached, "from_hint_fqns": [], "to_hint_fqns": []} | self._degraded(a["language"])
 

@@ -141,7 +141,8 @@ def chain(spark):
 
 def test_call_paths(spark, chain):
     nodes, edges = chain
-    find = lambda a, b, **k: paths.find_call_path(edges, nodes, a, b, **k)
+    calls = paths.CallIndex.build(edges, nodes, buckets=8)
+    find = lambda a, b, **k: paths.find_call_path(calls, a, b, **k)
     assert find(1, 1) == paths.CallPath(True, [1], False)
     assert find(1, 2).path == [1, 2]
     assert find(1, 4).path == [1, 2, 3, 4]
@@ -158,10 +159,26 @@ def test_path_ties_follow_the_queue(spark):
     nodes = frame(spark, [node(1, "s", 0, 1), node(2, "y", 2, 3), node(3, "x", 4, 5), node(4, "t", 6, 7), node(5, "a", 8, 9)])
     edges = edges_of(spark, [edge(1, 1, 2), edge(2, 1, 3), edge(3, 2, 4), edge(4, 3, 4), edge(5, 2, 5), edge(6, 3, 5), edge(7, 5, 1)])
     many = spark.createDataFrame([(0, 1, 4), (1, 1, 5), (2, 4, 1)], "request long, start_id long, target_id long")
-    got = {r.request: (r.reachable, r.path) for r in paths.find_call_paths(edges, nodes, many).collect()}
+    got = {r.request: (r.reachable, r.path) for r in paths.find_call_paths(paths.CallIndex.build(edges, nodes, buckets=4), many).collect()}
     assert got == {0: (True, [1, 3, 4]), 1: (True, [1, 3, 5]), 2: (False, [])}
 
 
+def test_a_search_reads_its_own_buckets(spark, tmp_path):
+    nodes = frame(spark, [node(i, f"m.n{1000 - i}", 2 * i, 2 * i + 1) for i in range(1, 200)])
+    edges = edges_of(spark, [edge(i, i, i + 1) for i in range(1, 199)] + [edge(900, 1, 50)])
+    calls = paths.CallIndex.build(edges, nodes, f"file://{tmp_path}/c", 64)
+    plan = calls.callees(spark.createDataFrame([(1,), (2,)], "id long"))
+    files = plan.inputFiles()
+    assert len({f.split("bucket=")[1].split("/")[0] for f in files}) <= 2 and all("/c/links/" in f for f in files), "two buckets, and no other table"
+    assert {(r.src_id, r.dst_id) for r in plan.where("src_id < 3").collect()} == {(1, 2), (1, 50), (2, 3)}
+    assert paths.find_call_path(calls, 1, 52) == paths.CallPath(True, [1, 50, 51, 52], False)
+    # A caller whose calls have changed since.
+    calls.change(spark.createDataFrame([(50,)], "id long"), edges.where("src_id != 50").unionByName(edges_of(spark, [edge(901, 50, 52)])))
+    assert paths.find_call_path(calls, 1, 52) == paths.CallPath(True, [1, 50, 52], False)
+    assert paths.find_call_path(calls, 1, 51) == paths.CallPath(False, [], True)
+    assert {(r.id, r.depth) for r in paths.reachable_within(calls, spark.createDataFrame([(1,)], "start_id long"), 2).collect()} == {(1, 0), (2, 1), (50, 1), (3, 2), (52, 2)}
+
+
 def test_edge_merges(spark):
     held = edges_of(spark, [edge(5, 1, 2, valid=False), (6, 1, 3, "contains", None, None, None, None, None, True)])
     batch = edges_of(spark, [edge(None, 1, 2), edge(None, 1, 2), edge(None, 1, 2, line=8), (None, 1, 3, "contains", None, None, None, None, None, True)])
