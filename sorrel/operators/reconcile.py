@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +49,24 @@ def rename_candidates(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataF
 def assign_renames(candidates: DataFrame) -> DataFrame:
     """Greedy one-to-one choice by file, best candidates first: tier, then least drift, then the oldest row, then the first symbol.
 
-    Each choice depends on those before it, so a file's candidates are taken in one pass; a file is the unit, and DRIFT bounds
-    how many candidates a symbol has.
+    In rounds: a pair that is the best of its symbol and of its row is one that the greedy choice takes, as no better one can take either away; then all candidates
+    of both go. Rounds go on until none is left; a run of symbols each of which waits for the one before takes a round each.
     """
+    from .tables import written
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        olds, news, out = set(), set(), []
-        ranked = pdf.sort_values(["tier", "drift", "old_id", "new_pos"], ascending=[False, True, True, True])
-        for uri, pos, old in ranked[["uri", "new_pos", "old_id"]].itertuples(index=False):
-            if pos not in news and old not in olds:
-                news.add(pos)
-                olds.add(old)
-                out.append((uri, pos, old))
-        return pd.DataFrame(out, columns=["uri", "new_pos", "old_id"])
-
-    return candidates.groupBy("uri").applyInPandas(choose, "uri string, new_pos long, old_id long")
+    key = F.struct(-F.col("tier"), "drift", "old_id", "new_pos")
+    of_new, of_old = Window.partitionBy("uri", "new_pos"), Window.partitionBy("uri", "old_id")
+    left, chosen = candidates.select("uri", "new_pos", "old_id", "tier", "drift").distinct(), None
+    while True:
+        best = left.withColumn("by_new", F.min(key).over(of_new)).withColumn("taken", (F.min(key).over(of_old) == key) & (F.col("by_new") == key))
+        # Whether either side is taken now.
+        best = best.withColumn("old_gone", F.bool_or("taken").over(of_old)).withColumn("new_gone", F.bool_or("taken").over(of_new))
+        now = written(best.drop("by_new"), "renames")
+        picked = now.where("taken").select("uri", "new_pos", "old_id")
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+        left = now.where("not old_gone and not new_gone").select("uri", "new_pos", "old_id", "tier", "drift")
+        if left.isEmpty():
+            return chosen
 
 
 def plan_reconcile(old: DataFrame, new: DataFrame, renames: bool = True) -> DataFrame:

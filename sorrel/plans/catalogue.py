@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.adapters import is_external, route_language
-from ..operators import indexing, locate, materialize, paths, reconcile, relations, store, symbols
+from ..operators import indexing, locate, materialize, paths, reconcile, relations, search, store, symbols
 from ..operators.buckets import GraphTables
 from ..operators.paging import Cursor, page
 from ..operators.snapshots import SnapshotStore
@@ -166,6 +166,16 @@ def find_symbol_fuzzy(g: Graph):
     return shown(symbols.find_symbol(g.nodes, "Supplier_00000012", "fuzzy"), "has_more")
 
 
+@query(_found("NOT is_external AND " + _FUZZY.format("Supplier_00000012", 17)))
+def find_symbol_fuzzy_indexed(g: Graph):
+    return shown(search.find_symbol(search.SearchIndex.build(g.kept_nodes), g.kept_nodes, "Supplier_00000012", "fuzzy"), "has_more")
+
+
+@query(_found("NOT is_external AND list_contains(string_split(lower(fqn), '.'), 'group')", 20))
+def find_symbol_segment_indexed(g: Graph):
+    return shown(search.find_symbol(search.SearchIndex.build(g.kept_nodes), g.kept_nodes, "gROUP", ignore_case=True, limit=20), "has_more")
+
+
 @query(_found("NOT is_external AND list_contains(string_split(lower(fqn), '.'), 'group')", 20))
 def find_symbol_ignore_case(g: Graph):
     return shown(symbols.find_symbol(g.nodes, "gROUP", ignore_case=True, limit=20), "has_more")
@@ -196,6 +206,11 @@ def hint_fuzzy(g: Graph):
     return symbols.hints(g.nodes, "Groop")
 
 
+@query(f"SELECT DISTINCT fqn FROM v_node WHERE valid AND NOT is_external AND {_FUZZY.format('Groop', 5)} ORDER BY fqn LIMIT 10")
+def hint_fuzzy_indexed(g: Graph):
+    return search.hints(search.SearchIndex.build(g.kept_nodes), g.kept_nodes, "some.where.Groop")
+
+
 # Positions
 
 _POINTS = "SELECT uri, sel_start_line + id % 9 AS line, id % 6 AS character FROM v_node"

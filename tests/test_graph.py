@@ -1,13 +1,14 @@
 """Operators on hand-made graphs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sorrel.functions import text as T
 from sorrel.functions.adapters import BUILT_IN, custom_adapters, is_external, route_language
-from sorrel.operators import locate, materialize, paging, paths, reconcile, relations, store, symbols
+from sorrel.operators import locate, materialize, paging, paths, reconcile, relations, search, store, symbols
 from sorrel.plans import schema
 from sorrel.sources import facts, files
 
@@ -273,6 +274,47 @@ def test_rename_choice_is_best_first(spark):
     assert got == {(1, 2), (0, 1)}
 
 
+def test_rename_rounds_equal_the_greedy_choice(spark):
+    rng = random.Random(2)
+    rows = {(f"f{i % 3}" if i % 10 else "one", rng.randrange(20000), rng.randrange(20000)): (rng.randrange(2), rng.randrange(4)) for i in range(30000)}
+    rows |= {("one", n, o): (rng.randrange(2), rng.randrange(4)) for n in range(1000, 11000) for o in rng.sample(range(n, n + 30), 10)}
+    ranked = sorted((u, -t, d, o, n) for (u, n, o), (t, d) in rows.items())
+    news, olds, want = set(), set(), set()
+    for u, _, _, o, n in ranked:
+        if (u, n) not in news and (u, o) not in olds:
+            news.add((u, n))
+            olds.add((u, o))
+            want.add((u, n, o))
+    df = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "uri string, new_pos long, old_id long, tier int, drift long").repartition(8)
+    got = reconcile.assign_renames(df)
+    assert len(rows) > 100_000 and {tuple(r) for r in got.collect()} == want
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert reconcile.assign_renames(df.limit(0)).count() == 0
+
+
+def test_the_search_index_misses_nothing(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeXYZ_é0") for _ in range(rng.randrange(1, 14))) for _ in range(3000)] + ["", "Group", "group", "Groups", "Gruop", "aaaa", "aaaaaa", "abababab"]
+    rows = [node(i, f"m{i % 7}.{w}.{rng.choice(words)}", i, i, valid=i % 9 != 0, is_external=i % 8 == 0) for i, w in enumerate(words)]
+    nodes = frame(spark, rows).cache()
+    index = search.SearchIndex.build(nodes, f"file://{tmp_path}/s", 32)
+    ids = lambda df: {r.id for r in df.collect()}
+    computed = total = 0
+    for want in ("Group", "gROUP", "abcde", "XYZ_é0a", "aaaaa", "a", "", "abcdeXYZ_abc", rng.choice(words), rng.choice(words)):
+        for case in (False, True):
+            assert ids(index.with_segment(want, case)) == ids(nodes.where(T.matches(F.col("fqn"), want, "segment", case))), (want, case)
+            assert ids(index.like(want, case)) == ids(nodes.where(T.matches(F.col("fqn"), want, "fuzzy", case))), (want, case)
+        if len(want) > 4:
+            computed, total = computed + index.candidates(want).count(), total + index.postings.read().select("folded").distinct().count()
+    assert computed < total / 100, "distances are computed for less than one segment of a hundred"
+    for mode, want in (("segment", "Group"), ("fuzzy", "Groop")):
+        for flt in (symbols.NodeFilter(), symbols.NodeFilter(include_external=True)):
+            assert search.find_symbol(index, nodes, want, mode, node_filter=flt, limit=3).collect() == symbols.find_symbol(nodes, want, mode, node_filter=flt, limit=3).collect()
+    for missing in ("x.Group", "x.Groop", "x.nothing_like_it"):
+        assert search.hints(index, nodes, missing).collect() == symbols.hints(nodes, missing).collect()
+    nodes.unpersist()
+
+
 def test_drift_and_empty_files(spark):
     found = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "uri string, text string")
     import hashlib
