@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.adapters import BUILT_IN, LanguageAdapter, route_language
+from ..sources.files import discover
 
 CHANGES = "uri string, kind string, ts timestamp"
 #: Kinds of change that count; others, such as mere access, do not.
@@ -22,9 +23,12 @@ def change_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.load(path)
 
 
-def relevant(changes: DataFrame, adapters: tuple[LanguageAdapter, ...] = BUILT_IN) -> DataFrame:
-    """Changes of files that a language owns and nothing hides."""
-    return changes.where(F.lower("kind").isin(*KINDS) & route_language(F.col("uri"), adapters).isNotNull() & ~F.col("uri").rlike(r"/\.[^/]"))
+def relevant(changes: DataFrame, root_uri: str | None = None, rules: list[tuple[str, str]] = (), adapters: tuple[LanguageAdapter, ...] = BUILT_IN) -> DataFrame:
+    """Changes of files that a language owns and nothing hides; with a root, of those below it that no rule ignores, as in discovery."""
+    counted = changes.where(F.lower("kind").isin(*KINDS))
+    if root_uri is not None:
+        return discover(counted, root_uri, rules, adapters)
+    return counted.where(route_language(F.col("uri"), adapters).isNotNull() & ~F.col("uri").rlike(r"/\.[^/]"))
 
 
 def coalesced(changes: DataFrame) -> DataFrame:
@@ -33,7 +37,7 @@ def coalesced(changes: DataFrame) -> DataFrame:
     return changes.groupBy("uri").agg(last).select("uri", (F.col("last.kind") == "remove").alias("removed"))
 
 
-def reconcile_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "300 milliseconds"):
+def reconcile_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "300 milliseconds", root_uri: str | None = None, rules: list[tuple[str, str]] = ()):
     """Runs ``apply(files, batch_id)`` on each batch's coalesced files. The trigger interval is the debounce; None drains what is there and stops."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -41,7 +45,7 @@ def reconcile_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None]
         if not files.isEmpty():
             apply(files, batch_id)
 
-    writer = relevant(changes).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = relevant(changes, root_uri, rules).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
     return writer.start()
 

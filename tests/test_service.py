@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_graph import edge, edges_of, frame, node
 
+from sorrel.operators import symbols
 from sorrel.operators.indexing import index_repository
 from sorrel.operators.snapshots import SnapshotStore, refresh_sources
 from sorrel.plans import schema
@@ -99,6 +100,7 @@ def test_a_source_that_is_down_is_not_taken_for_built(spark, service):
     # A warm anchor is served as it is, and what its source says now is there the next time.
     calls, one.facts.calls = one.facts.calls, one.facts.calls.withColumn("from_ranges", F.transform("from_ranges", lambda r: r.withField("start", r["start"].withField("line", r["start"]["line"] + 1))))
     assert [[s["start_line"] for s in c["call_sites"]] for c in one.find_callers(ref)["callers"]] == [[7]]
+    assert one.drain() == 1 and one.drain() == 0
     assert [[s["start_line"] for s in c["call_sites"]] for c in one.find_callers(ref)["callers"]] == [[7, 8]]
     one.facts.calls = calls
     assert [c["node"]["fqn"] for c in one.find_callees(SymbolRef(fqn="repo.caller"))["callees"]] == ["repo.helper"]
@@ -106,6 +108,43 @@ def test_a_source_that_is_down_is_not_taken_for_built(spark, service):
     assert sorted(r.id for r in one.edges.collect()) == list(range(1, one.edges.count() + 1))
 
 
+def test_refreshing_is_a_queue(spark, service, monkeypatch):
+    u = "file:///repo/m.py"
+    nodes = frame(spark, [node(i, f"repo.n{i}", 2 * i, 2 * i + 1) for i in range(12)])
+    snap = SnapshotStore(spark, f"{service_path(service)}/queue").commit(nodes=nodes, materialized=spark.createDataFrame([(i, "calls") for i in range(12)], schema.MATERIALIZED))
+    one = GraphService(spark, snap, Facts.none(spark, service.facts.files))
+    one.facts.health = service.facts.health
+    item = lambda line: {"name": "x", "kind": 12, "uri": u, "range": span(line, 0), "selectionRange": span(line, 4)}
+    said = [("incoming", u, 2 * i, 4, json.dumps([{"from": item(22), "fromRanges": [span(22, 4)]}])) for i in range(11)]
+    one.facts.calls = parse.calls(spark.createDataFrame(said, "direction string, uri string, line long, character long, answer string"))
+    merges = []
+    merge = one._merge
+    monkeypatch.setattr(one, "_merge", lambda new: (merges.append(1), merge(new)))
+    anchors = {i: symbols.by_id(one.nodes, i).first() for i in range(10)}
+    monkeypatch.setattr(one, "_anchor", lambda ref: anchors[int(ref.fqn)])
+    for k in range(100):
+        if k < 12:
+            assert one.find_callers(SymbolRef(fqn=str(k % 10)))["refreshing"]
+        else:
+            one.asked.add((k % 10, "calls"))
+    assert not merges and len(one.asked) == 10
+    assert one.drain() == 10 and len(merges) == 1
+    assert {(r.src_id, r.dst_id) for r in one.edges.collect()} == {(11, i) for i in range(10)}
+    assert [c["node"]["fqn"] for c in one.find_callers(SymbolRef(fqn="3"))["callers"]] == ["repo.n11"]
+
+
+def test_what_definitions_learn_is_kept(spark, service):
+    one = GraphService(spark, SnapshotStore(spark, service_path(service)).read(), service.facts)
+    at = ("file:///repo/m.py", 7, 4)
+    assert [(n["construct"], n["signature"]) for n in one.find_definition(at)["nodes"]] == [("function", "function helper")]
+    told, one.facts.hover = one.facts.hover, one.facts.hover.limit(0)
+    assert [(n["construct"], n["signature"]) for n in one.find_definition(at)["nodes"]] == [("function", "function helper")]
+    assert [n["signature"] for n in one.find_symbol("helper")["nodes"]] == ["function helper"]
+    one.facts.hover = told
+    saved = SnapshotStore(spark, f"{service_path(service)}/saved")
+    assert {(r.id, r.construct) for r in one.save(saved).nodes.collect()} == {(1, "function"), (2, None), (3, None)}
+
+
 def test_changes_end_in_a_snapshot(spark, tmp_path):
     from sorrel.streaming import changes
 
@@ -126,5 +165,7 @@ def test_bad_requests(service):
             SymbolRef(**bad)
     with pytest.raises(PermissionError):
         service.read_range("file:///repo/../etc/passwd")
+    with pytest.raises(PermissionError):
+        service.read_range("file:///repo/a/../..")
     with pytest.raises(FileNotFoundError):
         service.read_range("file:///repo/none.py")
