@@ -76,6 +76,11 @@ def shown_number(c: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(c.cast("long"), F.lit(4294967295)))
 
 
+def epoch_seconds(at: Column) -> Column:
+    """Whole seconds from the start of 1970 in UTC to a time stamp."""
+    return F.unix_timestamp(at)
+
+
 def content_hash(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 

@@ -427,12 +427,14 @@ def invalidate_incident(g: Graph):
 
 @query("""WITH gone AS (SELECT id FROM v_node WHERE id % 13 = 0 OR kind = 5)
   SELECT 'node' AS what, id AS a, CASE WHEN container_id IN (SELECT id FROM gone) THEN NULL ELSE container_id END AS b, CAST(1 AS BIGINT) AS n FROM v_node WHERE id NOT IN (SELECT id FROM gone)
-  UNION ALL SELECT 'edge', src_id, dst_id, count(*) FROM v_edge WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone) GROUP BY src_id, dst_id""")
+  UNION ALL SELECT 'edge', src_id, dst_id, count(*) FROM v_edge WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone) GROUP BY src_id, dst_id
+  UNION ALL SELECT w.what, id, NULL, 1 FROM v_node, (VALUES ('hash'), ('mark')) w(what) WHERE id NOT IN (SELECT id FROM gone)""")
 def delete_cascade(g: Graph):
     n, e = g.nodes, g.edges
     hashes, marks = n.select(F.col("id").alias("anchor_id"), F.lit("h").alias("content_hash")), n.select(F.col("id").alias("anchor_id"), F.lit("calls").alias("edge_type"))
-    left, edges, _, _ = store.delete_nodes(n, e, hashes, marks, n.where("id % 13 = 0 or kind = 5").select("id"))
-    return left.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("container_id").alias("b"), F.lit(1).cast("long").alias("n")).unionByName(
+    left, edges, hashes, marks = store.delete_nodes(n, e, hashes, marks, n.where("id % 13 = 0 or kind = 5").select("id"))
+    side = [t.select(F.lit(what).alias("what"), F.col("anchor_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(1).cast("long").alias("n")) for what, t in (("hash", hashes), ("mark", marks))]
+    return side[0].unionByName(side[1]).unionByName(left.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("container_id").alias("b"), F.lit(1).cast("long").alias("n"))).unionByName(
         edges.groupBy(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "a", "b", "n")
     )
 
@@ -451,6 +453,13 @@ def callees_freshness(g: Graph):
     return relations.callee_freshness(t.select(F.col("doc_id").alias("anchor_id")), t.select(F.col("doc_id").alias("id"), "uri"), t.where("doc_id % 5 != 0"), cache)
 
 
+@query("SELECT id AS anchor_id, 'h' AS content_hash FROM v_node WHERE language <> 'go'")
+def drop_hashes_of_files(g: Graph):
+    """Hashes of all nodes, without those in the files of one language."""
+    cache = g.nodes.select(F.col("id").alias("anchor_id"), F.lit("h").alias("content_hash"))
+    return store.drop_callee_hashes(cache, g.nodes, g.nodes.where("language = 'go'").select("uri"))
+
+
 @query("""SELECT key, CASE WHEN b IS NOT NULL THEN b ELSE a END AS value FROM (SELECT uri AS key, md5(text) AS a, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS b FROM v_text)""")
 def meta_upsert(g: Graph):
     meta = g.texts.select(F.col("uri").alias("key"), T.content_hash(F.col("text")).alias("value"))
@@ -463,6 +472,13 @@ def update_signatures(g: Graph):
     return store.update_column(g.nodes, new, "fqn", "signature").select("id", "signature")
 
 
+@query("SELECT id, CASE WHEN id % 3 = 1 THEN CASE WHEN id % 2 = 0 THEN 'enum' END ELSE construct END AS construct FROM v_node")
+def update_constructs(g: Graph):
+    """Constructs set by id, some to null."""
+    new = g.nodes.where("id % 3 = 1").select("id", F.when(F.col("id") % 2 == 0, "enum").alias("construct"))
+    return store.update_column(g.nodes, new, "id", "construct").select("id", "construct")
+
+
 # Building edges from facts
 
 _REFS = """SELECT 'references' AS op, p.uri, p.sel_start_line AS line, p.sel_start_col AS character, c.uri AS target_uri, c.sel_start_line + b.l_linenumber AS target_line, CAST(2 AS BIGINT) AS target_character
@@ -476,6 +492,33 @@ def materialize_references(g: Graph):
     return materialize.reference_edges(anchors_where(g, "true"), g.kept_nodes, g.sql(_REFS)).select("src_id", "dst_id", "site_uri", "site_start_line")
 
 
+@query("""SELECT 'definition' AS op, c.uri, c.sel_start_line AS line, c.sel_start_col AS character, CASE k.k WHEN 0 THEN c.uri ELSE concat(c.uri, '.', k.k) END AS target_uri,
+    c.range_start_line + CASE WHEN k.k = 1 THEN 7 ELSE k.k END AS target_line, CAST(k.k AS BIGINT) AS target_character, CAST(CASE WHEN c.id % 4 = 1 THEN 0 ELSE k.k END AS BIGINT) AS rank
+  FROM v_node c, (VALUES (0), (1), (2)) k(k) WHERE c.kind <> 2 AND (c.id % 4 = 0 OR (c.id % 4 = 1 AND k.k = 0) OR (c.id % 4 = 2 AND k.k < 2))""")
+def parse_locations(g: Graph):
+    """Location answers of every node as JSON: a list with links, one location alone, a short list, and one that is no JSON."""
+    n = g.nodes.where("kind != 2")
+    text = lambda c: F.col(c).cast("string")
+    span = lambda line, col: F.concat(F.lit('{"start":{"line":'), line, F.lit(',"character":'), F.lit(str(col)), F.lit('},"end":{"line":'), line, F.lit(',"character":9}}'))
+    plus = lambda k: (F.col("range_start_line") + k).cast("string")
+    plain = F.concat(F.lit('{"uri":"'), "uri", F.lit('","range":'), span(text("range_start_line"), 0), F.lit("}"))
+    link = lambda k, line: F.concat(F.lit('{"targetUri":"'), "uri", F.lit(f'.{k}","targetRange":'), span(plus(99), 50), F.lit(',"targetSelectionRange":'), span(line, k), F.lit("}"))
+    one, two = link(1, plus(7)), link(2, plus(2))
+    r = F.col("id") % 4
+    answer = F.when(r == 0, F.concat(F.lit("["), plain, F.lit(","), one, F.lit(","), two, F.lit("]"))).when(r == 1, plain).when(r == 2, F.concat(F.lit("["), plain, F.lit(","), one, F.lit("]"))).otherwise("{broken")
+    return facts.locations(n.select(F.lit("definition").alias("op"), "uri", F.col("sel_start_line").alias("line"), F.col("sel_start_col").alias("character"), answer.alias("answer")))
+
+
+@query("""SELECT uri, sel_start_line AS line, sel_start_col AS character, CASE id % 4 WHEN 0 THEN name WHEN 1 THEN concat('m ', name) ELSE concat(name, chr(10), chr(10), 'two') END AS contents FROM v_node WHERE id % 4 < 3""")
+def parse_hover(g: Graph):
+    """Hover answers of every node as JSON: a text, a text with its kind, a list of both, and null contents."""
+    r = F.col("id") % 4
+    quoted = F.concat(F.lit('"'), "name", F.lit('"'))
+    shape = F.when(r == 0, quoted).when(r == 1, F.concat(F.lit('{"kind":"markdown","value":"m '), "name", F.lit('"}'))).when(r == 2, F.concat(F.lit("["), quoted, F.lit(',"",{"language":"x","value":"two"}]'))).otherwise("null")
+    answer = F.concat(F.lit('{"contents":'), shape, F.lit("}"))
+    return facts.hover_text(g.nodes.select("uri", F.col("sel_start_line").alias("line"), F.col("sel_start_col").alias("character"), answer.alias("answer")))
+
+
 _SPAN = "named_struct('start', named_struct('line', {0}, 'character', {1}), 'end', named_struct('line', {0}, 'character', {1} + 3))"
 
 
@@ -577,10 +620,35 @@ def reconcile_full(g: Graph):
   CASE WHEN id % 10 IN (2, 3) THEN 'other' ELSE signature_hash END AS signature_hash, id % 10 <> 0 AS valid, id % 10 = 0 AS orphan FROM v_node WHERE NOT (id % 10 = 0 AND orphan)""")
 def reconcile_tables(g: Graph):
     """The nodes after all files were reconciled: names, places, hashes and states by id."""
-    old, empty = g.kept_nodes, lambda ddl: g.spark.createDataFrame([], ddl)
-    new = _new(g).join(old.select(F.col("id").alias("pos"), "is_external"), "pos").withColumn("parent_pos", F.lit(None).cast("long"))
-    nodes, *_ = reconcile.reconcile(old, empty(schema.EDGES), empty(schema.CALLEES_CACHE), empty(schema.MATERIALIZED), new, old.select("uri"))
-    return nodes.select("fqn", "id", "range_start_line", "signature_hash", "valid", "orphan")
+    return _reconciled(g)[0].select("fqn", "id", "range_start_line", "signature_hash", "valid", "orphan")
+
+
+def _reconciled(g: Graph):
+    """All tables after all files were reconciled, with edges, hashes and marks of every node before, and the members' containers as symbols' parents."""
+    old = g.kept_nodes
+    new = _new(g).join(old.select(F.col("id").alias("pos"), "is_external", "container_id"), "pos").withColumn("parent_pos", F.when(F.col("container_id") % 10 != 0, F.col("container_id"))).drop("container_id")
+    edges = g.kept_edges.withColumn("id", F.monotonically_increasing_id() + 1).select(*[c.split()[0] for c in schema.EDGES.split(", ")])
+    anchors = old.select(F.col("id").alias("anchor_id"))
+    return reconcile.reconcile(old, written(edges, "edges"), anchors.withColumn("content_hash", F.lit("h")), anchors.withColumn("edge_type", F.lit("calls")), new, old.select("uri"))
+
+
+_GONE = "(id % 10 = 0 AND orphan)"
+
+
+@query(f"""WITH gone AS (SELECT id FROM v_node WHERE {_GONE}), hit AS (SELECT id FROM v_node WHERE id % 10 IN (1, 2, 3)), link AS (SELECT container_id AS up, id FROM v_node WHERE container_id IS NOT NULL AND container_id % 10 <> 0 AND id % 10 <> 0),
+  e AS (SELECT src_id, dst_id, edge_type, valid AND src_id NOT IN (SELECT id FROM hit) AND dst_id NOT IN (SELECT id FROM hit) OR (edge_type = 'contains' AND EXISTS (SELECT 1 FROM link WHERE link.up = src_id AND link.id = dst_id)) AS valid
+    FROM v_edge WHERE src_id NOT IN (SELECT id FROM gone) AND dst_id NOT IN (SELECT id FROM gone))
+  SELECT edge_type AS what, src_id AS a, dst_id AS b, CAST(sum(CASE WHEN valid THEN 1 ELSE 0 END) AS BIGINT) AS valid, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL
+  UNION ALL SELECT 'mark', id, NULL, 1, 1 FROM v_node WHERE id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'container', id, CASE WHEN id % 10 = 0 THEN CASE WHEN container_id NOT IN (SELECT id FROM gone) THEN container_id END WHEN container_id % 10 <> 0 THEN container_id END, 1, 1 FROM v_node WHERE id NOT IN (SELECT id FROM gone)""")
+def reconcile_side_tables(g: Graph):
+    """Edges by their ends, marks, hashes (none: all files were reconciled) and containers after all files were reconciled."""
+    nodes, edges, cache, marks, _ = _reconciled(g)
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    shown = edges.groupBy(F.col("edge_type").alias("what"), F.col("src_id").alias("a"), F.col("dst_id").alias("b")).agg(F.count_if("valid").alias("valid"), F.count("*").alias("n"))
+    side = [t.select(F.lit(what).alias("what"), F.col("anchor_id").alias("a"), none.alias("b"), one.alias("valid"), one.alias("n")) for what, t in (("mark", marks), ("hash", cache))]
+    own = nodes.select(F.lit("container").alias("what"), F.col("id").alias("a"), F.col("container_id").alias("b"), one.alias("valid"), one.alias("n"))
+    return shown.unionByName(side[0]).unionByName(side[1]).unionByName(own)
 
 
 @query("""SELECT uri, CASE doc_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'skipped' WHEN 2 THEN 'new' ELSE 'changed' END AS state FROM v_text""")
@@ -696,6 +764,11 @@ def event_windows(g: Graph):
     return out.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "events")
 
 
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
+def event_seconds(g: Graph):
+    return g.table("events").select("event_id", T.epoch_seconds(F.col("ts")).alias("seconds"))
+
+
 @query("""SELECT dst_id, CAST(count(*) AS BIGINT) AS call_sites, CAST(count(DISTINCT src_id) AS BIGINT) AS callers FROM v_edge WHERE edge_type = 'calls' AND valid GROUP BY dst_id""")
 def call_frequency(g: Graph):
     return g.edges.where("edge_type = 'calls' and valid").groupBy("dst_id").agg(F.count("*").alias("call_sites"), F.countDistinct("src_id").alias("callers"))

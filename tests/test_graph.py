@@ -436,6 +436,11 @@ def test_change_stream(spark, tmp_path):
     q = changes.reconcile_stream(changes.change_stream(spark, str(src)), lambda df, _: seen.extend((r.uri, r.removed) for r in df.collect()), str(tmp_path / "cp"), None)
     q.awaitTermination(60)
     assert sorted(seen) == [("file:///r/a.py", True), ("file:///r/b.go", False)]
+    # Below a root, what its ignore rules hide does not count, in a stream too.
+    seen.clear()
+    q = changes.reconcile_stream(changes.change_stream(spark, str(src)), lambda df, _: seen.extend(r.uri for r in df.collect()), str(tmp_path / "cp2"), None, "file:///r", [("", "*.go")])
+    q.awaitTermination(60)
+    assert seen == ["file:///r/a.py"]
 
 
 def test_descendants_of_any_depth(spark):
