@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.adapters import BUILT_IN, LanguageAdapter, route_language
+from ..operators.tables import written
 from ..sources.files import discover
 
 CHANGES = "uri string, kind string, ts timestamp"
@@ -37,6 +40,63 @@ def coalesced(changes: DataFrame) -> DataFrame:
     return changes.groupBy("uri").agg(last).select("uri", (F.col("last.kind") == "remove").alias("removed"))
 
 
+class _Quiet(StatefulProcessor):
+    """A file's last change so far, let through when no other has come for a while."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts timestamp, kind string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        held = [tuple(self.last.get())] if self.last.exists() else []
+        for pdf in rows:
+            held += list(zip(pdf["ts"].dt.to_pydatetime(), pdf["kind"], strict=True))
+        # As in ``coalesced``: the latest, of those at one time the greater kind.
+        self.last.update(max(held, key=lambda x: (x[0], x[1].lower())))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        kind = self.last.get()[1]
+        self.last.clear()
+        yield pd.DataFrame({"uri": [key[0]], "removed": [kind.lower() == "remove"]})
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(changes: DataFrame, quiet_ms: int = 300) -> DataFrame:
+    """Each burst of a file's changes once, over however many batches it comes: ``(uri, removed)`` after its last change, when none has followed for ``quiet_ms``.
+
+    State is a row for each file that has changed lately, in RocksDB, with a timer each. Changes must have a time and a kind.
+    """
+    used = changes.select("uri", "ts", "kind").where("uri is not null and ts is not null and kind is not null")
+    return used.groupBy("uri").transformWithStateInPandas(_Quiet(quiet_ms), "uri string, removed boolean", "Append", "ProcessingTime")
+
+
+def reconcile_bursts(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, quiet_ms: int = 300, every: str = "100 milliseconds", root_uri: str | None = None, rules: list[tuple[str, str]] = ()):
+    """Like ``reconcile_stream``, but a file's burst of changes is one call's row even where it goes on over several batches.
+
+    The session's state store must be the RocksDB one, which this sets where nothing is set."""
+    spark = changes.sparkSession
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        # Read once: the rows of a stateful batch are not made twice.
+        files = written(df, "burst")
+        if not files.isEmpty():
+            apply(files, batch_id)
+
+    writer = debounced(relevant(changes, root_uri, rules), quiet_ms).writeStream.outputMode("append").foreachBatch(batch)
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def reconcile_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "300 milliseconds", root_uri: str | None = None, rules: list[tuple[str, str]] = ()):
     """Runs ``apply(files, batch_id)`` on each batch's coalesced files. The trigger interval is the debounce; None drains what is there and stops."""
 

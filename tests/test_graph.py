@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -443,6 +444,31 @@ def test_change_stream(spark, tmp_path):
     assert seen == ["file:///r/a.py"]
 
 
+def test_a_burst_over_batches_is_one_change(spark, tmp_path):
+    from sorrel.streaming import changes
+
+    src = tmp_path / "in"
+    src.mkdir()
+    seen, batches = [], []
+    stream = changes.change_stream(spark, str(src), 1)
+    q = changes.reconcile_bursts(stream, lambda df, b: (batches.append(b), seen.extend((r.uri, r.removed) for r in df.collect())), str(tmp_path / "cp"), quiet_ms=12000, every="200 milliseconds")
+    try:
+        for k, kind in enumerate(("create", "remove", "modify")):
+            rows = [{"uri": "file:///r/a.py", "kind": kind, "ts": f"2024-01-01T00:00:0{k}Z"}] + ([{"uri": "file:///r/b.py", "kind": "Remove", "ts": "2024-01-01T00:00:00Z"}] if k == 0 else [])
+            (src / f".{k}").write_text("\n".join(map(json.dumps, rows)))
+            (src / f".{k}").rename(src / f"{k}.json")
+            time.sleep(2)
+        end = time.time() + 90
+        while time.time() < end and len({u for u, _ in seen}) < 2:
+            time.sleep(0.5)
+        time.sleep(2)
+        took = [p["batchId"] for p in q.recentProgress if p["numInputRows"]]
+    finally:
+        q.stop()
+    assert sorted(seen) == [("file:///r/a.py", False), ("file:///r/b.py", True)]
+    assert len(took) == 3, "the three changes came in batches of their own"
+
+
 def test_descendants_of_any_depth(spark):
     from sorrel.operators import paths
 
