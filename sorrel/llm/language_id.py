@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import materialize, small_batches, table
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -138,19 +138,20 @@ def _windows(texts: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(cut), np.uint8).reshape(-1, WINDOW)
 
 
-def train(labelled: DataFrame, per_lang: int = 1500, per_doc: int = 4, max_langs: int = 200, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
-    """Fit a network on a bounded sample: at most ``per_lang`` rows of each of the ``max_langs`` most
-    frequent languages and about ``max_rows`` in all, shared evenly among these, ``per_doc`` windows of each. Rows with a null language or without a letter teach
+def train(labelled: DataFrame, per_lang: int = 1500, per_doc: int = 4, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
+    """Fit a network on a bounded sample of rows with labels: at most ``per_lang`` of each language, and of all together about ``max_rows``, shared evenly among them, or one of
+    each where there are more languages; ``per_doc`` windows of each row. Every language that has a text is learned. Rows with a null language or without a letter teach
     nothing; None if no row is left. The sample is by a hash of the id, so it is the same on every run.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
+    sizes = materialize(labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count(), "languages")
+    n = sizes.count()
+    if not n:
         return None
-    per_lang = max(1, min(per_lang, max_rows // len(sizes)))
-    odds = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))])
+    per_lang = max(1, min(per_lang, max_rows // n))
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
-    picked = usable.withColumn("draw", draw).where(F.col("draw") <= odds[F.col("lang")])
+    odds = sizes.select("lang", F.least(F.lit(1.0), F.lit(1.5 * per_lang) / F.col("count")).alias("odds"))
+    picked = usable.withColumn("draw", draw).join(odds, "lang").where("draw <= odds")
     room = F.greatest(F.length("text") - WINDOW + 1, F.lit(1)).cast("long")
     cuts = F.array(*[F.substring("text", (1 + F.pmod(F.xxhash64("id", F.lit(i)), room)).cast("int"), F.lit(WINDOW)) for i in range(per_doc)])
     ranked = picked.select("id", "lang", "draw", cuts.alias("cuts")).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).where(F.col("at") <= per_lang)

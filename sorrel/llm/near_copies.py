@@ -10,8 +10,8 @@ Pairs are compared in three passes. First each row meets a centre of its key (ho
 its salt, and these the key's). Once the links found are components, each row of a key meets the one of another
 component whose minima agree with its own most, among up to ``HELD`` rows of the key; in keys of more rows that is
 repeated with others until a round finds no link. These two passes only make components large early, whatever they miss. The last takes every key that still has rows of
-different components, and compares all pairs of such rows of which ``LIKELY`` of the minima agree, so that no such pair of a key is left out: the rows outside the key's largest component
-meet all its rows, in tiles of bounded size. Whole texts are read only for pairs that are compared.
+different components, and compares all pairs of such rows that may be similar, so that none of a key is left out: the rows outside the key's largest component
+meet all its rows, in tiles of bounded size, where a pair goes on if ``LIKELY`` of its minima agree and the sets' ``LOWEST`` least hashes (all of them in small sets) allow the similarity. Whole texts are read only for pairs that are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BANDS, DEPTH = 24, 4
 #: Minima of which must agree, of all, for a pair to be compared again: five deviations below what similarity 0.8 gives.
 LIKELY = 0.6
 HELD, SALTS, HOT = 2048, 1024, 1 << 16
+#: Hashes of a set by which pairs are screened once more: all of a set of fewer, else a sample.
+LOWEST = 256
 #: Ids that are broadcast at most, at 8 bytes each; more are joined by a shuffle.
 BROADCAST = 1 << 20
 #: Bytes of a text that are cut into words at a time: a bound on memory for very long ones.
@@ -172,33 +174,68 @@ def _next_pairs(slots: DataFrame, counts: DataFrame, turn: int) -> DataFrame:
     return dealt.select(F.xxhash64("key", "salt").alias("key"), "uid", "root", "minima").mapInArrow(likeliest, "a long, b long")
 
 
-def meet(batches):
-    """Arrow batches of ``(tile, side, uid, root, minima)``, sorted by tile and side, to pairs ``(a, b)`` of different roots that ``LIKELY`` minima of agree: each row of side 1 with those of side 0 in its tile."""
-    tile, uid, root, sig = None, *(np.zeros(0, np.int64),) * 2, np.zeros((0, BANDS * DEPTH), np.uint8)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t, side, u, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        m = _bytes(batch.column(4))
-        bounds = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (side[1:] != side[:-1])) + 1, [len(t)]])
-        pairs = [(u[:0], u[:0])]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if t[lo] != tile:
-                tile, uid, root, sig = t[lo], u[:0], r[:0], m[:0]
-            if side[lo] == 0:
-                uid, root, sig = np.concatenate([uid, u[lo:hi]]), np.concatenate([root, r[lo:hi]]), np.concatenate([sig, m[lo:hi]])
-                continue
-            step = max(1, (1 << 22) // max(1, len(uid) * BANDS * DEPTH))
-            for at in range(lo, hi, step):
-                end = min(hi, at + step)
-                agree = (m[at:end][:, None] == sig[None]).sum(2, dtype=np.int16)
-                x, y = np.nonzero((agree >= LIKELY * BANDS * DEPTH) & (r[at:end][:, None] != root[None]))
-                pairs.append((u[at:end][x], uid[y]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in pairs])) for i in range(2)], ["a", "b"])
+def lowest(hashes: np.ndarray) -> np.ndarray:
+    """The least ``LOWEST`` hashes of a sorted set, of 32 bits each: a sample of it, or all of a small set."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:LOWEST]
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets may have that similarity, by their least hashes: exactly but for two elements where these are all, else within five deviations."""
+    ends = [x[-1] for x in (a, b) if len(x) == LOWEST]
+    if ends:
+        # Up to here both samples are whole.
+        a, b = a[a <= min(ends)], b[b <= min(ends)]
+    at = np.searchsorted(b, a)
+    both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)) if len(b) else 0
+    union, p = len(a) + len(b) - both, percent / 100
+    slack = 5 * (p * (1 - p) * max(union, 1)) ** 0.5 if ends else 2
+    return both + slack >= p * union
 
 
-def _last_pairs(rooted: DataFrame) -> DataFrame:
-    """All likely pairs of different roots that share a key, of rows ``(uid, keys, root, minima)``.
+def _meet(percent: int, covers: int):
+    """Arrow batches of ``(tile, place, side, uid, root, minima, low)``, sorted by tile and side, to pairs ``(a, b)`` of different roots: each row of side 1 with those of side 0 in its tile.
+
+    ``LIKELY`` of a pair's minima agree, and by their least hashes the sets may be similar. ``place`` is that of the tile's key among a row's keys: a pair that shares several bands
+    comes from the first of them alone.
+    """
+
+    def meet(batches):
+        tile, uid, root, sig, low = None, *(np.zeros(0, np.int64),) * 2, np.zeros((0, BANDS * DEPTH), np.uint8), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, place, side, u, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            m, own = _bytes(batch.column(5)), batch.column(6)
+            bounds = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (side[1:] != side[:-1])) + 1, [len(t)]])
+            pairs = [(u[:0], u[:0])]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if t[lo] != tile:
+                    tile, uid, root, sig, low = t[lo], u[:0], r[:0], m[:0], []
+                if side[lo] == 0:
+                    uid, root, sig = np.concatenate([uid, u[lo:hi]]), np.concatenate([root, r[lo:hi]]), np.concatenate([sig, m[lo:hi]])
+                    low += [np.frombuffer(own[int(k)].as_py(), np.uint32) for k in range(lo, hi)]
+                    continue
+                step = max(1, (1 << 22) // max(1, len(uid) * BANDS * DEPTH))
+                for at in range(lo, hi, step):
+                    end = min(hi, at + step)
+                    agree = (m[at:end][:, None] == sig[None]).sum(2, dtype=np.int16)
+                    x, y = np.nonzero((agree >= LIKELY * BANDS * DEPTH) & (r[at:end][:, None] != root[None]))
+                    if not len(x):
+                        continue
+                    bands = (m[at + x] == sig[y]).reshape(-1, BANDS, DEPTH).all(2)
+                    first = np.where(bands.any(1), bands.argmax(1), -1)
+                    here = first == place[lo] - covers if place[lo] >= covers else first < 0
+                    x, y = x[here], y[here]
+                    held = {k: np.frombuffer(own[int(at + k)].as_py(), np.uint32) for k in set(x.tolist())}
+                    near = np.fromiter((may_be_similar(held[i], low[j], percent) for i, j in zip(x.tolist(), y.tolist(), strict=True)), bool, len(x))
+                    pairs.append((u[at + x[near]], uid[y[near]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in pairs])) for i in range(2)], ["a", "b"])
+
+    return meet
+
+
+def _last_pairs(rooted: DataFrame, texts: DataFrame, percent: int, width: int, radius: int) -> DataFrame:
+    """All pairs of different roots that share a key and may be similar, of rows ``(uid, keys, root, minima)`` with ``texts (uid, text)``.
 
     A key's smaller components, dealt to blocks of about ``HELD`` rows, meet all its rows, dealt to parts of about ``HOT``; each block and part are a tile.
     """
@@ -206,17 +243,26 @@ def _last_pairs(rooted: DataFrame) -> DataFrame:
     mixed = slots.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     mixed = materialize(mixed, "mixed")
     few = mixed.count() <= BROADCAST
-    held = F.broadcast(mixed) if few else mixed.hint("merge")
-    sizes = slots.join(held, "key").groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    inside = materialize(slots.join(F.broadcast(mixed) if few else mixed.hint("merge"), "key"), "inside")
+    sizes = inside.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
     blocks, parts = F.ceil((F.col("n") - F.col("most.n")) / HELD), F.ceil(F.col("n") / HOT)
     plan = materialize(sizes.select("key", F.col("most.root").alias("largest"), blocks.alias("blocks"), parts.alias("parts")), "tiles")
-    own = rooted.select("uid", "root", "minima", F.explode("keys").alias("key")).join(F.broadcast(plan) if few else plan.hint("merge"), "key")
+
+    def sample(batches):
+        for batch in batches:
+            low = [lowest(shingles(t.as_py(), width)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["uid", "low"])
+
+    # Only rows of these keys are read again.
+    members = materialize(inside.select("uid").distinct(), "members")
+    lows = materialize(_where_in(texts, members, "left_semi").select("uid", "text").mapInArrow(sample, "uid long, low binary"), "lows")
+    own = rooted.join(lows.hint("merge"), "uid").select("uid", "root", "minima", "low", F.posexplode("keys").alias("place", "key")).join(F.broadcast(plan) if few else plan.hint("merge"), "key")
     draw, upto = F.xxhash64("uid", F.lit(11)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     small = own.where("root != largest").withColumn("block", F.pmod(draw, "blocks")).withColumn("part", upto("parts")).withColumn("side", F.lit(0))
     every = own.withColumn("part", F.pmod(draw, "parts")).withColumn("block", upto("blocks")).withColumn("side", F.lit(1))
-    columns = [F.xxhash64("key", "block", "part").alias("tile"), "side", "uid", "root", "minima"]
+    columns = [F.xxhash64("key", "block", "part").alias("tile"), "place", "side", "uid", "root", "minima", "low"]
     dealt = small.select(*columns).unionByName(every.select(*columns)).repartition("tile").sortWithinPartitions("tile", "side", "uid")
-    return dealt.mapInArrow(meet, "a long, b long")
+    return dealt.mapInArrow(_meet(percent, len(_masks(radius))), "a long, b long")
 
 
 def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +329,7 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, radius: int
         links = links.unionAll(more)
 
     rooted = near.select("uid", "keys", "minima").join(groups.hint("merge"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    rest = materialize(_oriented(_last_pairs(rooted)).join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(_oriented(_last_pairs(rooted, near.select("uid", "text"), percent, width, radius)).join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     more = linked(rest)
     if not more.isEmpty():
         groups = materialize(connected_components(links.unionAll(more)).withColumnRenamed("node", "uid"), "groups")

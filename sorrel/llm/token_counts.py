@@ -67,16 +67,22 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     chosen = rows.alias("r").join(misses.alias("m"), (F.col("r.digest") == F.col("m.digest")) & F.col("r.id").eqNullSafe(F.col("m.first_id")), "left_semi")
 
     def encode(batches):
-        count = _counter(model_path)
+        count, last = _counter(model_path), {}
         for batch in batches:
-            counts = [count(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
-
-    fresh = chosen.select("digest", "text").mapInArrow(encode, "digest string, n_tokens long")
+            # Rows that repeat an id, or have none, may bring one text again: a batch's texts, and the last batch's, are encoded once.
+            got = {}
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest not in got and digest not in last:
+                    got[digest] = count(text.as_py())
+            last = got
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["digest", "n_tokens"])
+
+    # One row a content is appended, wherever it was encoded.
+    fresh = chosen.select("digest", "text").mapInArrow(encode, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.select(F.lit(marker).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == marker)
-    # An id that occurs twice with one text, or two jobs that append at once, may store a digest twice.
+    # Two jobs that append at once may store a digest twice.
     counts = materialize(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

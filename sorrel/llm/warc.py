@@ -48,11 +48,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    # Payloads of one SHA-1 may be made to differ: equal ones share their SHA-256 too.
+    rows = rows.withColumn("digest", base32_sha1("payload")).withColumn("n", F.octet_length("payload").cast("long")).withColumn("strong", F.sha2("payload", 256))
     # Only payloads that occur more than once matter here. The table is written first, so that its size is
     # known: small, it is broadcast and payloads are not shuffled; large, both sides are.
-    repeated = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = rows.join(materialize(repeated, "repeated"), ["digest", "n"], "left")
+    repeated = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n", "strong").agg(F.max("id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    joined = rows.join(materialize(repeated, "repeated"), ["digest", "n", "strong"], "left")
     refers = F.when(~F.col("id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     name = lambda c: F.concat(F.lit(f"<{ID}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     n = F.col("n").cast("string")

@@ -109,6 +109,19 @@ def test_near_stage_loses_no_link_of_families_without_a_hub(spark, monkeypatch):
     assert {r.doc_id for r in near_copies.near_copies(docs).collect()} == want
 
 
+def test_the_screen_lets_all_similar_pairs_through():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 40, 200, 255, 256, 300, 3000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            kept = a[rng.random(len(a)) < rng.uniform(0.75, 1)]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, int(n * rng.uniform(0, 0.2)), np.uint64)]))
+            if len(b) and near_copies.similar(a, b, 80):
+                assert near_copies.may_be_similar(near_copies.lowest(a), near_copies.lowest(b), 80)
+    far = [np.unique(rng.integers(0, 1 << 64, 100, np.uint64)) for _ in range(2)]
+    assert not near_copies.may_be_similar(*map(near_copies.lowest, far), 80)
+
+
 def test_near_stage_keeps_one_row_of_a_group(spark):
     rows = [(None, "a b c d", "en", "s", 7), (None, "A b c d", "en", "s", 7), (5, "a b c d", None, None, None), (5, "a b c d", "en", "s", 7), (None, "e f", "en", "s", 3), (None, "e f", "en", "s", 3), (7, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -45,6 +45,7 @@ def test_token_counts_match_the_library_and_fill_the_cache(spark, docs, model):
     want = [(i, len((t or "").encode()), count(t or ""), count(t or "") > 100) for i, t, *_ in AWKWARD]
     assert key(map(tuple, token_counts.count_tokens(docs, path, cache, 100).collect())) == key(want)
     stored = spark.read.parquet(cache).count()
+    assert stored == len({t or "" for _, t, *_ in AWKWARD}), "one row a content, without ids and with repeated ones too"
     assert key(map(tuple, token_counts.count_tokens(docs, path, cache, 100).collect())) == key(want)
     assert spark.read.parquet(cache).count() == stored, "a second run encodes nothing"
     assert token_counts.count_tokens(docs.limit(0), path, cache).count() == 0
