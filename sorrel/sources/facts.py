@@ -22,34 +22,40 @@ def count_failures(answers: DataFrame, column: str) -> DataFrame:
     return answers.agg(F.count("*").alias("files_seen"), F.count_if(bad).alias("fetch_errors"))
 
 
+# Each symbol with its place in depth-first order, eight digits a level, and its full name; an empty module path leaves its dot.
+_UNFOLD = """
+WITH RECURSIVE symbols AS (
+  SELECT uri, CAST(NULL AS STRING) AS parent_path, lpad(CAST(e.pos AS STRING), 8, '0') AS path, concat(prefix, '.', coalesce(try_variant_get(e.value, '$.name', 'string'), '')) AS fqn, e.value
+  FROM {trees} t, LATERAL variant_explode(t.tree) e
+  UNION ALL
+  SELECT uri, s.path, concat(s.path, lpad(CAST(e.pos AS STRING), 8, '0')), concat(s.fqn, '.', coalesce(try_variant_get(e.value, '$.name', 'string'), '')), e.value
+  FROM symbols s, LATERAL variant_explode(try_variant_get(s.value, '$.children', 'variant')) e
+) SELECT * FROM symbols"""
+#: Settings that bound a recursive query's levels and rows; trees have any depth and number.
+_BOUNDS = ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit")
+
+
 def flatten_symbols(answers: DataFrame, root_uri: str) -> DataFrame:
     """Flat rows of documentSymbol trees ``(uri, symbols)`` with a module root for each file, parents before children.
 
-    One explode and one written table per level of the deepest tree, however deep; ``path`` numbers give each row its place in depth-first order.
+    One recursive query over all trees, however deep, and one written table; ``path`` numbers give each row its place in depth-first order.
     """
-    tree = answers.select("uri", F.expr("try_parse_json(symbols)").alias("tree"))
-    module = T.module_path(F.col("uri"), root_uri)
+    spark, module = answers.sparkSession, T.module_path(F.col("uri"), root_uri)
+    trees = answers.select("uri", module.alias("prefix"), F.expr("try_parse_json(symbols)").alias("tree"))
     get = lambda path, kind: F.expr(f"try_variant_get(value, '$.{path}', '{kind}')")
-
-    def unfold(level: DataFrame) -> DataFrame:
-        return level.sparkSession.sql("select uri, prefix, path, pos, value from {level}, lateral variant_explode(tree)", level=level)
-
-    level, rows = tree.select("uri", "tree", module.alias("prefix"), F.lit("").alias("path")), None
-    while True:
-        flat = written(unfold(level), "level")
-        if rows is not None and flat.isEmpty():
-            break
-        name = get("name", "string")
-        # An empty module path leaves its dot.
-        fqn = F.concat("prefix", F.lit("."), F.coalesce(name, F.lit("")))
-        place = F.concat("path", F.lpad(F.col("pos").cast("string"), 8, "0"))
-        bounds = []
-        for ours, theirs in (("range", "range"), ("sel", "selectionRange")):
-            for end in ("start", "end"):
-                bounds += [get(f"{theirs}.{end}.line", "bigint").alias(f"{ours}_{end}_line"), get(f"{theirs}.{end}.character", "bigint").alias(f"{ours}_{end}_col")]
-        here = flat.select("uri", place.alias("path"), F.nullif("path", F.lit("")).alias("parent_path"), fqn.alias("fqn"), name.alias("name"), get("kind", "bigint").alias("kind"), get("detail", "string").alias("detail"), *bounds)
-        rows = here if rows is None else rows.unionByName(here)
-        level = flat.select("uri", F.expr("try_variant_get(value, '$.children', 'variant')").alias("tree"), fqn.alias("prefix"), place.alias("path")).where("tree is not null")
+    bounds = []
+    for ours, theirs in (("range", "range"), ("sel", "selectionRange")):
+        for end in ("start", "end"):
+            bounds += [get(f"{theirs}.{end}.line", "bigint").alias(f"{ours}_{end}_line"), get(f"{theirs}.{end}.character", "bigint").alias(f"{ours}_{end}_col")]
+    before = {k: spark.conf.get(k) for k in _BOUNDS}
+    try:
+        for k in _BOUNDS:
+            spark.conf.set(k, "-1")
+        rows = spark.sql(_UNFOLD, trees=trees)
+        rows = written(rows.select("uri", "path", "parent_path", "fqn", get("name", "string").alias("name"), get("kind", "bigint").alias("kind"), get("detail", "string").alias("detail"), *bounds), "symbols")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     zero, end, none = F.lit(0).cast("long"), F.lit(END), F.lit(None).cast("string")
     root = answers.select(
         "uri", F.lit("").alias("path"), none.alias("parent_path"), module.alias("fqn"), T.leaf(module).alias("name"), F.lit(2).cast("long").alias("kind"), none.alias("detail"),
