@@ -1,7 +1,8 @@
 """The graph's tables in place, dealt to hash buckets of their keys, so that a merge rewrites what it touches.
 
 A table is a folder with a partition ``bucket=n`` for each bucket, written by dynamic partition overwrite. Unlike snapshots these tables
-have one version; a merge that dies may have replaced some of its buckets, and repeating it gives the same tables.
+have one version; a merge that dies may have replaced some of its buckets, and repeating it gives the same tables. Reconciling files, which may not be
+repeated, is first written as a change beside the tables, which counts from one rename on; whoever opens the tables next puts in place what is left of it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import schema
+from .reconcile import reconcile
 from .store import PHYSICAL_KEY, merge_keyed, merge_nodes, merged_edges, top_id
 from .tables import written
 
@@ -63,10 +65,81 @@ class GraphTables:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         table = lambda name, ddl, *keys: BucketTable(spark, f"{path}/{name}", ddl, list(keys), buckets)
-        self.spark = spark
+        self.spark, self.path = spark, path.rstrip("/")
         self.nodes, self.edges = table("nodes", schema.NODES, "fqn"), table("edges", schema.EDGES, "src_id")
         self.cache, self.marks = table("callees_cache", schema.CALLEES_CACHE, "anchor_id"), table("materialized", schema.MATERIALIZED, "anchor_id")
         self.meta = table("index_meta", schema.META, "key")
+        self._fs = self.nodes._fs
+        self.recover()
+
+    def _parts(self) -> dict[str, tuple[BucketTable, list[str]]]:
+        """Each table with the columns that tell its rows apart."""
+        return {"nodes": (self.nodes, ["id"]), "edges": (self.edges, ["id"]), "callees_cache": (self.cache, ["anchor_id"]), "materialized": (self.marks, ["anchor_id", "edge_type"]), "index_meta": (self.meta, ["key"])}
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def setting(self, key: str) -> str | None:
+        """A setting's value, None where there is none."""
+        asked = self.spark.createDataFrame([(key,)], "key string")
+        row = self.meta.read(self.meta.buckets_of(asked)).where(F.col("key") == key).first()
+        return row and row["value"]
+
+    def change(self, before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[str, list[int]]:
+        """Replace rows ``before`` by ``after``, by tables' names, as one change; the buckets of each table that were rewritten.
+
+        Rows that are the same in both are left alone. A run that dies before the change is whole leaves the tables as they were; after that the change is
+        finished by ``recover``, as often as it takes.
+        """
+        self._fs.delete(self._at("_draft"), True)
+        for name, (table, _) in self._parts().items():
+            none = self.spark.createDataFrame([], table.ddl)
+            old, new = (side.get(name, none).select(*table.columns) for side in (before, after))
+            both = old.withColumn("_n", F.lit(-1)).unionByName(new.withColumn("_n", F.lit(1)))
+            rows = both.groupBy(*table.columns).agg(F.sum("_n").alias("_n")).where("_n != 0").withColumn("_new", F.col("_n") > 0).drop("_n")
+            rows.write.parquet(f"{self.path}/_draft/{name}")
+        if not self._fs.rename(self._at("_draft"), self._at("_change")):
+            raise OSError(f"a change of {self.path} could not be put in place")
+        return self.recover()
+
+    def recover(self) -> dict[str, list[int]]:
+        """Put a whole change in place, if there is one. Parts of it may be in place already: the result is the same."""
+        if not self._fs.exists(self._at("_change")):
+            return {}
+        touched = {}
+        for name, (table, key) in self._parts().items():
+            rows = self.spark.read.schema(f"{table.ddl}, _new boolean").parquet(f"{self.path}/_change/{name}")
+            # Old rows and new: a row may go from one bucket to another.
+            touched[name] = table.buckets_of(rows)
+            kept = table.read(touched[name]).join(rows.select(*key).distinct(), key, "left_anti").select(*table.columns)
+            table.replace(kept.unionByName(rows.where("_new").select(*table.columns)), touched[name])
+        self._fs.delete(self._at("_change"), True)
+        return touched
+
+    def reconcile(self, symbols: DataFrame, uris: DataFrame, settings: dict[str, str] | None = None) -> dict[str, list[int]]:
+        """``reconcile.reconcile`` of the files ``(uri)`` on the rows that they touch, as one change that also puts ``settings``; the buckets that were rewritten.
+
+        Looked at are the files' nodes, those with the symbols' names, the children of both, and what hangs on both: edges from them by bucket, edges to them by
+        a scan. All else, and so the cost of joins and writes, depends on the files alone.
+        """
+        uris = written(uris.select("uri").distinct(), "uris")
+        symbols = symbols.join(uris, "uri", "left_semi")
+        of_files = self.nodes.read().join(uris, "uri", "left_semi").select(*self.nodes.columns)
+        named = self.nodes.read(self.nodes.buckets_of(symbols)).join(symbols.select("fqn").distinct(), "fqn", "left_semi").select(*self.nodes.columns)
+        own = written(of_files.unionByName(named).dropDuplicates(["id"]), "own")
+        ids = own.select("id")
+        met = lambda rows, column: rows.join(ids.withColumnRenamed("id", column), column, "left_semi").select(*rows.columns)
+        nodes = written(own.unionByName(met(self.nodes.read(), "container_id")).dropDuplicates(["id"]), "nodes")
+        edges = written(met(self.edges.read(self.edges.buckets_of(ids, "id")), "src_id").unionByName(met(self.edges.read(), "dst_id")).dropDuplicates(["id"]), "edges")
+        cache, marks = (written(met(t.read(t.buckets_of(ids, "id")), "anchor_id"), "side") for t in (self.cache, self.marks))
+        last = self.last(0), self.last(1)
+        new_nodes, new_edges, new_cache, new_marks, _ = reconcile(nodes, edges, cache, marks, symbols, uris, last)
+        new_nodes, new_edges = written(new_nodes, "nodes"), written(new_edges, "edges")
+        told = dict(zip(self.LAST, (str(top_id(t, n)) for t, n in zip((new_nodes, new_edges), last, strict=True)), strict=True)) | (settings or {})
+        put = self.spark.createDataFrame(list(told.items()), schema.META)
+        had = self.meta.read(self.meta.buckets_of(put)).join(put.select("key"), "key", "left_semi")
+        before = {"nodes": nodes, "edges": edges, "callees_cache": cache, "materialized": marks, "index_meta": had}
+        return self.change(before, {"nodes": new_nodes, "edges": new_edges, "callees_cache": new_cache, "materialized": new_marks, "index_meta": put})
 
     def last(self, which: int) -> int:
         """The greatest id of nodes (0) or edges (1) that was ever given out, as stored; the table's own before the first merge."""

@@ -165,18 +165,22 @@ def with_places(flat: DataFrame) -> DataFrame:
     return placed.join(up, ["uri", "parent_path"], "left").drop("path", "parent_path")
 
 
-def reconcile_answers(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, files: DataFrame, answers: DataFrame, root_uri: str, last: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """``reconcile`` for changed files ``(uri, removed)`` from their captured answers ``(uri, symbols)``.
+def answered(files: DataFrame, answers: DataFrame, root_uri: str) -> tuple[DataFrame, DataFrame]:
+    """The symbols, and the files ``(uri)`` to reconcile by them, of changed files ``(uri, removed)`` and their captured answers ``(uri, symbols)``.
 
-    A removed file loses its symbols; one whose answer is missing or broken is left as it is.
+    A removed file has no symbols; one whose answer is missing or broken is not to be reconciled.
     """
     from ..sources import facts
     from .tables import written
 
     good = answers.join(files.where("not removed").select("uri").distinct(), "uri", "left_semi").where("try_parse_json(symbols) is not null")
     symbols = written(with_places(facts.index_symbols(facts.flatten_symbols(good, root_uri), root_uri)), "symbols")
-    uris = good.select("uri").unionByName(files.where("removed").select("uri")).distinct()
-    return reconcile(nodes, edges, cache, marks, symbols, uris, last)
+    return symbols, good.select("uri").unionByName(files.where("removed").select("uri")).distinct()
+
+
+def reconcile_answers(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, files: DataFrame, answers: DataFrame, root_uri: str, last: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``reconcile`` for what is ``answered`` of changed files."""
+    return reconcile(nodes, edges, cache, marks, *answered(files, answers, root_uri), last)
 
 
 def catch_up(uris: DataFrame, attempt: Callable[[DataFrame], DataFrame], retries: int = 5, delay: float = 2.0) -> DataFrame:

@@ -616,20 +616,43 @@ def reconcile_full(g: Graph):
     return reconcile.outcome(reconcile.plan_reconcile(g.kept(_OLD), _new(g)))
 
 
-@query("""SELECT CASE WHEN id % 10 = 1 THEN concat(fqn, '_new') ELSE fqn END AS fqn, id, CASE WHEN id % 10 = 2 THEN range_start_line + 2 ELSE range_start_line END AS range_start_line,
-  CASE WHEN id % 10 IN (2, 3) THEN 'other' ELSE signature_hash END AS signature_hash, id % 10 <> 0 AS valid, id % 10 = 0 AS orphan FROM v_node WHERE NOT (id % 10 = 0 AND orphan)""")
+_TABLES = """SELECT CASE WHEN id % 10 = 1 THEN concat(fqn, '_new') ELSE fqn END AS fqn, id, CASE WHEN id % 10 = 2 THEN range_start_line + 2 ELSE range_start_line END AS range_start_line,
+  CASE WHEN id % 10 IN (2, 3) THEN 'other' ELSE signature_hash END AS signature_hash, id % 10 <> 0 AS valid, id % 10 = 0 AS orphan FROM v_node WHERE NOT (id % 10 = 0 AND orphan)"""
+
+
+@query(_TABLES)
 def reconcile_tables(g: Graph):
     """The nodes after all files were reconciled: names, places, hashes and states by id."""
     return _reconciled(g)[0].select("fqn", "id", "range_start_line", "signature_hash", "valid", "orphan")
 
 
-def _reconciled(g: Graph):
-    """All tables after all files were reconciled, with edges, hashes and marks of every node before, and the members' containers as symbols' parents."""
+def _to_reconcile(g: Graph) -> tuple[DataFrame, ...]:
+    """Nodes, edges, hashes and marks of every node before, and the symbols of all files, the members' containers being symbols' parents."""
     old = g.kept_nodes
     new = _new(g).join(old.select(F.col("id").alias("pos"), "is_external", "container_id"), "pos").withColumn("parent_pos", F.when(F.col("container_id") % 10 != 0, F.col("container_id"))).drop("container_id")
     edges = g.kept_edges.withColumn("id", F.monotonically_increasing_id() + 1).select(*[c.split()[0] for c in schema.EDGES.split(", ")])
     anchors = old.select(F.col("id").alias("anchor_id"))
-    return reconcile.reconcile(old, written(edges, "edges"), anchors.withColumn("content_hash", F.lit("h")), anchors.withColumn("edge_type", F.lit("calls")), new, old.select("uri"))
+    return old, written(edges, "edges"), anchors.withColumn("content_hash", F.lit("h")), anchors.withColumn("edge_type", F.lit("calls")), new
+
+
+def _reconciled(g: Graph):
+    """All tables after all files were reconciled."""
+    old, edges, cache, marks, new = _to_reconcile(g)
+    return reconcile.reconcile(old, edges, cache, marks, new, old.select("uri"))
+
+
+@query(_TABLES)
+def reconcile_in_place(g: Graph):
+    """The nodes as in ``reconcile_tables``, by two changes to tables in place, each of half of the files."""
+    old, edges, cache, marks, new = _to_reconcile(g)
+    tables = GraphTables(g.spark, fresh_path(g.spark, "tables"), 16)
+    for table, rows in ((tables.nodes, old), (tables.edges, edges), (tables.cache, cache), (tables.marks, marks)):
+        table.replace(rows, list(range(table.n)))
+    new = written(new, "symbols")
+    half = F.pmod(F.xxhash64("uri"), F.lit(2))
+    for which in range(2):
+        tables.reconcile(new, old.where(half == which).select("uri"))
+    return tables.nodes.read().select("fqn", "id", "range_start_line", "signature_hash", "valid", "orphan")
 
 
 _GONE = "(id % 10 = 0 AND orphan)"

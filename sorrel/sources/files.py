@@ -20,14 +20,47 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace("path", "^file:/+", "file:///").alias("uri"), F.decode("content", "UTF-8").alias("text"))
 
 
-def ignore_rules(root: str) -> list[tuple[str, str]]:
-    """The ``(folder, pattern)`` pairs of all ignore files below a local root, in order."""
+#: Begins the folder of a rule from above the root; the root's own path as seen from the rule's folder follows.
+ABOVE = ">"
+
+
+def _lines(path: Path) -> list[str]:
+    """An ignore file's patterns; a blank at the end counts only behind a backslash."""
+    lines = path.read_text(errors="replace").splitlines() if path.is_file() else []
+    return [re.sub(r"(?<!\\)\s+$", "", line) for line in lines if line.strip() and not line.startswith("#")]
+
+
+def global_ignore_file() -> Path:
+    """The user's ignore file for all repositories: ``core.excludesFile`` of the user's settings, else the usual place."""
+    home = Path.home()
+    settings = Path(os.environ.get("XDG_CONFIG_HOME") or home / ".config") / "git"
+    for config in (home / ".gitconfig", settings / "config"):
+        if config.is_file():
+            named = re.findall(r"(?ims)^\[core\](?:(?!^\[).)*?^\s*excludesfile\s*=\s*\"?([^\"\n]+)", config.read_text(errors="replace"))
+            if named:
+                return Path(named[-1].strip()).expanduser()
+    return settings / "ignore"
+
+
+def ignore_rules(root: str, global_file: Path | str | None = None) -> list[tuple[str, str]]:
+    """The ``(folder, pattern)`` pairs of all that has a say below a local root, the weakest first.
+
+    These are the user's global file and the repository's ``info/exclude``, where the root is in a repository, then ``.gitignore`` of the folders between the repository's top and the
+    root and of those below it, then ``.ignore`` of the same. Outside a repository, too, ``.gitignore`` files below the root count. ``global_file`` names another global file than the user's.
+    """
+    top = Path(root).resolve()
+    repository = next((p for p in (top, *top.parents) if (p / ".git").exists()), None)
+    above = list(reversed(top.parents)) if repository is None else [p for p in reversed(top.parents) if p == repository or repository in p.parents]
+    seen_from = lambda folder: f"{ABOVE}{top.relative_to(folder)}" if folder != top else ""
     out = []
-    for folder, _, names in os.walk(root):
-        if ".gitignore" in names:
-            rel = os.path.relpath(folder, root)
-            lines = Path(folder, ".gitignore").read_text(errors="replace").splitlines()
-            out += [("" if rel == "." else rel, line.rstrip()) for line in lines if line.strip() and not line.startswith("#")]
+    if repository is not None:
+        exclude = _lines(repository / ".git" / "info" / "exclude")
+        out = [("", line) for line in _lines(Path(global_file) if global_file else global_ignore_file())] + [(seen_from(repository), line) for line in exclude]
+    below = [(os.path.relpath(folder, top), Path(folder), names) for folder, _, names in os.walk(top) if {".gitignore", ".ignore"} & set(names)]
+    for name in (".gitignore", ".ignore"):
+        if repository is not None or name == ".ignore":
+            out += [(seen_from(folder), line) for folder in above for line in _lines(folder / name)]
+        out += [("" if rel == "." else rel, line) for rel, folder, names in below if name in names for line in _lines(folder / name)]
     return out
 
 
@@ -61,9 +94,12 @@ def ignored(rel: str, rules: list[tuple[str, str]]) -> bool:
     for depth in range(1, len(parts) + 1):
         path, verdict = "/".join(parts[:depth]), False
         for folder, rule in rules:
-            if folder and not path.startswith(folder + "/"):
+            if folder.startswith(ABOVE):
+                under = f"{folder.removeprefix(ABOVE)}/{path}"
+            elif folder and not path.startswith(folder + "/"):
                 continue
-            under = path[len(folder) + 1 :] if folder else path
+            else:
+                under = path[len(folder) + 1 :] if folder else path
             keep, pattern = rule.startswith("!"), rule.removeprefix("!")
             if pattern.endswith("/"):
                 if depth == len(parts):

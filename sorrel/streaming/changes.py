@@ -123,6 +123,24 @@ def reconciler(store, fetch: Callable[[DataFrame], DataFrame], root_uri: str) ->
     return apply
 
 
+def table_reconciler(tables, fetch: Callable[[DataFrame], DataFrame], root_uri: str, name: str = "changes") -> Callable[[DataFrame, int], None]:
+    """Like ``reconciler`` on ``GraphTables`` in place: what a batch costs to write depends on its files, not on the graph.
+
+    The stream's last batch is kept under its ``name`` with the tables, in the same change: a batch that comes again after a failure, which
+    would count as a second miss of its symbols, is left out.
+    """
+    from ..operators.reconcile import answered
+
+    key = f"stream_batch:{name}"
+
+    def apply(files: DataFrame, batch_id: int) -> None:
+        if int(tables.setting(key) or -1) < batch_id:
+            symbols, uris = answered(files, fetch(files.where("not removed")), root_uri)
+            tables.reconcile(symbols, uris, {key: str(batch_id)})
+
+    return apply
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str, lateness: str) -> DataFrame:
     """Events by key in tumbling windows, late ones dropped behind the watermark; an extension for runtime call events."""
     return events.withWatermark(ts, lateness).groupBy(F.window(ts, width).alias("window"), key).agg(F.count("*").alias("events"))

@@ -379,6 +379,27 @@ def test_ignore_patterns(rule, hits):
     assert {p for p in ("src/a.py", "b.py", "src/x/b.py", "src/x/c.py") if files.ignored(p, [("", rule)])} == hits
 
 
+def test_all_ignore_files_have_a_say(tmp_path, monkeypatch):
+    repo, root = tmp_path / "repo", tmp_path / "repo" / "pkg"
+    (root / "in").mkdir(parents=True)
+    (repo / ".git" / "info").mkdir(parents=True)
+    (tmp_path / "home").mkdir()
+    (tmp_path / "home" / ".gitconfig").write_text("[user]\n\tname = x\n[core]\n\texcludesFile = ~/all\n")
+    (tmp_path / "home" / "all").write_text("*.glob.py\n")
+    (tmp_path / ".gitignore").write_text("*.py\n")
+    (repo / ".git" / "info" / "exclude").write_text("/pkg/excl.py\n*.both.py\n")
+    (repo / ".gitignore").write_text("/pkg/up.py\n/x.py\n!back.glob.py\n")
+    (root / ".gitignore").write_text("!a.both.py\nown.py\nin/seen.py\n")
+    (root / "in" / ".ignore").write_text("!seen.py\nlast.py  \n")
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    rules = files.ignore_rules(str(root))
+    hit = ["g.glob.py", "excl.py", "b.both.py", "up.py", "own.py", "in/last.py", "in/own.py"]
+    kept = ["back.glob.py", "a.both.py", "x.py", "in/excl.py", "in/up.py", "in/seen.py", "last.py"]
+    assert [p for p in hit + kept if files.ignored(p, rules)] == hit
+    assert not files.ignored("b.glob.py", files.ignore_rules(str(root), tmp_path / "none"))
+
+
 def test_interface_dispatch_and_fallback(spark):
     ts = {"language": "typescript"}
     nodes = frame(spark, [node(1, "m.caller", 0, 3, **ts), node(2, "m.I", 10, 20, node_kind="Interface", **ts), node(3, "m.I.go", 11, 12, container_id=2, **ts), node(4, "m.C.go", 30, 33, **ts), node(5, "m.plain", 40, 42, **ts)])

@@ -115,3 +115,99 @@ def test_a_start_that_dies_leaves_all_as_it_was(spark, tmp_path, monkeypatch):
     states, _ = reconcile.start_up(st, back, fetch, "file:///repo", retries=0, delay=0)
     assert asked == [[u("e"), u("gone")]]
     assert {r.uri: r.state for r in states.collect()} == {u("a"): "unchanged", u("b"): "removed", u("e"): "held", u("gone"): "committed", "file:///repo/no.txt": "unsupported"}
+
+
+def flat(pos, fqn, line, uri, parent=None, kind=12, hash_="new"):
+    return (uri, pos, parent, fqn, fqn.rpartition(".")[2], kind, None, line, 0, line + 1, 0, line, 4, line, 10, "Function", "python", False, hash_)
+
+
+SYMBOLS = schema.FLAT_SYMBOL + ", node_kind string, language string, is_external boolean, signature_hash string"
+
+
+def filled(spark, path, nodes, edges, cache, marks, buckets=8):
+    g = GraphTables(spark, path, buckets)
+    for t, rows in ((g.nodes, nodes), (g.edges, edges), (g.cache, cache), (g.marks, marks)):
+        t.replace(rows, list(range(buckets)))
+    return g
+
+
+def state(g):
+    return [sorted(map(str, t.read().collect())) for t in (g.nodes, g.edges, g.cache, g.marks)]
+
+
+def case(spark):
+    u = "file:///repo/{}.py".format
+    rows = [
+        node(1, "m", 0, 90), node(2, "m.f", 1, 2, container_id=1), node(3, "m.g", 4, 5, container_id=1), node(4, "m.gone", 7, 8, container_id=1, orphan=True, valid=False),
+        node(5, "x.moved", 0, 1, uri=u("x")), node(6, "x.k", 3, 4, uri=u("x"), container_id=4), node(7, "y.h", 0, 1, uri=u("y")), node(8, "m.old", 20, 21, container_id=1),
+    ]
+    edges = [edge(1, 7, 2), edge(2, 2, 3), edge(3, 4, 7), edge(4, 7, 4), edge(5, 6, 5), edge(6, 7, 6, "references"), edge(7, 1, 2, "contains")]
+    new = [flat(0, "m", 0, u("m")), flat(1, "m.f", 1, u("m"), 0), flat(2, "m.g", 5, u("m"), 0, hash_="h3"), flat(3, "m.new", 20, u("m"), 0), flat(4, "m.f.in", 2, u("m"), 1, 13), flat(5, "x.moved", 60, u("m"), 0)]
+    ids = range(1, 9)
+    side = spark.createDataFrame([(i, "h") for i in ids], schema.CALLEES_CACHE), spark.createDataFrame([(i, "calls") for i in ids], schema.MATERIALIZED)
+    return frame(spark, rows), edges_of(spark, edges), *side, spark.createDataFrame(new, SYMBOLS), spark.createDataFrame([(u("m"),)], "uri string")
+
+
+def test_files_are_reconciled_in_place_as_in_whole_tables(spark, tmp_path):
+    *tables, symbols, uris = case(spark)
+    g = filled(spark, f"file://{tmp_path}/g", *tables, buckets=16)
+    before = files_of(g.nodes), files_of(g.edges)
+    touched = g.reconcile(symbols, uris, {"mine": "1"})
+    whole = reconcile.reconcile(*tables, symbols, uris)
+    assert state(g) == [sorted(map(str, t.select(*s.columns).collect())) for t, s in zip(whole, (g.nodes, g.edges, g.cache, g.marks))]
+    assert {(r.id, r.fqn) for r in g.nodes.read().collect()} == {(1, "m"), (2, "m.f"), (3, "m.g"), (5, "x.moved"), (6, "x.k"), (7, "y.h"), (8, "m.new"), (9, "m.f.in")}
+    for t, old, name in ((g.nodes, before[0], "nodes"), (g.edges, before[1], "edges")):
+        now = files_of(t)
+        assert {d for d in {*old, *now} if old.get(d) != now.get(d)} <= {f"bucket={b}" for b in touched[name]} and len(touched[name]) < 16
+    assert (g.last(0), g.setting("mine"), g.setting("none")) == (9, "1", None)
+    # Rows that stay as they are, are not written again.
+    again = g.reconcile(symbols.where("false"), uris.where("false"))
+    assert again["nodes"] == again["edges"] == again["materialized"] == []
+
+
+def test_a_change_that_dies_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    nodes, edges, cache, marks, _, _ = case(spark)
+    g = filled(spark, f"file://{tmp_path}/g", nodes, edges, cache, marks, 4)
+    before = {"nodes": nodes.where("id in (2, 3)"), "edges": edges.where("id = 2"), "materialized": marks.where("anchor_id = 2")}
+    after = {"nodes": nodes.where("id = 3").withColumn("fqn", F.lit("m.renamed")), "edges": edges.where("id = 2").withColumn("valid", F.lit(False)), "callees_cache": cache.where("anchor_id = 1").withColumn("content_hash", F.lit("n"))}
+    old, calls, replace = state(g), [], BucketTable.replace
+    # Before the change is whole nothing is changed ...
+    with monkeypatch.context() as m:
+        m.setattr(g, "_fs", type("Broken", (), {"delete": lambda *a: None, "rename": lambda *a: False})())
+        with pytest.raises(OSError):
+            g.change(before, after)
+    assert state(g) == old
+
+    def dies(self, rows, buckets):
+        calls.append(self)
+        replace(self, rows, buckets)
+        if len(calls) == 2:
+            raise OSError("killed")
+
+    # ... and after that it is finished by whoever opens the tables next.
+    with monkeypatch.context() as m:
+        m.setattr(BucketTable, "replace", dies)
+        with pytest.raises(OSError):
+            g.change(before, after)
+    assert os.path.exists(f"{tmp_path}/g/_change")
+    g = GraphTables(spark, f"file://{tmp_path}/g", 4)
+    assert {(r.id, r.fqn) for r in g.nodes.read().where("id in (1, 2, 3)").collect()} == {(1, "m"), (3, "m.renamed")} and g.nodes.read().count() == 7
+    assert {(r.id, r.valid) for r in g.edges.read().collect()} == {(i, i != 2) for i in range(1, 8)}
+    assert {r.anchor_id for r in g.marks.read().collect()} == {1, 3, 4, 5, 6, 7, 8} and {(r.anchor_id, r.content_hash) for r in g.cache.read().collect()} == {(i, "n" if i == 1 else "h") for i in range(1, 9)}
+    assert not os.path.exists(f"{tmp_path}/g/_change")
+
+
+def test_a_batch_that_comes_again_is_left_out(spark, tmp_path):
+    from sorrel.streaming import changes
+
+    *tables, _, _ = case(spark)
+    g = filled(spark, f"file://{tmp_path}/g", *tables)
+    files = spark.createDataFrame([("file:///repo/x.py", True)], "uri string, removed boolean")
+    apply = changes.table_reconciler(g, lambda files: files.select("uri", F.lit("[]").alias("symbols")), "file:///repo")
+    orphans = lambda: {r.id for r in g.nodes.read().where("orphan").collect()}
+    apply(files, 0)
+    assert orphans() == {4, 5, 6}
+    apply(files, 0)
+    assert orphans() == {4, 5, 6}, "a second miss would remove them"
+    apply(files, 1)
+    assert orphans() == {4} and g.setting("stream_batch:changes") == "1"
