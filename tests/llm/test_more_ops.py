@@ -171,10 +171,17 @@ LINKED = [
     (16, "http://bad.net/y/z", '<link rel=s href=/s.css><link data-rel=canonical rel=icon href="http://other.com/"><link rel="nofollow Canonical" href="http://e.com/p/./q/../r">'),
     (17, "http://e.com/p/r", ""), (18, "http://e.com/k/l", '<meta http-equiv=refresh content=5><META http-equiv="refresh" content="0;url=../../../p/x/.."><link rel=canonical><link rel=canonical href=..>'),
     (19, "http://e.com/p/", "<link rel='canonical' href='http://bad.net/w?a/../b'>"), (20, "http://e.com/", ""), (21, "http://e.com/k/", ""), (22, "http://long.com" + "/a" * 500, "<link rel=canonical href=../b>"),
+    # A page's own url is folded too, and one blocked as it stands passes that on.
+    (23, "http://h.com/x/../b", ""), (24, "http://h.com/q", "<link rel=canonical href='http://h.com/b'>"), (25, "http://bad.net/k", "<link rel=canonical href='http://h.com/b'>"),
+    (32, "http://example.com/de/../z", ""), (33, "http://h.com/z", "<link rel=canonical href='http://example.com/z'>"), (34, "http://example.com/z", ""),
+    (26, "http://h.com/m.html", "<link rel=canonical href='?p=2'>"), (27, "http://h.com/m.html?p=2", ""), (28, "http://bad.net/j", "<link rel=canonical href='http://h.com/m.html'>"),
+    (29, "http://h.com/s", "<link rel=canonical href='javascript:void(0)'>"), (30, "http://bad.net/l", "<link rel=canonical href='http://h.com/javascript:void(0)'>"),
+    (31, "http://h.com/t", "<link rel=canonical href='go?u=http://bad.net/x'>"), (35, "http://h.com/f", "<link rel=canonical href='#http://bad.net/x'>"), (36, "http://" + "a." * 3000 + "net/", ""),
 ]
 # 11 and 12 have an empty path, which does not start with the rule's "/".
 VERDICTS = {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "allow", 10: "allow", 11: "allow", 12: "allow", 13: "allow", 14: "allow", 15: "allow"}
 VERDICTS |= {16: "block", 17: "block", 18: "block", 19: "block", 20: "block", 21: "allow", 22: "allow"}
+VERDICTS |= dict.fromkeys((23, 24, 25, 26, 27, 28, 30, 32, 33, 34, 36), "block") | dict.fromkeys((29, 31, 35), "allow")
 
 
 def test_dot_segments():
