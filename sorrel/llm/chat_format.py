@@ -136,6 +136,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     one result; null roles and texts count as empty, null turns come first, null ids are one
     conversation, repeated rows are turns of their own; an empty table gives none. Rows come out
     partitioned and sorted by (id, place); no conversation is gathered in memory.
+    Other columns, whatever their names, are not read and not returned.
     """
     spark = turns.sparkSession
     small_batches(spark, rows=2048, mb=32)
@@ -166,7 +167,7 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Digests of each conversation, read from the formatted bytes and the mask alone.
 
     Takes the rows of ``format_conversations`` as they come, streaming: a conversation of any length
-    passes through a running digest. Returns ``(id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    passes through a running digest. Rows in any other order give wrong digests. Returns ``(id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars)``; characters are code points.
     """
     kind = formatted.schema[id_col].dataType.simpleString()

@@ -163,6 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, eos: int = 0,
     queue named ``""``; repeated rows are packed each; null ids stay null; an empty table gives none.
     Returns ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``. The last sequence alone
     may be short: it is padded to ``window`` unless its length is a power of two.
+    Other columns, whatever their names, are not read and not returned.
     """
     tokens = tokenize(docs, tokenizer_path, eos, id_col, text_col, source_col)
     # A queue is its source's rows, partition by partition; the driver gets a row for each source.

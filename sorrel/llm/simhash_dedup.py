@@ -180,6 +180,7 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str
     at most ``radius`` bits. ``component_id`` is the smallest id reachable over links. Null and word-less
     texts have fingerprint zero, which links like any other. Null ids take part but are never a
     component's id unless it has no other; repeated rows stay rows; an empty table gives none.
+    Other columns, whatever their names, are not read and not returned.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -183,7 +183,8 @@ def read_archives(spark: SparkSession, path: str, whole: bool = False) -> DataFr
 
     Ids are those of ``write_archives`` as text. A response whose payload does not have the digest that it
     declares is an error. Of a damaged file the records before the damage are returned; if archives must be
-    ``whole``, a file whose chain of records does not reach its end is an error instead.
+    ``whole``, a file whose chain of records does not reach its end is an error instead. Header fields
+    other than those returned are left alone.
     """
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
