@@ -1,6 +1,7 @@
 """Operators on hand-made graphs."""
 
 import json
+import os
 import random
 import time
 
@@ -497,3 +498,34 @@ def test_descendants_of_any_depth(spark):
     assert {tuple(r) for r in paths.descendants(chain).collect()} == {(a, b, b - a) for b in range(36) for a in range(b)}
     with pytest.raises(ValueError, match="contains itself"):
         paths.descendants(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "id long, container_id long"))
+
+
+def test_edges_of_repeated_and_missing_keys_equal_the_view(spark, sf, tmp_path):
+    """Lines, orders, customers and suppliers that come twice, some with another file, and keys that are null or match nothing."""
+    from sorrel.plans.projection import Graph
+
+    for name in ("region", "nation", "part", "documents", "pages"):
+        os.symlink(f"{sf}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    lines = read("lineitem").where("l_orderkey < 300")
+    other = lines.withColumn("l_returnflag", F.lit("A")).withColumn("l_partkey", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey") + 1).otherwise(F.col("l_partkey")))
+    null = lines.withColumn("l_suppkey", F.when(F.col("l_orderkey") % 3 == 0, F.lit(None)).otherwise(F.lit(999999)).cast(lines.schema["l_suppkey"].dataType))
+    lines.unionByName(other).unionByName(null).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders, buyers, sellers, events = read("orders"), read("customer"), read("supplier"), read("events").limit(300)
+    orders.unionByName(orders.where("o_orderkey % 5 = 0")).unionByName(orders.where("o_orderkey % 5 = 1").withColumn("o_custkey", F.col("o_custkey") + 1)).write.parquet(f"{tmp_path}/orders.parquet")
+    for df, key, nation, name in ((buyers, "c_custkey", "c_nationkey", "customer"), (sellers, "s_suppkey", "s_nationkey", "supplier")):
+        lost = df.where(f"{key} % 7 != 0").unionByName(df.where(f"{key} % 7 = 0").withColumn(nation, F.lit(99).cast(df.schema[nation].dataType)))
+        lost.unionByName(df.where(f"{key} % 4 = 0")).unionByName(df.where(f"{key} % 4 = 1").withColumn(nation, (F.col(nation) + 1).cast(df.schema[nation].dataType))).write.parquet(f"{tmp_path}/{name}.parquet")
+    events.unionByName(events.limit(50)).write.parquet(f"{tmp_path}/events.parquet")
+    g = Graph(spark, str(tmp_path))
+    raw = g.sql("SELECT r.src_id, r.dst_id, r.edge_type, n.uri AS site_uri, r.site_start_line, r.site_start_col, r.valid FROM v_edge_raw r JOIN v_node n ON n.id = r.src_id")
+    for mine, view in ((g.edges, g.sql("SELECT * FROM v_edge")), (g.raw_edges, raw)):
+        assert mine.columns == view.columns and view.count() > 1000
+        assert mine.exceptAll(view).isEmpty() and view.exceptAll(mine).isEmpty()
+
+
+def test_edges_are_not_shuffled_by_their_keys(spark, sf):
+    from sorrel.plans.projection import Graph
+
+    plan = Graph(spark, sf).edges._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "edge_type" in x and "dst_id" in x and "l_orderkey" in x]
