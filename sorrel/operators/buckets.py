@@ -1,30 +1,52 @@
 """The graph's tables in place, dealt to hash buckets of their keys, so that a merge rewrites what it touches.
 
-A table is a folder with a partition ``bucket=n`` for each bucket, written by dynamic partition overwrite. Unlike snapshots these tables
+A table is a folder with a partition ``bucket=n`` for each bucket, written beside the table and then moved into it. Unlike snapshots these tables
 have one version; a merge that dies may have replaced some of its buckets, and repeating it gives the same tables. Reconciling files, which may not be
 repeated, is first written as a change beside the tables, which counts from one rename on; whoever opens the tables next puts in place what is left of it.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import schema
 from .reconcile import reconcile
 from .store import PHYSICAL_KEY, merge_keyed, merge_nodes, merged_edges, top_id
-from .tables import written
+from .tables import scratch, written
+
+
+def cleared(f: Callable) -> Callable:
+    """A method whose intermediate tables go when it is done, as it stores its results in place."""
+
+    @wraps(f)
+    def run(self, *args, **kwargs):
+        with scratch(self.spark):
+            return f(self, *args, **kwargs)
+
+    return run
 
 
 class BucketTable:
     """One table of schema ``ddl``, dealt by a hash of ``keys`` to so many buckets."""
 
+    #: Tasks that may write one bucket.
+    PARTS = 64
+
     def __init__(self, spark: SparkSession, path: str, ddl: str, keys: list[str], buckets: int = 64):
         self.spark, self.path, self.ddl, self.keys, self.n = spark, path.rstrip("/"), ddl, keys, buckets
         self.columns = [c.split()[0] for c in ddl.split(", ")]
         self._top = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._top.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._top)
+        # A run that died while it moved buckets has left the others beside the table.
+        for f in self._fs.listStatus(self._top):
+            if f.getPath().getName().startswith("_fresh-") and self._fs.exists(self._at(f"{f.getPath()}/_SUCCESS")):
+                self._put(str(f.getPath().toString()))
 
     def bucket(self, *columns: str) -> Column:
         """The bucket of rows whose keys stand in ``columns``."""
@@ -43,15 +65,28 @@ class BucketTable:
         """Put ``rows`` in the place of all rows of ``buckets``; files of other buckets stay as they are."""
         if not buckets:
             return
-        # What is read from the table is written elsewhere before its files go.
-        new = written(rows.select(*self.columns, self.bucket().alias("bucket")), "replaced")
-        full = {r[0] for r in new.select("bucket").distinct().collect()}
-        new.repartition("bucket").sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-        # A bucket without rows has no partition to overwrite its files.
-        for b in set(buckets) - full:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}"), True)
+        # What is read from the table is written beside it before its files go. A bucket's rows are dealt to several tasks, by their keys.
+        fresh, part = f"{self.path}/_fresh-{uuid.uuid4().hex}", F.pmod(F.shiftright(F.xxhash64(*self.keys), 16), F.lit(self.PARTS))
+        dealt = rows.select(*self.columns, self.bucket().alias("bucket")).repartition("bucket", part)
+        dealt.sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket").parquet(fresh)
+        for b in set(buckets) - self._put(fresh):
+            # A bucket without rows has no files to come.
+            self._fs.delete(self._at(f"{self.path}/bucket={b}"), True)
         self.spark.catalog.refreshByPath(self.path)
 
+    def _put(self, fresh: str) -> set[int]:
+        """Move the buckets of a folder that is whole into their places, and say which."""
+        found = {int(f.getPath().getName().removeprefix("bucket=")): f.getPath() for f in self._fs.listStatus(self._at(fresh)) if f.isDirectory()}
+        for b, rows in found.items():
+            self._fs.delete(self._at(f"{self.path}/bucket={b}"), True)
+            if not self._fs.rename(rows, self._at(f"{self.path}/bucket={b}")):
+                raise OSError(f"bucket {b} of {self.path} could not be put in place")
+        self._fs.delete(self._at(fresh), True)
+        return set(found)
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def merge(self, batch: DataFrame) -> None:
         """Rows of ``batch`` replace those with the same keys; they must be unique by them."""
         touched = self.buckets_of(batch)
@@ -116,11 +151,12 @@ class GraphTables:
         self._fs.delete(self._at("_change"), True)
         return touched
 
+    @cleared
     def reconcile(self, symbols: DataFrame, uris: DataFrame, settings: dict[str, str] | None = None) -> dict[str, list[int]]:
         """``reconcile.reconcile`` of the files ``(uri)`` on the rows that they touch, as one change that also puts ``settings``; the buckets that were rewritten.
 
-        Looked at are the files' nodes, those with the symbols' names, the children of both, and what hangs on both: edges from them by bucket, edges to them by
-        a scan. All else, and so the cost of joins and writes, depends on the files alone.
+        Looked at are the files' nodes, those with the symbols' names, the children of both, and what hangs on both: edges from them and to them
+        by one scan. All else, and so the cost of joins and writes, depends on the files alone.
         """
         uris = written(uris.select("uri").distinct(), "uris")
         symbols = symbols.join(uris, "uri", "left_semi")
@@ -130,7 +166,9 @@ class GraphTables:
         ids = own.select("id")
         met = lambda rows, column: rows.join(ids.withColumnRenamed("id", column), column, "left_semi").select(*rows.columns)
         nodes = written(own.unionByName(met(self.nodes.read(), "container_id")).dropDuplicates(["id"]), "nodes")
-        edges = written(met(self.edges.read(self.edges.buckets_of(ids, "id")), "src_id").unionByName(met(self.edges.read(), "dst_id")).dropDuplicates(["id"]), "edges")
+        ends = [ids.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")) for c in ("src_id", "dst_id")]
+        edges = self.edges.read().join(ends[0], "src_id", "left").join(ends[1], "dst_id", "left").where("_src_id or _dst_id")
+        edges = written(edges.select(*self.edges.columns), "edges")
         cache, marks = (written(met(t.read(t.buckets_of(ids, "id")), "anchor_id"), "side") for t in (self.cache, self.marks))
         last = self.last(0), self.last(1)
         new_nodes, new_edges, new_cache, new_marks, _ = reconcile(nodes, edges, cache, marks, symbols, uris, last)
@@ -153,6 +191,7 @@ class GraphTables:
         """Stored before rows with new ids are, so that a run which dies in between wastes ids and gives none twice."""
         self.meta.merge(self._setting(which, top_id(changed, self.last(which))))
 
+    @cleared
     def upsert_edges(self, batch: DataFrame) -> list[int]:
         """``store.upsert_edges`` on the sources' buckets alone, which it returns."""
         batch = written(batch, "batch")
@@ -163,6 +202,7 @@ class GraphTables:
         self.edges.replace(held.join(changed.select("id"), "id", "left_anti").select(*self.edges.columns).unionByName(changed), touched)
         return touched
 
+    @cleared
     def upsert_nodes(self, batch: DataFrame, order: str = "id") -> list[int]:
         """``store.upsert_nodes`` on the buckets of old and new names, which it returns; rows that go are deleted with what hangs on them.
 
@@ -182,6 +222,7 @@ class GraphTables:
         self.nodes.replace(kept.unionByName(changed), touched)
         return touched
 
+    @cleared
     def delete_nodes(self, gone: DataFrame) -> None:
         """Nodes ``(id)`` go with their edges, hashes and marks; children lose their container. Each table's touched buckets are rewritten."""
         ids = written(gone.select("id").distinct(), "gone")

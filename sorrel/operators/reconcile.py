@@ -106,7 +106,7 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     whose name or place some node has takes its id. Old rows that a symbol takes over so are neither orphaned nor deleted; one whose place goes to
     another name's row is deleted. New ids follow ``last``, the greatest of nodes and edges so far. Returns nodes, edges, cache, marks and the plan.
     """
-    from .store import PHYSICAL_KEY, delete_nodes, drop_callee_hashes, invalidate_incident, upsert_edges, upsert_nodes
+    from .store import PHYSICAL_KEY, delete_nodes, drop_callee_hashes, top_id, upsert_edges, upsert_nodes
     from .tables import written
 
     touched = uris.select("uri").distinct()
@@ -147,15 +147,27 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     placed = ids.select("id").distinct().join(latest, "id", "left").withColumn("_seen", F.lit(True))
     out = out.join(placed, "id", "left").withColumn("container_id", F.when(F.col("_seen"), F.col("_container")).otherwise(F.col("container_id"))).select(*nodes.columns)
 
-    edges = invalidate_incident(edges, plan.where("changed").select(F.col("old_id").alias("id")))
     none = F.lit(None)
     contains = linked.select(
         none.cast("long").alias("id"), F.col("_container").alias("src_id"), F.col("id").alias("dst_id"), F.lit("contains").alias("edge_type"), none.cast("string").alias("site_uri"),
         *[none.cast("long").alias(c) for c in ("site_start_line", "site_start_col", "site_end_line", "site_end_col")], F.lit(True).alias("valid"),
     ).where("src_id != dst_id")
-    edges = upsert_edges(edges, contains.select(*edges.columns), last[1])
     dead = plan.where("action = 'deleted'").select(F.col("old_id").alias("id")).join(numbered.select("id"), "id", "left_anti").unionByName(displaced)
-    return *delete_nodes(out, edges, cache, marks, dead), plan
+    dead = written(dead.distinct(), "dead")
+    top = top_id(edges, last[1])
+    # Edges meet what is said of their ends once at each end; those of containment alone meet the new ones.
+    said = plan.where("changed").select(F.col("old_id").alias("id"), F.lit(False).alias("dead")).unionByName(dead.withColumn("dead", F.lit(True))).groupBy("id").agg(F.max("dead").alias("dead"))
+    met = edges
+    for end, flag in (("src_id", "_src"), ("dst_id", "_dst")):
+        met = met.join(said.select(F.col("id").alias(end), F.col("dead").alias(flag)), end, "left")
+    met = met.where("not coalesce(_src, false) and not coalesce(_dst, false)")
+    met = written(met.withColumn("valid", F.col("valid") & F.col("_src").isNull() & F.col("_dst").isNull()).select(*edges.columns), "met")
+    for end in ("src_id", "dst_id"):
+        contains = contains.join(dead.withColumnRenamed("id", end), end, "left_anti")
+    held = F.col("edge_type") == "contains"
+    edges = met.where(~held | held.isNull()).unionByName(upsert_edges(met.where(held), contains.select(*edges.columns), top))
+    out, _, cache, marks = delete_nodes(out, met.limit(0), cache, marks, dead)
+    return out, edges, cache, marks, plan
 
 
 def with_places(flat: DataFrame) -> DataFrame:

@@ -211,3 +211,50 @@ def test_a_batch_that_comes_again_is_left_out(spark, tmp_path):
     assert orphans() == {4, 5, 6}, "a second miss would remove them"
     apply(files, 1)
     assert orphans() == {4} and g.setting("stream_batch:changes") == "1"
+
+
+def test_a_bucket_is_moved_by_whoever_opens_next(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    t = BucketTable(spark, path, schema.META, ["key"], 4)
+    rows = spark.createDataFrame([(f"k{i}", "old") for i in range(40)], schema.META)
+    t.replace(rows, list(range(4)))
+    moved = []
+
+    class Dies:
+        def __getattr__(self, name):
+            if name == "rename" and moved:
+                raise OSError("killed")
+            moved.extend([1] if name == "rename" else [])
+            return getattr(BucketTable(spark, f"file://{tmp_path}/u", schema.META, ["key"], 4)._fs, name)
+
+    t._fs = Dies()
+    with pytest.raises(OSError):
+        t.replace(rows.withColumn("value", F.lit("new")), list(range(4)))
+    assert {r.value for r in BucketTable(spark, path, schema.META, ["key"], 4).read().collect()} == {"new"}
+    assert BucketTable(spark, path, schema.META, ["key"], 4).read().count() == 40
+    assert not [f for f in os.listdir(f"{tmp_path}/t") if f.startswith("_fresh")]
+
+
+def test_a_bucket_has_many_writers(spark, tmp_path):
+    """One task a bucket would sort a share of the table that grows with it."""
+    t = BucketTable(spark, f"file://{tmp_path}/t", schema.META, ["key"], 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t.replace(spark.range(1000).selectExpr("cast(id AS string) AS key", "'v' AS value"), [0])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len([f for f in os.listdir(f"{tmp_path}/t/bucket=0") if f.endswith(".parquet")]) > 1
+    assert t.read().count() == 1000
+
+
+def test_changes_in_place_leave_no_scratch(spark, tmp_path, monkeypatch):
+    from sorrel.operators import tables
+
+    top = tmp_path / "shared"
+    nodes, edges, cache, marks, new, uris = case(spark)
+    g = filled(spark, f"file://{tmp_path}/g", nodes, edges, cache, marks)
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{top}")
+    g.reconcile(new, uris)
+    g.upsert_edges(edges_of(spark, [edge(0, 2, 3, "inherits")]))
+    g.delete_nodes(spark.createDataFrame([(3,)], "id long"))
+    assert not [f for f in os.listdir(top) if f.startswith("sorrel-")]
