@@ -435,6 +435,22 @@ def test_grouping_keeps_sites_in_order(spark, chain):
     assert got == {1: [3, 9], 4: []}
 
 
+def test_neighbours_join_the_grouped_sites(spark):
+    """The same rows as grouping the joined sites, for neighbours that share a sort key too; nodes' names are not grouped with each site."""
+    rng = random.Random(7)
+    nodes = frame(spark, [node(i, f"a.f{i % 23}", i % 2, 9, language=rng.choice(["go", "python"]), valid=i % 9 != 0, is_external=i % 7 == 0) for i in range(60)])
+    rows = [edge(i, rng.randrange(60), rng.randrange(8), line=rng.randrange(5), valid=rng.random() < 0.9, uri=rng.choice(["file:///b", "file:///a", None])) for i in range(900)]
+    edges, anchors = edges_of(spark, rows), spark.createDataFrame([(i,) for i in range(1, 9)], "anchor_id long")
+    for incoming in (True, False):
+        for shown in (symbols.NodeFilter(), symbols.NodeFilter("go", include_external=True)):
+            got = relations.related(anchors, edges, nodes, "calls", incoming, shown)
+            want = relations.group_by_node(relations.neighbors(anchors, edges, shown.apply(nodes), "calls", incoming))
+            assert got.columns == want.columns and got.count() > 5
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "fqn" in line and "site_uri" in line]
+
+
 def test_discovery_and_confinement(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("out/\n*.gen.py\n!keep.gen.py\n# note\n")
     for name in ("a.py", "b.txt", "out/c.py", ".hid/d.py", "sub/e.GO", "x.gen.py", "keep.gen.py"):
