@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.schema import END
+from .tables import written
 
 
-#: Level of a span that crosses line 0; all such are one block.
+#: Level of a span that crosses line 0, or nearly all lines; all such are one block.
 TOP = 64
+#: So many halvings make a level: a point meets that many fewer levels, and in each block up to 2^BAND spans more.
+BAND = 4
 
 
 def _block(line: str) -> Column:
@@ -19,8 +22,8 @@ def _block(line: str) -> Column:
 def innermost(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each distinct ``(uri, line, character)`` the innermost node around it: the point with ``node_id``.
 
-    A span lies in one block: of the halvings of a file's lines, the smallest that holds it whole. A point looks into its own block on each
-    level that spans of its file have (65 at most), so it meets nested spans around a block's middle and not all of its file's; the containment is the
+    A span lies in one block: of every fourth of the halvings of a file's lines, the smallest that holds it whole. A point looks into its own block on each
+    level that spans of its file have (16 at most), so it meets nested spans around a block's middle and not all of its file's; the containment is the
     residual of that equi-join. Then the least span in one map-side combined aggregate; ties go to the smaller id. Points in no node, and nulls in a
     position or a span, are dropped.
     """
@@ -30,7 +33,7 @@ def innermost(points: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     spans = nodes.select("uri", "id", "range_start_line", "range_start_col", "range_end_line", "range_end_col").dropna()
     crossed = F.bin(F.col("range_start_line").cast("long").bitwiseXOR(F.col("range_end_line").cast("long")))
-    spans = spans.withColumn("level", F.when(crossed == "0", 0).otherwise(F.length(crossed))).withColumn("block", _block("range_start_line"))
+    spans = spans.withColumn("level", (F.ceil(F.length(crossed) / BAND) * BAND).cast("int")).withColumn("block", _block("range_start_line"))
     levels = spans.select("uri", "level").distinct()
     asked = points.select("uri", "line", "character").dropna().distinct().join(levels, "uri").withColumn("block", _block("line"))
     joined = asked.join(spans, ["uri", "level", "block"]).where(inside)
@@ -57,6 +60,8 @@ def find_definition(requests: DataFrame, facts: DataFrame, nodes: DataFrame) ->
     rank = F.coalesce("rank", F.lit(0)) if "rank" in facts.columns else F.lit(0)
     asked = facts.where("op = 'definition'").join(requests.select("uri", "line", "character").distinct(), ["uri", "line", "character"])
     targets = asked.select("uri", "line", "character", rank.cast("long").alias("rank"), F.col("target_uri").alias("t_uri"), F.col("target_line").alias("t_line"), F.col("target_character").alias("t_character"))
+    # Read twice, by different columns: unwritten, the facts would be shuffled for each.
+    targets = written(targets, "targets")
     found = innermost(targets.select(F.col("t_uri").alias("uri"), F.col("t_line").alias("line"), F.col("t_character").alias("character")), nodes)
     named = found.select(F.col("uri").alias("t_uri"), F.col("line").alias("t_line"), F.col("character").alias("t_character"), "node_id")
     return targets.join(named, ["t_uri", "t_line", "t_character"]).select("uri", "line", "character", "rank", "node_id").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .locate import innermost
+from .tables import written
 
 
 def _edge(src, dst, kind: str, uri, start_line, start_col, end_line, end_col):
@@ -24,7 +25,8 @@ def _anchor_points(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
 def reference_edges(anchors: DataFrame, nodes: DataFrame, locations: DataFrame) -> DataFrame:
     """New ``references`` edges: from the innermost symbol around each referring place to the anchor."""
     facts = locations.where("op = 'references'").select(F.col("uri").alias("a_uri"), F.col("line").alias("a_line"), F.col("character").alias("a_char"), F.col("target_uri").alias("uri"), F.col("target_line").alias("line"), F.col("target_character").alias("character"))
-    places = _anchor_points(anchors, nodes).join(facts, ["a_uri", "a_line", "a_char"])
+    # Read twice, by different columns: unwritten, the facts would be shuffled for each.
+    places = written(_anchor_points(anchors, nodes).join(facts, ["a_uri", "a_line", "a_char"]).select("anchor_id", "uri", "line", "character"), "places")
     found = places.join(innermost(places, nodes), ["uri", "line", "character"])
     return found.select(*_edge(F.col("node_id"), F.col("anchor_id"), "references", F.col("uri"), F.col("line"), F.col("character"), F.col("line"), F.col("character"))).distinct()
 
@@ -39,7 +41,9 @@ def call_edges(anchors: DataFrame, nodes: DataFrame, calls: DataFrame, direction
     """
     calls = calls.where(F.col("direction") == direction)
     facts = (first_items(calls) if "item_rank" in calls.columns else calls).select(F.col("anchor_uri").alias("a_uri"), F.col("anchor_line").alias("a_line"), F.col("anchor_character").alias("a_char"), "item_uri", "item_line", "item_character", "item_end_line", "item_end_character", F.explode("from_ranges").alias("site"))
+    # Read twice, by different columns: unwritten, the facts would be shuffled for each.
     sites = _anchor_points(anchors, nodes).join(facts, ["a_uri", "a_line", "a_char"])
+    sites = written(sites.select("anchor_id", "a_uri", "item_uri", "item_line", "item_character", "item_end_line", "item_end_character", "site"), "sites")
     points = sites.select(F.col("item_uri").alias("uri"), F.col("item_line").alias("line"), F.col("item_character").alias("character"), F.col("item_end_line").alias("end_line"), F.col("item_end_character").alias("end_character"))
     if direction == "incoming":
         from .locate import resolve_callers
@@ -54,6 +58,7 @@ def call_edges(anchors: DataFrame, nodes: DataFrame, calls: DataFrame, direction
         return joined.select(*_edge(F.col("node_id"), F.col("anchor_id"), "calls", F.col("item_uri"), *site)).distinct()
     if implementations is None:
         return joined.select(*_edge(F.col("anchor_id"), F.col("node_id"), "calls", F.col("a_uri"), *site)).distinct()
+    joined = written(joined.select("anchor_id", "node_id", "a_uri", "site"), "callees")
     dispatched = interface_dispatch(joined.select("node_id").distinct(), nodes, implementations)
     spread = joined.join(dispatched, "node_id", "left").withColumn("callee", F.coalesce("impl_id", "node_id"))
     made = spread.select(*_edge(F.col("anchor_id"), F.col("callee"), "calls", F.col("a_uri"), *site))

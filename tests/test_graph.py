@@ -545,3 +545,35 @@ def test_edges_are_not_shuffled_by_their_keys(spark, sf):
 
     plan = Graph(spark, sf).edges._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "edge_type" in x and "dst_id" in x and "l_orderkey" in x]
+
+
+def test_bought_lines_equal_the_view(spark, sf, tmp_path):
+    """Lines, orders, customers and suppliers that come twice, and keys that are null or match nothing."""
+    from sorrel.plans.projection import Graph
+
+    for name in ("region", "nation", "part", "events"):
+        os.symlink(f"{sf}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    lines = read("lineitem").where("l_orderkey < 200")
+    lines.unionByName(lines.withColumn("l_suppkey", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_suppkey")))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        read(name).where(f"{key} % 7 != 0").unionByName(read(name).where(f"{key} % 4 = 0")).write.parquet(f"{tmp_path}/{name}.parquet")
+    g = Graph(spark, str(tmp_path))
+    for other, base, key in (("s", 2000000000000, "l_suppkey"), ("p", 7000000000000, "l_partkey")):
+        mine = g.bought(other).select("l_orderkey", "l_linenumber", "c_id", "c_uri", f"{other}_id", f"{other}_uri")
+        view = g.sql(f"SELECT b.l_orderkey, b.l_linenumber, c.id AS c_id, c.uri AS c_uri, s.id AS s_id, s.uri AS s_uri FROM v_bought b JOIN v_node c ON c.id = 1000000000000 + b.c_custkey JOIN v_node s ON s.id = {base} + b.{key}")
+        assert view.count() > 100 and mine.exceptAll(view).isEmpty() and view.exceptAll(mine).isEmpty()
+
+
+def test_facts_are_read_once(spark, tmp_path):
+    """What is joined twice is written between, so that facts do not go through a shuffle for each."""
+    path = f"{tmp_path}/facts"
+    nodes = frame(spark, [node(1, "m", 0, END, sel=0, node_kind="Module"), node(2, "m.f", 5, 9), node(3, "m.g", 20, 30)])
+    uri = "file:///repo/m.py"
+    spark.createDataFrame([(op, uri, 5, 4, uri, 22, 1, None) for op in ("definition", "references")], schema.LOCATIONS).write.parquet(path)
+    facts_, asked = spark.read.schema(schema.LOCATIONS).parquet(path), spark.createDataFrame([(uri, 5, 4)], "uri string, line long, character long")
+    defined = locate.find_definition(asked, facts_, nodes)
+    referred = materialize.reference_edges(spark.createDataFrame([(2,)], "anchor_id long"), nodes, facts_)
+    assert [r.node_id for r in defined.collect()] == [3] and [(r.src_id, r.dst_id) for r in referred.collect()] == [(3, 2)]
+    for got in (defined, referred):
+        assert not [f for f in got.inputFiles() if path in f]
