@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -155,19 +155,24 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     dead = plan.where("action = 'deleted'").select(F.col("old_id").alias("id")).join(numbered.select("id"), "id", "left_anti").unionByName(displaced)
     dead = written(dead.distinct(), "dead")
     top = top_id(edges, last[1])
-    # Edges meet what is said of their ends once at each end; those of containment alone meet the new ones.
     said = plan.where("changed").select(F.col("old_id").alias("id"), F.lit(False).alias("dead")).unionByName(dead.withColumn("dead", F.lit(True))).groupBy("id").agg(F.max("dead").alias("dead"))
-    met = edges
-    for end, flag in (("src_id", "_src"), ("dst_id", "_dst")):
-        met = met.join(said.select(F.col("id").alias(end), F.col("dead").alias(flag)), end, "left")
-    met = met.where("not coalesce(_src, false) and not coalesce(_dst, false)")
-    met = written(met.withColumn("valid", F.col("valid") & F.col("_src").isNull() & F.col("_dst").isNull()).select(*edges.columns), "met")
+    said = written(said, "said")
+
+    def met(rows: DataFrame, which: Column) -> DataFrame:
+        """Edges after those that are meant met what is said of their ends, once at each end; they lie by their sources."""
+        for end in ("dst_id", "src_id"):
+            rows = rows.join(said.select(F.col("id").alias("_end"), F.col("dead").alias("_dead")), which & (F.col(end) == F.col("_end")), "left").where("not coalesce(_dead, false)")
+            rows = rows.withColumn("valid", F.col("valid") & F.col("_dead").isNull()).drop("_end", "_dead")
+        return rows.select(*edges.columns)
+
     for end in ("src_id", "dst_id"):
         contains = contains.join(dead.withColumnRenamed("id", end), end, "left_anti")
-    held = F.col("edge_type") == "contains"
-    edges = met.where(~held | held.isNull()).unionByName(upsert_edges(met.where(held), contains.select(*edges.columns), top))
-    out, _, cache, marks = delete_nodes(out, met.limit(0), cache, marks, dead)
-    return out, edges, cache, marks, plan
+    # Only those of containment meet the new ones and are written; the others go on as they are, each reader taking the columns that it needs.
+    held = F.col("edge_type").eqNullSafe("contains")
+    contained = written(met(edges.where(held), held), "contained")
+    edges_now = met(edges.where(~held).unionByName(upsert_edges(contained, contains.select(*edges.columns), top)), ~held)
+    out, _, cache, marks = delete_nodes(out, edges.limit(0), cache, marks, dead)
+    return out, edges_now, cache, marks, plan
 
 
 def with_places(flat: DataFrame) -> DataFrame:
