@@ -233,7 +233,7 @@ def drift(found: DataFrame, stored: DataFrame, known: DataFrame) -> DataFrame:
 def _drift_states(now: DataFrame, stored: DataFrame, known: DataFrame) -> DataFrame:
     """``drift`` by the files' hashes ``(uri, now)``."""
     seen = stored.select("uri", F.col("hash").alias("before"))
-    both = now.join(known.select("uri", F.lit(True).alias("known")).distinct(), "uri", "full").join(seen, "uri", "left")
+    both = now.join(known.select("uri", F.lit(True).alias("known")).distinct(), "uri", "full").join(seen.hint("merge"), "uri", "left")
     state = F.when(F.col("now").isNull(), "deleted").when(F.col("now") == F.col("before"), "skipped").when(F.col("before").isNull(), "new").otherwise("changed")
     return both.select("uri", state.alias("state"))
 
@@ -243,7 +243,7 @@ def suspiciously_empty(symbols: DataFrame, nodes: DataFrame, uris: DataFrame, ro
     module = T.module_path(F.col("uri"), root_uri)
     had = nodes.where(~F.col("orphan") & (F.col("fqn") != module)).select("uri").distinct()
     has = symbols.where(F.col("fqn") != module).select("uri").distinct()
-    return uris.select("uri").distinct().join(had, "uri", "left_semi").join(has, "uri", "left_anti")
+    return uris.select("uri").distinct().join(had.hint("merge"), "uri", "left_semi").join(has.hint("merge"), "uri", "left_anti")
 
 
 #: Settings that hold the hash of a file as of its last commit at a start.
@@ -256,6 +256,7 @@ def start_up(store, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], r
     Candidates are the files there are and those that the graph knows. One whose content hash is stored is not looked at. ``fetch`` gives the answers ``(uri, symbols)`` of the others
     ``(uri)``: no row means that the source is not there, and an answer that is no JSON is a failure, which leaves the file as it is. A file that is there and had symbols, but now shows none, and one
     whose source is not there, wait: only they are asked for again, ``retries`` times and ``delay`` seconds apart, and then stay as they are. A file that is gone loses its symbols.
+    What has a row for each file is joined by merging, as the size of its files would let several times that much be broadcast, at each join and in each pass.
     Each pass commits graph and hashes as one version, so a run that dies before it leaves both as they were, and the next takes these files up again.
 
     Returns ``(uri, state)``, state being unsupported, unchanged, committed, removed, failed or held, and one row ``(checked, failures, skipped)``.
@@ -272,27 +273,29 @@ def start_up(store, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], r
         now = store.read()
         owned = pending.where(route_language(F.col("uri"), adapters).isNotNull())
         stored = now.index_meta.where(F.col("key").startswith(STORED)).select(F.substring("key", len(STORED) + 1, 1 << 30).alias("uri"), F.col("value").alias("hash"))
-        there = found.join(owned, "uri", "left_semi")
-        # Texts are read once for their hashes.
-        hashes = written(there.select("uri", T.content_hash(F.col("text")).alias("now")).groupBy("uri").agg(F.min("now").alias("now")), "hashes")
+        # Texts are read once for their hashes, and before the join, so that no text crosses its shuffle.
+        hashed = found.select("uri", T.content_hash(F.col("text")).alias("now"))
+        hashes = written(hashed.join(owned.hint("merge"), "uri", "left_semi").groupBy("uri").agg(F.min("now").alias("now")), "hashes")
         states = written(_drift_states(hashes, stored, owned), "drift")
         asked = states.where("state in ('new', 'changed')").select("uri")
-        answers = written(fetch(asked).select("uri", "symbols").join(asked, "uri", "left_semi").groupBy("uri").agg(F.first("symbols").alias("symbols"), F.lit(True).alias("answered")), "answers")
+        answers = written(fetch(asked).select("uri", "symbols").join(asked.hint("merge"), "uri", "left_semi").groupBy("uri").agg(F.first("symbols").alias("symbols"), F.lit(True).alias("answered")), "answers")
         good = answers.select("uri", F.coalesce("symbols", F.lit("[]")).alias("symbols")).where("try_parse_json(symbols) is not null")
         flat = written(with_places(facts.index_symbols(facts.flatten_symbols(good, root_uri), root_uri)), "symbols")
         empty = written(suspiciously_empty(flat, now.nodes, good, root_uri), "empty")
         gone = states.where("state = 'deleted'").select("uri")
-        took = written(good.select("uri").join(empty, "uri", "left_anti"), "took")
+        took = written(good.select("uri").join(empty.hint("merge"), "uri", "left_anti"), "took")
         if not (took.isEmpty() and gone.isEmpty()):
-            symbols = flat.join(took, "uri", "left_semi")
+            symbols = flat.join(took.hint("merge"), "uri", "left_semi")
             nodes, edges, cache, marks, _ = reconcile(now.nodes, now.edges, now.callees_cache, now.materialized, symbols, took.unionByName(gone), now.last_ids())
             # A file that is gone has the empty hash, which no content has: one that comes back is looked at.
-            fresh = took.join(hashes, "uri").select("uri", "now").unionByName(gone.select("uri", F.lit("").alias("now")))
+            fresh = took.join(hashes.hint("merge"), "uri").select("uri", "now").unionByName(gone.select("uri", F.lit("").alias("now")))
             meta = merge_keyed(now.index_meta, fresh.select(F.concat(F.lit(STORED), "uri").alias("key"), F.col("now").alias("value")), ["key"])
             store.commit(nodes=nodes, edges=edges, callees_cache=cache, materialized=marks, index_meta=meta)
         ok = took.withColumn("ok", F.lit(True))
         held = empty.withColumn("empty", F.lit(True))
-        told = pending.join(states, "uri", "left").join(answers.select("uri", "answered"), "uri", "left").join(ok, "uri", "left").join(held, "uri", "left")
+        told = pending
+        for side in (states, answers.select("uri", "answered"), ok, held):
+            told = told.join(side.hint("merge"), "uri", "left")
         state = (
             F.when(F.col("state").isNull(), "unsupported").when(F.col("state") == "deleted", "removed").when(F.col("state") == "skipped", "unchanged")
             .when(F.col("ok"), "committed").when(F.col("answered").isNull() | F.col("empty"), "waiting").otherwise("failed")

@@ -341,6 +341,13 @@ def test_drift_and_empty_files(spark):
     assert reconcile.suspiciously_empty(only_root, nodes, uris, "file:///repo").count() == 1
 
 
+def test_a_start_broadcasts_no_table_of_files(spark):
+    files_ = spark.createDataFrame([("a", "x"), ("b", "y")], "uri string, text string")
+    states = reconcile.drift(files_, spark.createDataFrame([("a", "h"), ("c", "h")], "uri string, hash string"), spark.createDataFrame([("a",), ("c",)], "uri string"))
+    assert "Broadcast" not in states._jdf.queryExecution().executedPlan().toString()
+    assert {(r.uri, r.state) for r in states.collect()} == {("a", "changed"), ("b", "new"), ("c", "deleted")}
+
+
 def test_facts(spark):
     span = lambda a, b: {"start": {"line": a, "character": b}, "end": {"line": a, "character": b + 3}}
     tree = [{"name": "A", "kind": 5, "range": span(0, 0), "selectionRange": span(0, 6), "children": [{"name": "f", "kind": 6, "detail": "d", "range": span(1, 2), "selectionRange": span(1, 6), "children": []}, {"name": "f", "kind": 6, "range": span(2, 2), "selectionRange": span(2, 6)}]}]
