@@ -9,10 +9,11 @@ from test_graph import edge, edges_of, frame, node
 from test_service import span
 
 from sorrel.functions.text import content_hash
-from sorrel.operators import reconcile, store
+from sorrel.operators import reconcile, relations, store
 from sorrel.operators.buckets import BucketTable, GraphTables
 from sorrel.operators.snapshots import SnapshotStore
-from sorrel.plans import schema
+from sorrel.plans import catalogue, schema
+from sorrel.plans.projection import Graph
 
 
 def files_of(table):
@@ -258,3 +259,17 @@ def test_changes_in_place_leave_no_scratch(spark, tmp_path, monkeypatch):
     g.upsert_edges(edges_of(spark, [edge(0, 2, 3, "inherits")]))
     g.delete_nodes(spark.createDataFrame([(3,)], "id long"))
     assert not [f for f in os.listdir(top) if f.startswith("sorrel-")]
+
+
+def test_calls_are_grouped_in_tasks_by_their_number(spark):
+    calls = [edge(i, 100 + i % 40, 7, line=i) for i in range(200)] + [edge(200 + i, 100 + i % 40, 7, line=1000 + i, valid=i % 2 == 0) for i in range(40)] + [edge(300, 1, 8), edge(301, None, 8, line=1), edge(302, 1, 9, "references")]
+    got = relations.call_frequency(edges_of(spark, calls), 5)
+    assert {r.dst_id: (r.call_sites, r.callers) for r in got.collect()} == {7: (220, 40), 8: (2, 1)}
+    assert got.dtypes == [("dst_id", "bigint"), ("call_sites", "bigint"), ("callers", "bigint")]
+
+
+def test_call_frequency_does_not_hang_on_the_shuffle_setting(spark, sf, monkeypatch):
+    monkeypatch.setattr(Graph, "tasks", lambda self, *tables: 37, raising=False)
+    plan = catalogue.QUERIES["call_frequency"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    groups = [line for line in plan.splitlines() if "hashpartitioning(dst_id" in line]
+    assert groups and all(", 37)" in line for line in groups), plan
