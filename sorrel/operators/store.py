@@ -105,9 +105,19 @@ def invalidate_outgoing_calls(edges: DataFrame, anchors: DataFrame) -> DataFrame
     return out.withColumn("valid", F.col("valid") & ~(F.coalesce("_hit", F.lit(False)) & (F.col("edge_type") == "calls"))).select(*edges.columns)
 
 
+#: So many ids are broadcast at most.
+FEW = 8192
+
+
+def _ids(rows: DataFrame, name: str) -> DataFrame:
+    """The distinct ids of ``rows``, written, for joins with many rows: a few are broadcast; of more, each task holds its share in memory, so that what they meet is dealt out but not sorted."""
+    ids = written(rows.select("id").distinct(), name)
+    return ids.hint("broadcast" if ids.count() <= FEW else "shuffle_hash")
+
+
 def invalidate_incident(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Edges at either end of changed nodes ``(id)`` are no longer valid."""
-    ids = changed.select("id").distinct()
+    ids = _ids(changed, "touched")
     src = ids.select(F.col("id").alias("src_id"), F.lit(True).alias("_s"))
     dst = ids.select(F.col("id").alias("dst_id"), F.lit(True).alias("_d"))
     out = edges.join(src, "src_id", "left").join(dst, "dst_id", "left")
@@ -116,7 +126,7 @@ def invalidate_incident(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Remove nodes ``(id)`` with their edges, hashes and marks; children lose their container."""
-    ids = gone.select("id").distinct()
+    ids = _ids(gone, "gone")
     left = nodes.join(ids, "id", "left_anti")
     up = ids.select(F.col("id").alias("container_id"), F.lit(True).alias("_up"))
     left = left.join(up, "container_id", "left").withColumn("container_id", F.when(F.col("_up").isNull(), F.col("container_id"))).select(*nodes.columns)

@@ -273,3 +273,29 @@ def test_call_frequency_does_not_hang_on_the_shuffle_setting(spark, sf, monkeypa
     plan = catalogue.QUERIES["call_frequency"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     groups = [line for line in plan.splitlines() if "hashpartitioning(dst_id" in line]
     assert groups and all(", 37)" in line for line in groups), plan
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("top", [40, 20000])
+def test_edges_meet_ids_without_being_sorted(spark, unbroadcast, top):
+    edges = edges_of(spark, [edge(i, i * 7, i * 11) for i in range(1, 3000)] + [edge(0, 5, None)])
+    nodes = frame(spark, [node(i, f"m.n{i}", i, i, container_id=i - 1) for i in range(1, 90)])
+    ids = spark.range(0, top, 2).union(spark.range(0, 10, 2))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    gone = lambda i: i is not None and i < top and i % 2 == 0
+    cache, marks = nodes.select(F.col("id").alias("anchor_id"), F.lit("h").alias("content_hash")), nodes.select(F.col("id").alias("anchor_id"), F.lit("calls").alias("edge_type"))
+    marked = store.invalidate_incident(edges, ids)
+    left, kept, cache, marks = store.delete_nodes(nodes, edges, cache, marks, ids)
+    assert not any("SortMergeJoin" in plan(df) for df in (marked, left, kept, cache, marks))
+    rows = edges.collect()
+    assert {r.id for r in marked.where("valid").collect()} == {r.id for r in kept.collect()} == {r.id for r in rows if not gone(r.src_id) and not gone(r.dst_id)}
+    assert marked.count() == len(rows)
+    assert {(r.id, r.container_id) for r in left.collect()} == {(i, None if gone(i - 1) else i - 1) for i in range(1, 90) if not gone(i)}
+    assert {r.anchor_id for r in cache.collect()} == {r.anchor_id for r in marks.collect()} == {i for i in range(1, 90) if not gone(i)}
