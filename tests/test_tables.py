@@ -299,3 +299,20 @@ def test_edges_meet_ids_without_being_sorted(spark, unbroadcast, top):
     assert marked.count() == len(rows)
     assert {(r.id, r.container_id) for r in left.collect()} == {(i, None if gone(i - 1) else i - 1) for i in range(1, 90) if not gone(i)}
     assert {r.anchor_id for r in cache.collect()} == {r.anchor_id for r in marks.collect()} == {i for i in range(1, 90) if not gone(i)}
+
+
+def test_a_merge_of_edges_reads_each_table_once(spark, tmp_path):
+    path = f"file://{tmp_path}/held"
+    none = (None,) * 5
+    edges_of(spark, [edge(1, 1, 2, valid=False), edge(2, 1, 2, valid=False), edge(3, 1, 3), (4, 1, 5, "contains", *none, False), edge(5, None, 2)]).write.parquet(path)
+    batch = [edge(None, 1, 2), edge(None, 1, 2, valid=False), (None, 1, 5, "contains", *none, True), (None, 1, 6, "contains", *none, True), edge(None, None, 2, valid=False), edge(9, 7, 8), edge(None, 7, 8, line=3)]
+    held, batch = spark.read.schema(schema.EDGES).parquet(path), edges_of(spark, batch)
+    out = store.upsert_edges(held, batch, 20)
+    assert not [f for f in out.inputFiles() if path in f], "what is read is the merged rows"
+    got = {r.id: (r.src_id, r.dst_id, r.valid) for r in out.collect()}
+    old = {1: (1, 2, True), 2: (1, 2, True), 3: (1, 3, True), 4: (1, 5, True), 5: (None, 2, False)}
+    assert {i: got.pop(i) for i in old} == old, "each held row of a key takes the last of the batch"
+    assert sorted(got) == [21, 22, 23] and sorted(got.values()) == [(1, 6, True), (7, 8, True), (7, 8, True)]
+    changed = store.merged_edges(held, batch)
+    assert sorted(r.id for r in changed.collect()) == [1, 2, 4, 5, 6, 7, 8] and changed.columns == held.columns
+    assert store.upsert_edges(held.limit(0), batch.limit(0)).isEmpty()
