@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..plans import schema
 from .reconcile import reconcile
-from .store import PHYSICAL_KEY, merge_keyed, merge_nodes, merged_edges, top_id
-from .tables import scratch, written
+from .store import PHYSICAL_KEY, merge_keyed, merge_nodes, top_id, upsert_edges
+from .tables import scratch, sieve, sifted, written
 
 
 def cleared(f: Callable) -> Callable:
@@ -61,13 +61,17 @@ class BucketTable:
         rows = self.spark.read.schema(f"{self.ddl}, bucket int").parquet(self.path)
         return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).select(*self.columns)
 
-    def replace(self, rows: DataFrame, buckets: list[int]) -> None:
-        """Put ``rows`` in the place of all rows of ``buckets``; files of other buckets stay as they are."""
+    def replace(self, rows: DataFrame, buckets: list[int], deal: bool = True) -> None:
+        """Put ``rows`` in the place of all rows of ``buckets``; files of other buckets stay as they are.
+
+        Without ``deal`` each task writes its rows where it has them, a file for each bucket: for rows that would cross a shuffle for nothing else.
+        """
         if not buckets:
             return
         # What is read from the table is written beside it before its files go. A bucket's rows are dealt to several tasks, by their keys.
         fresh, part = f"{self.path}/_fresh-{uuid.uuid4().hex}", F.pmod(F.shiftright(F.xxhash64(*self.keys), 16), F.lit(self.PARTS))
-        dealt = rows.select(*self.columns, self.bucket().alias("bucket")).repartition("bucket", part)
+        dealt = rows.select(*self.columns, self.bucket().alias("bucket"))
+        dealt = dealt.repartition("bucket", part) if deal else dealt
         dealt.sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket").parquet(fresh)
         for b in set(buckets) - self._put(fresh):
             # A bucket without rows has no files to come.
@@ -196,10 +200,11 @@ class GraphTables:
         """``store.upsert_edges`` on the sources' buckets alone, which it returns."""
         batch = written(batch, "batch")
         touched = self.edges.buckets_of(batch)
-        held = self.edges.read(touched)
-        changed = written(merged_edges(held, batch, self.last(1)), "changed")
-        self._remember(1, changed)
-        self.edges.replace(held.join(changed.select("id"), "id", "left_anti").select(*self.edges.columns).unionByName(changed), touched)
+        # Only edges that may have a source of the batch meet it, the others are written where they are read.
+        near, far = sifted(self.edges.read(touched), ("src_id", sieve(batch.select(F.col("src_id").alias("id")).distinct())))
+        merged = upsert_edges(near, batch, self.last(1))
+        self._remember(1, merged)
+        self.edges.replace(far.unionByName(merged), touched, deal=False)
         return touched
 
     @cleared

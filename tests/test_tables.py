@@ -316,3 +316,32 @@ def test_a_merge_of_edges_reads_each_table_once(spark, tmp_path):
     changed = store.merged_edges(held, batch)
     assert sorted(r.id for r in changed.collect()) == [1, 2, 4, 5, 6, 7, 8] and changed.columns == held.columns
     assert store.upsert_edges(held.limit(0), batch.limit(0)).isEmpty()
+
+
+def test_edges_that_a_batch_does_not_touch_cross_no_shuffle(spark, tmp_path, unbroadcast, monkeypatch):
+    g = GraphTables(spark, f"file://{tmp_path}/g", 4)
+    g.edges.replace(edges_of(spark, [edge(i, i, i + 1) for i in range(1, 400)]), list(range(4)))
+    plans, replace = [], BucketTable.replace
+
+    def seen(self, rows, *args, **kwargs):
+        plans.extend([rows._jdf.queryExecution().executedPlan().toString()] if self is g.edges else [])
+        replace(self, rows, *args, **kwargs)
+
+    monkeypatch.setattr(BucketTable, "replace", seen)
+    g.upsert_edges(edges_of(spark, [edge(None, s, s + 1, valid=False) for s in range(3, 400, 10)] + [edge(None, 3, 9, line=99)]))
+    assert len(plans) == 1 and "hashpartitioning" not in plans[0], plans
+    rows = {(r.src_id, r.dst_id): (r.id, r.valid) for r in g.edges.read().collect()}
+    assert rows.pop((3, 9)) == (400, True) and rows == {(i, i + 1): (i, i % 10 != 3) for i in range(1, 400)}
+
+
+def test_a_sieve_loses_no_id(spark):
+    from sorrel.operators.tables import sieve, sifted
+
+    ids = lambda *a: sieve(spark.range(*a))
+    rows = spark.range(20000).select(F.col("id").alias("a"), F.when(F.col("id") % 3 != 0, F.col("id") * 7).alias("b"))
+    near, far = sifted(rows, ("a", ids(0, 20000, 50)), ("b", ids(0, 1400)))
+    near, far = {r.a for r in near.collect()}, {r.a for r in far.collect()}
+    want = {a for a in range(20000) if a % 50 == 0 or (a % 3 and a * 7 < 1400)}
+    assert want <= near and not near & far and len(near) + len(far) == 20000 and len(far) > 15000
+    near, far = sifted(rows, ("a", ids(0)))
+    assert near.isEmpty() and far.count() == 20000
