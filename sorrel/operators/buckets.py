@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import schema
-from .reconcile import reconcile
+from .reconcile import FREE, HELD, met, settle
 from .store import PHYSICAL_KEY, merge_keyed, merge_nodes, top_id, upsert_edges
 from .tables import scratch, sieve, sifted, written
 
@@ -101,6 +101,7 @@ class GraphTables:
     """The graph's tables below ``path``: nodes by name, edges by source, callee hashes and marks by anchor, settings by key."""
 
     LAST = ("last_node_id", "last_edge_id")
+    SAID = "id bigint, dead boolean"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         table = lambda name, ddl, *keys: BucketTable(spark, f"{path}/{name}", ddl, list(keys), buckets)
@@ -124,10 +125,10 @@ class GraphTables:
         row = self.meta.read(self.meta.buckets_of(asked)).where(F.col("key") == key).first()
         return row and row["value"]
 
-    def change(self, before: dict[str, DataFrame], after: dict[str, DataFrame]) -> dict[str, list[int]]:
+    def change(self, before: dict[str, DataFrame], after: dict[str, DataFrame], said: DataFrame | None = None) -> dict[str, list[int]]:
         """Replace rows ``before`` by ``after``, by tables' names, as one change; the buckets of each table that were rewritten.
 
-        Rows that are the same in both are left alone. A run that dies before the change is whole leaves the tables as they were; after that the change is
+        Other edges follow what is ``said`` ``(id, dead)`` of their ends, which is all that the change holds of them. Rows that are the same in both are left alone. A run that dies before the change is whole leaves the tables as they were; after that the change is
         finished by ``recover``, as often as it takes.
         """
         self._fs.delete(self._at("_draft"), True)
@@ -137,6 +138,7 @@ class GraphTables:
             both = old.withColumn("_n", F.lit(-1)).unionByName(new.withColumn("_n", F.lit(1)))
             rows = both.groupBy(*table.columns).agg(F.sum("_n").alias("_n")).where("_n != 0").withColumn("_new", F.col("_n") > 0).drop("_n")
             rows.write.parquet(f"{self.path}/_draft/{name}")
+        (self.spark.createDataFrame([], self.SAID) if said is None else said).write.parquet(f"{self.path}/_draft/said")
         if not self._fs.rename(self._at("_draft"), self._at("_change")):
             raise OSError(f"a change of {self.path} could not be put in place")
         return self.recover()
@@ -150,17 +152,39 @@ class GraphTables:
             rows = self.spark.read.schema(f"{table.ddl}, _new boolean").parquet(f"{self.path}/_change/{name}")
             # Old rows and new: a row may go from one bucket to another.
             touched[name] = table.buckets_of(rows)
+            if name == "edges" and self._fs.exists(self._at("_change/said")):
+                said = self.spark.read.schema(self.SAID).parquet(f"{self.path}/_change/said")
+                if not said.isEmpty():
+                    touched[name] = self._follow(rows, said, touched[name])
+                    continue
             kept = table.read(touched[name]).join(rows.select(*key).distinct(), key, "left_anti").select(*table.columns)
             table.replace(kept.unionByName(rows.where("_new").select(*table.columns)), touched[name])
         self._fs.delete(self._at("_change"), True)
         return touched
 
+    @cleared
+    def _follow(self, rows: DataFrame, said: DataFrame, touched: list[int]) -> list[int]:
+        """Put the edges' part of a change in place, with what is said of ends; the buckets that were rewritten. To do so again changes nothing.
+
+        Only edges that may have such an end, or the id of a row that is replaced, meet what is said; the others are written where they are read.
+        """
+        table, ends = self.edges, sieve(said.select("id"))
+        touched = sorted({*touched, *table.buckets_of(said, "id")})
+        if len(touched) < table.n:
+            # Incoming edges may be in any bucket.
+            touched = sorted({*touched, *table.buckets_of(table.read().join(said.select(F.col("id").alias("dst_id")), "dst_id", "left_semi"))})
+        ids = written(rows.select("id").distinct(), "ids")
+        near, far = sifted(table.read(touched), ("src_id", ends), ("dst_id", ends), ("id", sieve(ids)))
+        near = met(near.join(ids, "id", "left_anti").select(*table.columns), said, FREE)
+        table.replace(far.unionByName(near).unionByName(rows.where("_new").select(*table.columns)), touched, deal=False)
+        return touched
+
     @cleared
     def reconcile(self, symbols: DataFrame, uris: DataFrame, settings: dict[str, str] | None = None) -> dict[str, list[int]]:
         """``reconcile.reconcile`` of the files ``(uri)`` on the rows that they touch, as one change that also puts ``settings``; the buckets that were rewritten.
 
-        Looked at are the files' nodes, those with the symbols' names, the children of both, and what hangs on both: edges from them and to them
-        by one scan. All else, and so the cost of joins and writes, depends on the files alone.
+        Looked at are the files' nodes, those with the symbols' names, the children of both, and what hangs on both: edges of containment from them and to
+        them. Other edges are met once, where the change is put in place, by what is said of their ends.
         """
         uris = written(uris.select("uri").distinct(), "uris")
         symbols = symbols.join(uris, "uri", "left_semi")
@@ -171,17 +195,17 @@ class GraphTables:
         met = lambda rows, column: rows.join(ids.withColumnRenamed("id", column), column, "left_semi").select(*rows.columns)
         nodes = written(own.unionByName(met(self.nodes.read(), "container_id")).dropDuplicates(["id"]), "nodes")
         ends = [ids.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")) for c in ("src_id", "dst_id")]
-        edges = self.edges.read().join(ends[0], "src_id", "left").join(ends[1], "dst_id", "left").where("_src_id or _dst_id")
+        edges = self.edges.read().where(HELD).join(ends[0], "src_id", "left").join(ends[1], "dst_id", "left").where("_src_id or _dst_id")
         edges = written(edges.select(*self.edges.columns), "edges")
         cache, marks = (written(met(t.read(t.buckets_of(ids, "id")), "anchor_id"), "side") for t in (self.cache, self.marks))
         last = self.last(0), self.last(1)
-        new_nodes, new_edges, new_cache, new_marks, _ = reconcile(nodes, edges, cache, marks, symbols, uris, last)
+        new_nodes, new_edges, said, new_cache, new_marks, _ = settle(nodes, edges, cache, marks, symbols, uris, last)
         new_nodes, new_edges = written(new_nodes, "nodes"), written(new_edges, "edges")
         told = dict(zip(self.LAST, (str(top_id(t, n)) for t, n in zip((new_nodes, new_edges), last, strict=True)), strict=True)) | (settings or {})
         put = self.spark.createDataFrame(list(told.items()), schema.META)
         had = self.meta.read(self.meta.buckets_of(put)).join(put.select("key"), "key", "left_semi")
         before = {"nodes": nodes, "edges": edges, "callees_cache": cache, "materialized": marks, "index_meta": had}
-        return self.change(before, {"nodes": new_nodes, "edges": new_edges, "callees_cache": new_cache, "materialized": new_marks, "index_meta": put})
+        return self.change(before, {"nodes": new_nodes, "edges": new_edges, "callees_cache": new_cache, "materialized": new_marks, "index_meta": put}, said)
 
     def last(self, which: int) -> int:
         """The greatest id of nodes (0) or edges (1) that was ever given out, as stored; the table's own before the first merge."""

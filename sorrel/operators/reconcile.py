@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -106,7 +106,29 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     whose name or place some node has takes its id. Old rows that a symbol takes over so are neither orphaned nor deleted; one whose place goes to
     another name's row is deleted. New ids follow ``last``, the greatest of nodes and edges so far. Returns nodes, edges, cache, marks and the plan.
     """
-    from .store import PHYSICAL_KEY, delete_nodes, drop_callee_hashes, top_id, upsert_edges, upsert_nodes
+    from .store import top_id
+
+    out, contained, said, cache, marks, plan = settle(nodes, edges.where(HELD), cache, marks, symbols, uris, (last[0], top_id(edges, last[1])))
+    # Only those of containment meet the new ones and are written; the others go on as they are, each reader taking the columns that it needs.
+    return out, met(edges.where(FREE).unionByName(contained), said, FREE), cache, marks, plan
+
+
+#: Edges of containment, which follow the symbols; the others follow what is said of their ends.
+HELD, FREE = "edge_type <=> 'contains'", "NOT edge_type <=> 'contains'"
+
+
+def met(rows: DataFrame, said: DataFrame, which: str) -> DataFrame:
+    """Edges after those that are meant met what is ``said`` ``(id, dead)`` of their ends, once at each end; they lie by their sources."""
+    columns = rows.columns
+    for end in ("dst_id", "src_id"):
+        rows = rows.join(said.select(F.col("id").alias("_end"), F.col("dead").alias("_dead")), F.expr(which) & (F.col(end) == F.col("_end")), "left").where("not coalesce(_dead, false)")
+        rows = rows.withColumn("valid", F.col("valid") & F.col("_dead").isNull()).drop("_end", "_dead")
+    return rows.select(*columns)
+
+
+def settle(nodes: DataFrame, contained: DataFrame, cache: DataFrame, marks: DataFrame, symbols: DataFrame, uris: DataFrame, last: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``reconcile`` but for edges other than those of containment: nodes, edges of containment, what is said ``(id, dead)`` of the ends of the others, cache, marks and the plan."""
+    from .store import PHYSICAL_KEY, delete_nodes, drop_callee_hashes, upsert_edges, upsert_nodes
     from .tables import written
 
     touched = uris.select("uri").distinct()
@@ -154,25 +176,15 @@ def reconcile(nodes: DataFrame, edges: DataFrame, cache: DataFrame, marks: DataF
     ).where("src_id != dst_id")
     dead = plan.where("action = 'deleted'").select(F.col("old_id").alias("id")).join(numbered.select("id"), "id", "left_anti").unionByName(displaced)
     dead = written(dead.distinct(), "dead")
-    top = top_id(edges, last[1])
     said = plan.where("changed").select(F.col("old_id").alias("id"), F.lit(False).alias("dead")).unionByName(dead.withColumn("dead", F.lit(True))).groupBy("id").agg(F.max("dead").alias("dead"))
     said = written(said, "said")
 
-    def met(rows: DataFrame, which: Column) -> DataFrame:
-        """Edges after those that are meant met what is said of their ends, once at each end; they lie by their sources."""
-        for end in ("dst_id", "src_id"):
-            rows = rows.join(said.select(F.col("id").alias("_end"), F.col("dead").alias("_dead")), which & (F.col(end) == F.col("_end")), "left").where("not coalesce(_dead, false)")
-            rows = rows.withColumn("valid", F.col("valid") & F.col("_dead").isNull()).drop("_end", "_dead")
-        return rows.select(*edges.columns)
-
     for end in ("src_id", "dst_id"):
         contains = contains.join(dead.withColumnRenamed("id", end), end, "left_anti")
-    # Only those of containment meet the new ones and are written; the others go on as they are, each reader taking the columns that it needs.
-    held = F.col("edge_type").eqNullSafe("contains")
-    contained = written(met(edges.where(held), held), "contained")
-    edges_now = met(edges.where(~held).unionByName(upsert_edges(contained, contains.select(*edges.columns), top)), ~held)
-    out, _, cache, marks = delete_nodes(out, edges.limit(0), cache, marks, dead)
-    return out, edges_now, cache, marks, plan
+    kept = written(met(contained, said, HELD), "contained")
+    kept = upsert_edges(kept, contains.select(*contained.columns), last[1])
+    out, _, cache, marks = delete_nodes(out, contained.limit(0), cache, marks, dead)
+    return out, kept, said, cache, marks, plan
 
 
 def with_places(flat: DataFrame) -> DataFrame:

@@ -345,3 +345,26 @@ def test_a_sieve_loses_no_id(spark):
     assert want <= near and not near & far and len(near) + len(far) == 20000 and len(far) > 15000
     near, far = sifted(rows, ("a", ids(0)))
     assert near.isEmpty() and far.count() == 20000
+
+
+def test_a_change_of_files_holds_what_is_said_of_ends_and_not_their_edges(spark, tmp_path, monkeypatch):
+    *tables, symbols, uris = case(spark)
+    g = filled(spark, f"file://{tmp_path}/g", *tables, buckets=4)
+    calls, replace = [], BucketTable.replace
+
+    def dies(self, rows, buckets, **kwargs):
+        replace(self, rows, buckets, **kwargs)
+        calls.append(self)
+        if self is g.edges:
+            raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(BucketTable, "replace", dies)
+        with pytest.raises(OSError):
+            g.reconcile(symbols, uris)
+    held = spark.read.parquet(f"file://{tmp_path}/g/_change/edges")
+    assert {r.edge_type for r in held.select("edge_type").distinct().collect()} <= {"contains"}
+    # The edges are in place; the next to open puts them there again.
+    g = GraphTables(spark, f"file://{tmp_path}/g", 4)
+    whole = reconcile.reconcile(*tables, symbols, uris)
+    assert state(g) == [sorted(map(str, t.select(*s.columns).collect())) for t, s in zip(whole, (g.nodes, g.edges, g.cache, g.marks))]
